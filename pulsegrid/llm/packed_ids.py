@@ -137,7 +137,7 @@ def _write(root: str, vocabulary: str, end_id: int):
             if writer is None and len(batch):
                 files, at = FileSystem.from_uri(root)
                 files.create_dir(at, recursive=True)
-                writer = PackedWriter(files.open_output_stream(f"{at}/{path.rsplit('/', 1)[1]}"), width)
+                writer = PackedWriter(files.open_output_stream(f"{at}/{path.rsplit('/', 1)[1]}", compression=None), width)
                 first = None if pd.isna(batch["doc_id"].iloc[0]) else int(batch["doc_id"].iloc[0])
             ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for part in by_size(texts):

@@ -70,7 +70,7 @@ def _write(root: str):
             for x in batch.itertuples():
                 if out is None:
                     files.create_dir(at, recursive=True)
-                    out = files.open_output_stream(f"{at}/{name}")
+                    out = files.open_output_stream(f"{at}/{name}", compression=None)
                 data = record(whole(x.page_id), x.url, (x.html or "").encode("utf-8", "surrogatepass"), x.digest, int(x.size), whole(x.refers_to))
                 out.write(data)
                 size += len(data)
