@@ -4,7 +4,8 @@ Every document belongs to a group; each round reads the next bytes of the texts
 splits the groups by them. A group of one document is settled; so is one whose texts have ended: its texts are equal.
 No digest decides equality. Splitting is a pre-aggregated groupBy and a join that adaptive execution can divide, so a
 group may hold any share of the rows. Byte steps grow (64, 448, 3584, then 32768 bytes a round), so that documents which
-differ early are settled after few bytes, and each step is its own column, read only in its round.
+differ early are settled after few bytes, and each step is its own column, read only in its round. The size of a text
+counts as its first digit; only texts that share it and the first 64 bytes with another travel whole, once.
 
 Defined cases: null text counts as empty; white space is `[\\x20\\x09-\\x0D]` and is deleted before comparing; of equal
 texts the row with the most code points in the original text, then the smallest doc_id (null last) stays; of rows that
@@ -29,6 +30,13 @@ def squeezed(text: Column) -> Column:
     return reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit("")), " \n\t\r\x0b\x0c", F.coalesce(text, F.lit("")))
 
 
+def _split(part: DataFrame) -> DataFrame:
+    """Rows (row, group, size, bytes, ended) of groups that hold several rows after splitting by the next bytes."""
+    keys = ["group", "bytes", "ended"]
+    groups = part.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row").alias("next")).where("n > 1")
+    return table(part.join(groups, keys).select("row", F.col("next").alias("group"), "size", "ended"))
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256 (of the squeezed text)."""
     data = F.col("data")
@@ -38,26 +46,22 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         cuts.append(F.substring(data, start, step).alias(f"bytes{k}"))
         start += step
     whole = table(base.select("row", "doc_id", "signs", F.sha2("__plain", 256).alias("text_sha256"), F.octet_length("__plain").alias("size"), F.col("__plain").cast("binary").alias("data")).select("row", "doc_id", "signs", "text_sha256", "size", *cuts, F.expr(f"substring(data, {start})").alias("rest")))
-    open_rows, settled, start, k = None, [], 0, 0
-    while True:
+    # equal texts have equal sizes, so a text's size is its first digit
+    first = whole.select("row", F.col("size").alias("group"), "size", F.col("bytes0").alias("bytes"), (F.col("size") <= STEPS[0]).alias("ended"))
+    split = _split(first)
+    settled, open_rows, texts, start, k = [split.where("ended")], split.where("not ended"), None, STEPS[0], 1
+    while not open_rows.isEmpty():
+        if texts is None:
+            # the only time that whole texts travel: a merge join, as open rows are too many to broadcast at scale
+            texts = table(whole.select("row", *[f"bytes{i}" for i in range(1, len(STEPS))], "rest").join(open_rows.select("row").hint("merge"), "row"))
         if k < len(STEPS):
             step, column = STEPS[k], F.col(f"bytes{k}")
         else:
             step, column = REST, F.expr(f"substring(rest, {start - sum(STEPS) + 1}, {REST})")
-        if k:
-            part = whole.select("row", column.alias("bytes")).join(open_rows, "row")
-        else:
-            part = whole.select("row", F.lit(0).cast("long").alias("group"), "size", column.alias("bytes"))
-        part = part.withColumn("ended", F.col("size") <= start + step)
-        keys = ["group", "bytes", "ended"]
-        groups = part.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row").alias("next")).where("n > 1")
-        split = table(part.join(groups, keys).select("row", F.col("next").alias("group"), "size", "ended"))
-        settled.append(split.where("ended").select("row", "group"))
-        open_rows = split.where("not ended").select("row", "group", "size")
-        start, k = start + step, k + 1
-        if open_rows.isEmpty():
-            break
-    members = reduce(DataFrame.union, settled).join(whole.select("row", "doc_id", "signs"), "row")
+        split = _split(texts.select("row", column.alias("bytes")).join(open_rows, "row").select("row", "group", "size", "bytes", (F.col("size") <= start + step).alias("ended")))
+        settled.append(split.where("ended"))
+        open_rows, start, k = split.where("not ended"), start + step, k + 1
+    members = reduce(DataFrame.union, settled).select("row", "group").join(whole.select("row", "doc_id", "signs"), "row")
     best = F.struct(-F.col("signs"), F.col("doc_id").isNull(), "doc_id", "row")
     heads = members.groupBy("group").agg(F.min(best).alias("best"), F.count("*").alias("n"))
     placed = members.select("row", "group").join(heads, "group").select("row", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("head"), "n")
