@@ -104,7 +104,7 @@ class PackedFile:
         self.width, self.n_ids, docs, blocks, at, self.block = np.frombuffer(self._bytes(size - 56, 48), "<u8").tolist()
         self.doc_ids = np.frombuffer(self._bytes(at, 8 * docs), "<i8")
         self.ends = np.frombuffer(self._bytes(at + 8 * docs, 8 * docs), "<u8").astype(np.int64)
-        self.offsets = np.append(np.frombuffer(self._bytes(at + 16 * docs, 8 * blocks), "<u8"), at).tolist()
+        self.offsets = [*np.frombuffer(self._bytes(at + 16 * docs, 8 * blocks), "<u8").tolist(), at]
         self.kept: tuple[int, np.ndarray] = (-1, np.zeros(0, "<u4"))
 
     def _bytes(self, at: int, n: int) -> bytes:
