@@ -7,7 +7,8 @@ sets. What is linked is reduced to components, and these are exact over all pair
 1. documents with equal shingle sets form a class, shown by its smallest doc_id (pre-aggregated, so copies are cheap);
 2. each class is compared with the smallest class of each of its bands; links give first components;
 3. bands that still hold several components are compared in blocks across components: pairs whose signatures or sizes
-   rule out the threshold by five standard errors are dropped in the block, all others are confirmed on full sets.
+   rule out the threshold by five standard errors are dropped in the block; the others are confirmed on full sets, the
+   likeliest first, unless the block has joined their components already. A block gives out the joining links only.
 
 No pair within a component is enumerated, no bucket is capped.
 
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import components
+from .clusters import Forest, components
 from .common import blocks, table, without
 from .words import mixed, shingle_set
 
@@ -33,7 +34,7 @@ from .words import mixed, shingle_set
 #: probability (1 - s**ROWS) ** (2 * PERMUTATIONS / ROWS): 4e-7 at 0.85 and 3e-5 at 0.8.
 PERMUTATIONS, ROWS = 40, 4
 #: Rows of a block of one band.
-BLOCK = 256
+BLOCK = 128
 
 _random = np.random.default_rng(20240817)
 _XOR = _random.integers(0, 2**63, PERMUTATIONS, np.uint64)
@@ -76,8 +77,8 @@ def _sign(n: int):
     return run
 
 
-def _across(threshold: float):
-    """Candidate pairs of different components in two blocks of a band."""
+def _across(threshold: float, percent: int):
+    """Links between different components in two blocks of a band, confirmed on full sets: as many as join components."""
     spread = 5 * (threshold * (1 - threshold) / (2 * PERMUTATIONS)) ** 0.5
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,11 +88,35 @@ def _across(threshold: float):
                 of, of2 = np.frombuffer(x.comps, "<i8"), np.frombuffer(x.comps2, "<i8")
                 size, size2 = np.frombuffer(x.sizes, "<i8"), np.frombuffer(x.sizes2, "<i8")
                 left, right = (np.frombuffer(s, "<u2").reshape(-1, 2 * PERMUTATIONS) for s in (x.signatures, x.signatures2))
-                same = sum((left[:, None, k] == right[None, :, k]).astype(np.uint8) for k in range(2 * PERMUTATIONS))
+                same = np.zeros((len(ids), len(other)), np.uint8)
+                for k in range(2 * PERMUTATIONS):
+                    same += left[:, None, k] == right[None, :, k]
                 fits = (same >= (threshold - spread) * 2 * PERMUTATIONS) & (of[:, None] != of2[None, :])
                 fits &= np.minimum(size[:, None], size2[None, :]) >= threshold * np.maximum(size[:, None], size2[None, :]) - 1e-9
                 i, j = np.nonzero(fits)
-                yield pd.DataFrame({"a": np.minimum(ids[i], other[j]), "b": np.maximum(ids[i], other[j])})
+                order = np.argsort(-same[i, j].astype(int), kind="stable")
+                sets, sets2 = np.frombuffer(x.sets, "<u8"), np.frombuffer(x.sets2, "<u8")
+                end, end2 = np.cumsum(size), np.cumsum(size2)
+                joined, found = Forest(), []
+                for m, n in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    if joined.root(int(of[m])) != joined.root(int(of2[n])) and _alike(sets[end[m] - size[m] : end[m]], sets2[end2[n] - size2[n] : end2[n]], percent):
+                        joined.join(int(of[m]), int(of2[n]))
+                        found.append((ids[m], other[n]))
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as asked."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _sets(n: int):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["doc_id"].array, "set": [shingle_set(text, n).tobytes() for text in batch["text"].tolist()]})
 
     return run
 
@@ -99,7 +124,7 @@ def _across(threshold: float):
 def _packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in blocks(batches, ["band"], BLOCK):
         pack = lambda c: x[c].to_numpy("<i8").tobytes()  # noqa: B023, E731
-        yield pd.DataFrame({"band": [x["band"].iloc[0]], "first": [x["rep"].iloc[0]], "ids": [pack("rep")], "comps": [pack("comp")], "sizes": [pack("n_shingles")], "signatures": [b"".join(x["signature"])]})
+        yield pd.DataFrame({"band": [x["band"].iloc[0]], "first": [x["rep"].iloc[0]], "ids": [pack("rep")], "comps": [pack("comp")], "sizes": [pack("n_shingles")], "signatures": [b"".join(x["signature"])], "sets": [b"".join(x["set"])]})
 
 
 def _confirm(n: int, percent: int):
@@ -117,20 +142,18 @@ def _confirm(n: int, percent: int):
             found = []
             for a, b, left, right in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 x, y = of(a, left), shingle_set(right, n)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common and 100 * common >= percent * (len(x) + len(y) - common):
+                if _alike(x, y, percent):
                     found.append((a, b))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked, as a written table."""
+    # merge joins, as these texts are too many to broadcast at scale
     pairs = table(pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = table(docs.join(ids, "doc_id", "left_semi"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return table(both.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(n, percent), "a long, b long"))
 
 
@@ -145,15 +168,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     banded = classes.select("rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = table(banded.join(hubs, "band").select("band", "rep", "hub"))
-    first = _confirmed(docs, shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), words, percent)
+    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
+    texts = table(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    first = _confirmed(texts, shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), words, percent)
     known = table(components(first))
     placed = shared.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component_id", "rep").alias("comp"))
     mixed_bands = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    rest = table(placed.join(mixed_bands, "band", "left_semi").join(classes.select("rep", "n_shingles", "signature"), "rep"))
-    packed = table(rest.repartitionByRange("band", "rep").sortWithinPartitions("band", "rep").mapInPandas(_packed, "band long, first long, ids binary, comps binary, sizes binary, signatures binary"))
-    names = ["first", "ids", "comps", "sizes", "signatures"]
-    pairs = packed.join(packed.select("band", *[F.col(c).alias(c + "2") for c in names]), "band").where("first <= first2").drop("band", "first", "first2").mapInPandas(_across(percent / 100), "a long, b long").distinct()
-    later = _confirmed(docs, pairs.join(first, ["a", "b"], "left_anti"), words, percent)
+    rest = table(placed.join(mixed_bands, "band", "left_semi"))
+    sets = table(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(words), "rep long, set binary"))
+    rest = table(rest.join(classes.select("rep", "n_shingles", "signature"), "rep").join(sets, "rep"))
+    packed = table(rest.repartitionByRange("band", "rep").sortWithinPartitions("band", "rep").mapInPandas(_packed, "band long, first long, ids binary, comps binary, sizes binary, signatures binary, sets binary"))
+    names = ["first", "ids", "comps", "sizes", "signatures", "sets"]
+    pairs = packed.join(packed.select("band", *[F.col(c).alias(c + "2") for c in names]), "band").where("first <= first2").drop("band", "first", "first2")
+    later = table(pairs.mapInPandas(_across(percent / 100, percent), "a long, b long"))
     # classes that share a doc_id are one document
     own = signed.where("n_shingles > 0").select("doc_id", "same").join(classes.select("same", "rep"), "same").where("doc_id is not null and doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     joined = components(first.union(later).union(own))
