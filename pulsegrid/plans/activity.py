@@ -1 +1,52 @@
-"""Queries."""
+"""Queries on activity levels by day."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import intervals
+from ..registry import query
+from .base import ORDER, USER, events
+from .series import r6
+
+
+def _level(v):
+    return F.when(v < 10, "inactive").when(v < 40, "light").when(v < 100, "moderate").otherwise("vigorous")
+
+
+_LEVEL = "case when value < 10 then 'inactive' when value < 40 then 'light' when value < 100 then 'moderate' else 'vigorous' end"
+
+
+@query(f"select user_id, cast(ts as date) as day, {_LEVEL} as level, count(*) as minutes from events group by 1, 2, 3")
+def intensity_minutes(spark, sf):
+    return events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day"), _level(F.col("value")).alias("level")).agg(F.count("*").alias("minutes"))
+
+
+@query("select user_id, cast(least(floor(value / 50), 8) as bigint) as level, count(*) as n from events group by 1, 2")
+def level_histogram(spark, sf):
+    return events(spark, sf).groupBy("user_id", F.least(F.floor(F.col("value") / 50), F.lit(8).cast("long")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("select user_id, cast(ts as date) as day, round(quantile_cont(value, 1380 / 1440.0), 6) as m60, round(quantile_cont(value, 1410 / 1440.0), 6) as m30 from events group by 1, 2")
+def level_quantiles(spark, sf):
+    return events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(r6(F.percentile("value", 1380 / 1440)).alias("m60"), r6(F.percentile("value", 1410 / 1440)).alias("m30"))
+
+
+@query("select user_id, count(*) as days from (select user_id, cast(ts as date) as day from events group by 1, 2 having count(distinct hour(ts)) >= 2) group by 1")
+def valid_days(spark, sf):
+    hours = events(spark, sf).select("user_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).distinct()
+    return hours.groupBy("user_id", "day").agg(F.count("*").alias("n")).where("n >= 2").groupBy("user_id").agg(F.count("*").alias("days"))
+
+
+@query(f"select level, next, round(count(*) / sum(count(*)) over (partition by level), 6) as p from (select {_LEVEL} as level, lead({_LEVEL}) over (partition by user_id order by ts, event_id) as next from events) where next is not null group by 1, 2")
+def fragmentation(spark, sf):
+    s = events(spark, sf).withColumn("level", _level(F.col("value")))
+    s = s.withColumn("next", F.lead("level").over(intervals.window(USER, ORDER))).where("next is not null").groupBy("level", "next").agg(F.count("*").alias("n"))
+    return s.join(s.groupBy("level").agg(F.sum("n").alias("all")), "level").select("level", "next", r6(F.col("n") / F.col("all")).alias("p"))
+
+
+@query("select event_id, round((value - m) / (s + 1e-10), 6) as z from events join (select user_id, avg(value) as m, stddev_pop(value) as s from events group by 1) using (user_id)")
+def session_zscore(spark, sf):
+    e = events(spark, sf)
+    m = e.groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    return e.join(m, "user_id").select("event_id", r6((F.col("value") - F.col("m")) / (F.col("s") + 1e-10)).alias("z"))
