@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,30 +32,46 @@ LONGEST, MAX_LANGUAGES = 5, 200
 MEMORY = 200_000
 
 
+@dataclass
+class Items:
+    """Known words, or n-grams of one length, in one text of lines, and a row of log frequencies (one per language) each."""
+
+    lines: str
+    logs: np.ndarray
+
+    def numbers(self) -> dict[str, int]:
+        return {w: k for k, w in enumerate(self.lines.split("\n"))} if len(self.logs) else {}
+
+
 @dataclass
 class Model:
-    """Languages; log frequencies of words, and of n-grams by length, one value per language each."""
+    """Languages, words, and n-grams by length."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: Items
+    grams: list[Items]
+
 
-    def backoff(self, word: str) -> np.ndarray:
-        """The score of a word the model doesn't know: the mean over its longest known n-grams."""
-        marked = f"^{word}$"
-        for n in range(min(LONGEST, len(marked)), 0, -1):
-            of = self.grams[n - 1]
-            found = [x for i in range(len(marked) - n + 1) if (x := of.get(marked[i : i + n])) is not None]
-            if found:
-                return np.mean(found, 0)
-        return np.zeros(len(self.languages))
+def _backoff(model: Model, numbers: list[dict[str, int]], word: str) -> np.ndarray:
+    """The score of a word the model doesn't know: the mean over its longest known n-grams."""
+    marked = f"^{word}$"
+    for n in range(min(LONGEST, len(marked)), 0, -1):
+        of = numbers[n - 1]
+        found = [k for i in range(len(marked) - n + 1) if (k := of.get(marked[i : i + n])) is not None]
+        if found:
+            return model.grams[n - 1].logs[found].mean(0)
+    return np.zeros(len(model.languages))
 
 
-def _logs(counts: pd.DataFrame, languages: list[str]) -> dict[str, np.ndarray]:
+def _items(counts: pa.Table, languages: list[str]) -> Items:
     """Log frequencies, half a count added, of the items of one kind."""
-    n = counts.pivot_table(index="item", columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=languages, fill_value=0)
-    x = n.to_numpy(np.float64) + 0.5
-    return dict(zip(n.index, np.log(x / x.sum(0)), strict=True))
+    named = counts["lang"].combine_chunks().dictionary_encode()
+    at = np.array([languages.index(x) for x in named.dictionary.to_pylist()], np.int64)
+    items = counts["item"].combine_chunks().dictionary_encode()
+    x = np.full((len(items.dictionary), len(languages)), 0.5)
+    if len(items):
+        np.add.at(x, (items.indices.to_numpy(), at[named.indices.to_numpy()]), counts["n"].to_numpy())
+    return Items("\n".join(items.dictionary.to_pylist()), np.log(x / x.sum(0)) if len(x) else x)
 
 
 def fit(docs: DataFrame, fit_rows: int = 20_000, words_per_language: int = 30_000) -> Model | None:
@@ -76,10 +94,11 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, words_per_language: int = 30_00
     grams = grams.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     counts = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(grams)
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item"))
-    # at most MAX_LANGUAGES * (1 + LONGEST) * words_per_language short rows
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= words_per_language).select("lang", "size", "item", "n").toPandas()
+    # at most MAX_LANGUAGES * (1 + LONGEST) * words_per_language short rows, as Arrow columns
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= words_per_language).select("lang", "size", "item", "n").toArrow()
     languages = sorted(languages)
-    return Model(languages, _logs(top[top["size"] == 0], languages), [_logs(top[top["size"] == k], languages) for k in range(1, LONGEST + 1)])
+    kinds = [_items(top.filter(pc.equal(top["size"], k)), languages) for k in range(LONGEST + 1)]
+    return Model(languages, kinds[0], kinds[1:])
 
 
 def _predict(shared):
@@ -88,10 +107,9 @@ def _predict(shared):
 
         model, find, seen = shared.value, re.compile(r"[^\W\d_]+").findall, {}
         width = len(model.languages)
-        numbers = {w: k for k, w in enumerate(model.words)}
+        numbers, grams = model.words.numbers(), [g.numbers() for g in model.grams]
         values = np.zeros((len(numbers) + MEMORY, width))
-        if numbers:
-            values[: len(numbers)] = np.array(list(model.words.values()))
+        values[: len(numbers)] = model.words.logs
         known = len(numbers)
 
         def number(word: str) -> int:
@@ -102,7 +120,7 @@ def _predict(shared):
                     if len(seen) == MEMORY:
                         return -1
                     k = seen[word] = known + len(seen)
-                    values[k] = model.backoff(word)
+                    values[k] = _backoff(model, grams, word)
             return k
 
         for batch in batches:
@@ -117,7 +135,7 @@ def _predict(shared):
                     part = found[i : i + 65_536]
                     at = [number(w) for w in part]
                     if -1 in at:
-                        total += sum(model.backoff(w) for w, k in zip(part, at, strict=True) if k < 0)
+                        total += sum(_backoff(model, grams, w) for w, k in zip(part, at, strict=True) if k < 0)
                         at = [k for k in at if k >= 0]
                     total += values[at].sum(0)
                 if len(seen) == MEMORY:
