@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import activity, alignment, gait, heart, records, series, streams  # noqa: F401
+    from .plans import activity, alignment, gait, heart, records, series, streams, wear  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
