@@ -38,3 +38,22 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     totals = totals.select(*keys, "__chunk", *[F.coalesce(F.sum(f"__c_{n}").over(over), F.lit(0)).alias(f"__c_{n}") for n in sums])
     out = df.withColumns({n: F.sum(c).over(own) for n, c in sums.items()}).join(totals, [*keys, "__chunk"])
     return out.withColumns({n: F.col(n) + F.col(f"__c_{n}") for n in sums}).drop("__chunk", *[f"__c_{n}" for n in sums])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "idx") -> DataFrame:
+    """df with each row's number in the order, from 0."""
+    out = running(df, keys, order, {name: F.lit(1).cast("long")})
+    return out.withColumn(name, F.col(name) - 1)
+
+
+def haloed(df: DataFrame, keys: list[str], index: str, size: int, before: int, after: int) -> DataFrame:
+    """Numbered rows dealt to chunks of `size`, each with the `before` rows ahead of it and the `after` rows behind it:
+    df with chunk, and own for the rows that the chunk itself holds.
+
+    A function of at most so many neighbours is then exact on the own rows, and no task holds a whole recording.
+    """
+    i, n = F.col(index), F.lit(size)
+    first, own = F.greatest(F.floor((i - after) / n), F.lit(0).cast("long")), F.floor(i / n)
+    last = F.floor((i + before) / n)
+    # chunks that hold no row of their own come from the last rows only; their rows aren't own, so they give nothing
+    return df.withColumn("chunk", F.explode(F.sequence(F.least(first, own), last))).withColumn("own", F.col("chunk") == own)
