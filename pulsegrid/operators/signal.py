@@ -120,6 +120,22 @@ def beliefs(df: DataFrame, session: str, step: str, observed: str, move: np.ndar
     return ordered.mapInPandas(run, f"{session} {kinds[session]}, {step} {kinds[step]}, belief array<double>")
 
 
+def stream_beliefs(stream: DataFrame, session: str, step: str, observed: str, move: np.ndarray) -> DataFrame:
+    """The streaming form of `beliefs` for long sessions and steps: a session's belief is its state from batch to batch, and
+    steps of a later batch come later."""
+
+    def run(key, parts: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now, rows = (np.array(state.get[0]) if state.exists else None), pd.concat(list(parts)).sort_values(step)
+        out = []
+        for seen in rows[observed]:
+            now = next_belief(now, np.asarray(seen, float), move)
+            out.append(now.tolist())
+        state.update((now.tolist(),))
+        yield pd.DataFrame({session: key[0], step: rows[step].to_numpy(), "belief": out})
+
+    return stream.groupBy(session).applyInPandasWithState(run, f"{session} long, {step} long, belief array<double>", "belief array<double>", "append", "NoTimeout")
+
+
 def best_path(df: DataFrame, session: str, step: str, observed: str, move: np.ndarray) -> DataFrame:
     """session, step, bin: the most probable path of bins (Viterbi, in logarithms; the lowest bin of equals). A session is one
     task: it has a row every few seconds, and two bytes a bin and row are held."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signal
 from ..registry import query
+from ..streaming import streams
 from .base import ORDER, USER, axes, events, table
 from .series import r6
 
@@ -53,3 +54,18 @@ def belief_filter(spark, sf):
 @query()
 def viterbi_decode(spark, sf):
     return signal.best_path(_sessions(spark, sf), "label", "vec_id", "seen", MOVE)
+
+
+@query()
+def time_features(spark, sf):
+    x = signal.zero_phase(events(spark, sf), USER, ORDER, "value", 1.0, 4, low=0.05, high=0.4).where("idx % 2 = 0")
+    m = x.groupBy("user_id").agg(F.avg("filtered").alias("m"), F.stddev_pop("filtered").alias("s"))
+    return x.join(m, "user_id").select("event_id", r6((F.col("filtered") - F.col("m")) / (F.col("s") + 1e-10)).alias("z"))
+
+
+@query()
+def stream_belief(spark, sf):
+    path = f"{sf}/embeddings.parquet"
+    v = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").where("embedding is not null and label is not null")
+    v = v.select(F.col("label").cast("long").alias("label"), F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("seen"))
+    return streams.drained(signal.stream_beliefs(v, "label", "vec_id", "seen", MOVE)).select("label", "vec_id", F.transform("belief", lambda x: F.round(x, 6)).alias("belief"))

@@ -56,3 +56,10 @@ def test_beliefs_and_path(spark):
         every = np.stack(np.meshgrid(*[np.arange(5)] * 6, indexing="ij"), -1).reshape(-1, 6)
         p = np.prod([seen[s, k][every[:, k]] for k in range(6)], 0) * np.prod([move[every[:, k], every[:, k + 1]] for k in range(5)], 0)
         assert [path[s, k] for k in range(6)] == every[p.argmax()].tolist()
+
+
+def test_the_stream_of_beliefs_equals_the_batch(spark):
+    from pulsegrid import registry
+
+    rows = lambda n: {(r["label"], r["vec_id"]): r["belief"] for r in registry.queries()[n](spark, SF).collect()}
+    assert rows("stream_belief") == rows("belief_filter")
