@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table, without
 
-#: Bytes of a reading task's range, bytes read at once, and most bytes of a record's headers.
-RANGE, CHUNK, HEADERS = 16 << 20, 1 << 20, 1 << 16
+#: Bytes of a reading task's range and bytes read at once.
+RANGE, CHUNK = 16 << 20, 1 << 20
 GZIP = b"\x1f\x8b\x08"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -146,7 +146,7 @@ def _next_magic(window: _Window, at: int, end: int) -> int:
 def parse(content: bytes) -> dict | None:
     """Header fields (lower-case names) and the HTTP payload of a record; None without a whole header."""
     head, mark, rest = content.partition(b"\r\n\r\n")
-    if not mark or not head.startswith(b"WARC/") or len(head) > HEADERS:
+    if not mark or not head.startswith(b"WARC/"):
         return None
     fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)}
     body = rest[: int(fields.get("content-length", "0") or 0)]
