@@ -8,7 +8,8 @@ Words are maximal runs of letters, lower-cased. The model is counted by Spark on
 (`fit_rows`, about; every row where there are fewer) and keeps the `words_per_language` most frequent words and as many
 n-grams of each length, for at most MAX_LANGUAGES languages (the most frequent), so its size is bounded.
 
-Defined cases: null text and text without letters give `und` with score 0; so does everything if nothing is labelled.
+Defined cases: null text, text without letters and text of which the model knows no word and no n-gram give `und` with
+score 0; so does everything if nothing is labelled. known_language keeps every text with letters if nothing is labelled.
 Equal scores: the language that sorts first. Other columns are ignored, and lang, source and doc_id are no input of a
 prediction.
 """
@@ -52,15 +53,15 @@ class Model:
     grams: list[Items]
 
 
-def _backoff(model: Model, numbers: list[dict[str, int]], word: str) -> np.ndarray:
-    """The score of a word the model doesn't know: the mean over its longest known n-grams."""
+def _backoff(model: Model, numbers: list[dict[str, int]], word: str) -> np.ndarray | None:
+    """The score of a word the model doesn't know: the mean over its longest known n-grams; None without any."""
     marked = f"^{word}$"
     for n in range(min(LONGEST, len(marked)), 0, -1):
-        of = numbers[n - 1]
-        found = [k for i in range(len(marked) - n + 1) if (k := of.get(marked[i : i + n])) is not None]
+        of, part = numbers[n - 1], marked if n > 1 else word
+        found = [k for i in range(len(part) - n + 1) if (k := of.get(part[i : i + n])) is not None]
         if found:
             return model.grams[n - 1].logs[found].mean(0)
-    return np.zeros(len(model.languages))
+    return None
 
 
 def _items(counts: pa.Table, languages: list[str]) -> Items:
@@ -101,50 +102,73 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, words_per_language: int = 30_00
     return Model(languages, kinds[0], kinds[1:])
 
 
+def _judge(model: Model):
+    """A function from texts to (lang_pred, score) of each."""
+    import re
+
+    find, seen = re.compile(r"[^\W\d_]+").findall, {}
+    width = len(model.languages)
+    numbers, grams = model.words.numbers(), [g.numbers() for g in model.grams]
+    known = len(numbers)
+    values, says = np.zeros((known + MEMORY, width)), np.ones(known + MEMORY, bool)
+    values[:known] = model.words.logs
+
+    def number(word: str) -> int:
+        k = numbers.get(word)
+        if k is None:
+            k = seen.get(word)
+            if k is None:
+                if len(seen) == MEMORY:
+                    return -1
+                k = seen[word] = known + len(seen)
+                score = _backoff(model, grams, word)
+                says[k] = score is not None
+                values[k] = 0 if score is None else score
+        return k
+
+    def judged(texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        for text in texts:
+            found = find(text.lower()) if text else []
+            total, told = np.zeros(width), False
+            for i in range(0, len(found), 65_536):
+                part = found[i : i + 65_536]
+                at = [number(w) for w in part]
+                if -1 in at:
+                    more = [x for w, k in zip(part, at, strict=True) if k < 0 and (x := _backoff(model, grams, w)) is not None]
+                    total += sum(more)
+                    told = told or bool(more)
+                    at = [k for k in at if k >= 0]
+                total += values[at].sum(0)
+                told = told or bool(says[at].any())
+            if len(seen) == MEMORY:
+                seen.clear()
+            if not told:
+                out.append(("und", 0.0))
+                continue
+            # odds of the mean word to the power of at most 20 words
+            odds = np.exp((total - total.max()) / len(found) * min(len(found), 20))
+            best = int(total.argmax())
+            out.append((model.languages[best], float(odds[best] / odds.sum())))
+        return out
+
+    return judged
+
+
 def _predict(shared):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
+        judged = _judge(shared.value)
+        for batch in batches:
+            yield pd.DataFrame(judged(batch["text"].tolist()), columns=["lang_pred", "score"]).assign(doc_id=batch["doc_id"].array)[["doc_id", "lang_pred", "score"]]
 
-        model, find, seen = shared.value, re.compile(r"[^\W\d_]+").findall, {}
-        width = len(model.languages)
-        numbers, grams = model.words.numbers(), [g.numbers() for g in model.grams]
-        values = np.zeros((len(numbers) + MEMORY, width))
-        values[: len(numbers)] = model.words.logs
-        known = len(numbers)
+    return run
 
-        def number(word: str) -> int:
-            k = numbers.get(word)
-            if k is None:
-                k = seen.get(word)
-                if k is None:
-                    if len(seen) == MEMORY:
-                        return -1
-                    k = seen[word] = known + len(seen)
-                    values[k] = _backoff(model, grams, word)
-            return k
 
+def _known(shared):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged = _judge(shared.value)
         for batch in batches:
-            out = []
-            for text in batch["text"].tolist():
-                found = find(text.lower()) if text else []
-                if not found:
-                    out.append(("und", 0.0))
-                    continue
-                total = np.zeros(width)
-                for i in range(0, len(found), 65_536):
-                    part = found[i : i + 65_536]
-                    at = [number(w) for w in part]
-                    if -1 in at:
-                        total += sum(_backoff(model, grams, w) for w, k in zip(part, at, strict=True) if k < 0)
-                        at = [k for k in at if k >= 0]
-                    total += values[at].sum(0)
-                if len(seen) == MEMORY:
-                    seen.clear()
-                # odds of the mean word to the power of at most 20 words
-                odds = np.exp((total - total.max()) / len(found) * min(len(found), 20))
-                best = int(total.argmax())
-                out.append((model.languages[best], float(odds[best] / odds.sum())))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"]).assign(doc_id=batch["doc_id"].array)[["doc_id", "lang_pred", "score"]]
+            yield batch.filter(pa.array([lang != "und" for lang, _ in judged(batch.column("text").to_pylist())], pa.bool_()))
 
     return run
 
@@ -171,6 +195,9 @@ def identify(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:
 
 
 def known_language(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:
-    """The rows of docs whose text is in some language: those predicted `und` are rejected."""
-    gone = identify(docs, fit_rows).where("lang_pred = 'und'").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of docs whose text is in some language: those predicted `und` are rejected, each by its own text. If
+    nothing is labelled, only texts without letters are."""
+    model = fit(docs.where(~held_out(F.col("doc_id"))), fit_rows)
+    if model is None:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
