@@ -4,7 +4,8 @@ Every permutation of a document's shingles gives two signature values, its minim
 evaluations fill a signature. Bands of signature values propose candidates; every link is confirmed on full shingle
 sets. What is linked is reduced to components, and these are exact over all pairs that share a band:
 
-1. documents with equal shingle sets form a class, shown by its smallest doc_id (pre-aggregated, so copies are cheap);
+1. texts with equal shingle sets form a class with a number of its own, shown by a text of its smallest doc_id
+   (pre-aggregated, so copies are cheap); a doc_id with several texts is in several classes, which it joins at the end;
 2. each class is compared with the smallest class of each of its bands; links give first components;
 3. bands that still hold several components are compared in blocks across components: pairs whose signatures or sizes
    rule out the threshold by five standard errors are dropped in the block; the others are confirmed on full sets, the
@@ -72,7 +73,7 @@ def _sign(n: int):
                     rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), bands(signature), (signature >> np.uint64(40)).astype("<u2").tobytes()))
                 else:
                     rows.append((0, None, None, None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "same", "bands", "signature"]).assign(doc_id=batch["doc_id"].array)[["doc_id", "n_shingles", "same", "bands", "signature"]]
+            yield pd.DataFrame(rows, columns=["n_shingles", "same", "bands", "signature"]).assign(doc_id=batch["doc_id"].array, of=batch["of"].array)[["doc_id", "of", "n_shingles", "same", "bands", "signature"]]
 
     return run
 
@@ -124,7 +125,7 @@ def _sets(n: int):
 def _packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in blocks(batches, ["band"], BLOCK):
         pack = lambda c: x[c].to_numpy("<i8").tobytes()  # noqa: B023, E731
-        yield pd.DataFrame({"band": [x["band"].iloc[0]], "first": [x["rep"].iloc[0]], "ids": [pack("rep")], "comps": [pack("comp")], "sizes": [pack("n_shingles")], "signatures": [b"".join(x["signature"])], "sets": [b"".join(x["set"])]})
+        yield pd.DataFrame({"band": [x["band"].iloc[0]], "first": [x["rep"].iloc[0]], "ids": [pack("rep")], "comps": [pack("comp")], "sizes": [(x["set"].str.len() // 8).to_numpy("<i8").tobytes()], "signatures": [b"".join(x["signature"])], "sets": [b"".join(x["set"])]})
 
 
 def _confirm(n: int, percent: int):
@@ -162,28 +163,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of `words`-word shingles.
     """
-    docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = table(docs.mapInPandas(_sign(words), "doc_id long, n_shingles long, same binary, bands array<long>, signature binary"))
-    classes = table(signed.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")).where("rep is not null"))
+    docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("of", F.xxhash64("text"))
+    signed = table(docs.mapInPandas(_sign(words), "doc_id long, of long, n_shingles long, same binary, bands array<long>, signature binary"))
+    shown = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "of"))).alias("shown")
+    classes = signed.where("n_shingles > 0").groupBy("same").agg(shown, F.first("bands").alias("bands"), F.first("signature").alias("signature")).where("shown is not null")
+    classes = table(classes.select("same", F.col("shown.doc_id").alias("doc_id"), F.col("shown.of").alias("of"), "bands", "signature").withColumn("rep", F.monotonically_increasing_id()))
     banded = classes.select("rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = table(banded.join(hubs, "band").select("band", "rep", "hub"))
-    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = table(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    ids = classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("doc_id", "of", "rep")
+    texts = docs.join(ids.hint("merge"), ["doc_id", "of"]).dropDuplicates(["doc_id", "of"])
+    # from here to `later`, doc_id, a and b are numbers of classes
+    texts = table(texts.select(F.col("rep").alias("doc_id"), "text"))
     first = _confirmed(texts, shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), words, percent)
     known = table(components(first))
     placed = shared.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component_id", "rep").alias("comp"))
     mixed_bands = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     rest = table(placed.join(mixed_bands, "band", "left_semi"))
     sets = table(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(words), "rep long, set binary"))
-    rest = table(rest.join(classes.select("rep", "n_shingles", "signature"), "rep").join(sets, "rep"))
+    rest = table(rest.join(classes.select("rep", "signature"), "rep").join(sets, "rep"))
     packed = table(rest.repartitionByRange("band", "rep").sortWithinPartitions("band", "rep").mapInPandas(_packed, "band long, first long, ids binary, comps binary, sizes binary, signatures binary, sets binary"))
     names = ["first", "ids", "comps", "sizes", "signatures", "sets"]
     pairs = packed.join(packed.select("band", *[F.col(c).alias(c + "2") for c in names]), "band").where("first <= first2").drop("band", "first", "first2")
     later = table(pairs.mapInPandas(_across(percent / 100, percent), "a long, b long"))
+    named = lambda c: classes.select(F.col("rep").alias(c), F.col("doc_id").alias("of_" + c))
+    links = first.union(later).join(named("a"), "a").join(named("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     # classes that share a doc_id are one document
-    own = signed.where("n_shingles > 0").select("doc_id", "same").join(classes.select("same", "rep"), "same").where("doc_id is not null and doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    joined = components(first.union(later).union(own))
+    own = signed.where("n_shingles > 0").select("doc_id", "same").join(classes.select("same", F.col("doc_id").alias("rep")), "same").where("doc_id is not null and doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    joined = components(links.union(own))
     return signed.join(joined, signed["doc_id"] == joined["id"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept")
     )
