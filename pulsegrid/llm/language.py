@@ -5,7 +5,8 @@ n-grams of itself with its ends marked: to its 5-grams if the model knows one of
 to single letters; a word without a known letter says nothing. A document's scores are the sums over all its words.
 
 Words are maximal runs of letters, lower-cased. The model is counted by Spark on a bounded sample of labelled rows
-(`fit_rows`, about; every row where there are fewer) and keeps the `words_per_language` most frequent words and as many
+(`fit_rows`, about; every row where there are fewer), drawn by hash from each language: all rows of small languages and
+equally many of the others. It keeps the `words_per_language` most frequent words and as many
 n-grams of each length, for at most MAX_LANGUAGES languages (the most frequent), so its size is bounded.
 
 Defined cases: null text, text without letters and text of which the model knows no word and no n-gram give `und` with
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, without
 
 LONGEST, MAX_LANGUAGES = 5, 200
+_PARTS = 10**12
 #: Unknown words whose scores one Python worker remembers; emptied when full.
 MEMORY = 200_000
 
@@ -75,17 +77,25 @@ def _items(counts: pa.Table, languages: list[str]) -> Items:
     return Items("\n".join(items.dictionary.to_pylist()), np.log(x / x.sum(0)) if len(x) else x)
 
 
+def shares(sizes: dict[str, int], fit_rows: int) -> dict[str, float]:
+    """The part of each language's rows to draw: as many rows of each as fit into fit_rows, all of smaller ones."""
+    left, most = fit_rows, 0.0
+    for k, n in enumerate(sorted(sizes.values())):
+        most = left / (len(sizes) - k)
+        left -= min(n, most)
+    return {lang: min(1.0, most / n) for lang, n in sizes.items()}
+
+
 def fit(docs: DataFrame, fit_rows: int = 20_000, words_per_language: int = 30_000) -> Model | None:
     """A model of labelled rows (doc_id, text, lang); None if no row has both text and lang."""
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    n = rows.count()
-    if not n:
-        return None
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(max(1, int(1_000_000 * fit_rows / n))))
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not languages:
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not sizes:
         return None
+    languages = list(sizes)
+    if sum(sizes.values()) > fit_rows:
+        parts = [F.lit(x) for lang, p in shares(sizes, fit_rows).items() for x in (lang, int(p * _PARTS))]
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)) < F.create_map(*parts)[F.col("lang")])
     word = F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("item")
     words = table(rows.where(F.col("lang").isin(languages)).select("lang", word).where("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n")))
     marked = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
