@@ -2,14 +2,20 @@
 
 A list is a log of dated entries (kind, value, action, at): `add` puts a value on the list, `remove` takes it off. The
 log of each value becomes validity intervals, only its changes counting. A capture (url, fetched_at) is judged by an
-as-of join against the intervals that hold at fetch time: by its host and by every domain that the host lies in.
-A verdict hangs on host and time only, so captures are reduced to these first and a frequent host costs little.
+as-of join against them: of each value that its host or a domain above it has on the list, the last interval that began
+by the fetch time is looked up, and holds if it hasn't ended.
+
+A verdict hangs on host and time only. Hosts are first joined with the list, each once, whatever the number of its
+captures; what a host finds are the changes of its listed values, in order of time. Distinct pairs of host and time are
+then joined with their host's changes, a host's pairs dealt out to parts, and each takes the last ones by its time.
 
 Kinds: `host` (this host alone), `domain` (this domain and all below it). Of several active entries the host's comes
 first, then the longest domain. At one instant `remove` comes after `add`; an entry holds from its instant on.
 
 Defined cases: a null, empty or unparsable url, or a null time, isn't blocked; entries with a null field are ignored;
-values are compared in lower case without a dot at the end; repeated entries count once; other columns are kept.
+values are compared in lower case without a dot at the end; repeated entries count once; repeated captures each give a
+row. Other columns are kept, but those named like a result column (host, blocked, listed_kind, listed_value,
+listed_since) are replaced. Without entries nothing is blocked.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_values
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
@@ -37,12 +43,22 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (url, fetched_at, ...) with host, blocked, and the entry's listed_kind, listed_value, listed_since."""
-    captures = captures.withColumn("host", host(F.col("url")))
+    captures = captures.drop("host", "blocked", "listed_kind", "listed_value", "listed_since").withColumn("host", host(F.col("url")))
     asked = table(captures.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct())
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("value")))
-    keys = asked.select("host", "fetched_at", F.inline(F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value"))), domains)))
-    listed = keys.join(intervals(entries), ["kind", "value"]).where("since <= fetched_at and (until is null or fetched_at < until)")
-    best = listed.groupBy("host", "fetched_at").agg(F.max(F.struct(F.col("kind") == "host", F.length("value"), "kind", "value", "since")).alias("x"))
+    own = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value")))
+    keys = asked.select("host").distinct().select("host", F.inline(F.concat(own, domains)))
+    keys = keys.select("host", F.concat_ws(":", "kind", "value").alias("key"))
+    # the intervals of one value, as many as its changes in the log
+    span = F.struct("since", "until", "kind", "value")
+    spans = intervals(entries).groupBy(F.concat_ws(":", "kind", "value").alias("key")).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    # per host: the intervals of each of its listed values, the values in order of precedence
+    rank = F.struct(F.col("key").startswith("host:"), F.length("key")).alias("rank")
+    listed = with_values(keys, "key", "host", spans, "inner").groupBy("host").agg(F.sort_array(F.collect_list(F.struct(rank, "spans")), asc=False).alias("listed"))
+    known = with_values(asked, "host", "fetched_at", listed, "inner")
+    last = lambda x: F.try_element_at(F.filter(x["spans"], lambda s: s["since"] <= F.col("fetched_at")), F.lit(-1))
+    as_of = F.filter(F.transform("listed", last), lambda s: s.isNotNull() & (s["until"].isNull() | (s["until"] > F.col("fetched_at"))))
+    best = known.select("host", "fetched_at", F.try_element_at(as_of, F.lit(1)).alias("x")).where("x is not null")
     best = best.select("host", "fetched_at", F.col("x.kind").alias("listed_kind"), F.col("x.value").alias("listed_value"), F.col("x.since").alias("listed_since"))
     return captures.join(best, ["host", "fetched_at"], "left").withColumn("blocked", F.col("listed_kind").isNotNull())
