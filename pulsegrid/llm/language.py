@@ -4,19 +4,21 @@ A word that the model knows is scored by its log frequency in each language. Any
 n-grams of itself with its ends marked: to its 5-grams if the model knows one of them, else to 4-grams, and so on down
 to single letters; a word without a known letter says nothing. A document's scores are the sums over all its words.
 
-Words are maximal runs of letters, lower-cased. The model is counted by Spark on a bounded sample of labelled rows
-(`fit_rows`, about; every row where there are fewer), drawn by hash from each language: all rows of small languages and
-equally many of the others. It keeps the `words_per_language` most frequent words and as many
-n-grams of each length, for at most MAX_LANGUAGES languages (the most frequent), so its size is bounded.
-
-Defined cases: null text, text without letters and text of which the model knows no word and no n-gram give `und` with
-score 0; so does everything if nothing is labelled. known_language keeps every text with letters if nothing is labelled.
-Equal scores: the language that sorts first. Other columns are ignored, and lang, source and doc_id are no input of a
-prediction.
+Words are maximal runs of letters (`\\p{L}`), lower-cased. The model is counted by Spark on a bounded sample of labelled
+rows (`fit_rows`, about; every row where there are fewer), drawn by hash from each language: all rows of small languages
+and equally many of the others. Every language of the sample is learnt, with all its words and n-grams but those rarer
+than `rarest` (a share of the language's words, or of its n-grams of that length), so no language has more than
+1 / `rarest` of a kind. The model holds counts above zero only; it grows with the sample, not with the corpus.
+
+Defined cases: null text and text without letters give `und` with score 0, and so does everything if nothing is labelled.
+A text with letters of which the model knows nothing gets the language that sorts first and an equal share as score.
+Equal scores: the language that sorts first. Rows are judged each by itself, so repeated rows and a null doc_id are no
+special case. Other columns are ignored, and lang, source and doc_id are no input of a prediction.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,26 +26,49 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, without
 
-LONGEST, MAX_LANGUAGES = 5, 200
+LONGEST = 5
 _PARTS = 10**12
-#: Unknown words whose scores one Python worker remembers; emptied when full.
-MEMORY = 200_000
+#: Bytes of scores of unknown words that one task remembers, and the most words; emptied when full.
+MEMORY, MEMORY_WORDS = 16 << 20, 200_000
+#: Bytes up to which the items of one kind are laid out in full.
+DENSE = 16 << 20
 
 
 @dataclass
 class Items:
-    """Known words, or n-grams of one length, in one text of lines, and a row of log frequencies (one per language) each."""
+    """Known words, or n-grams of one length, in one text of lines. Item k has the log frequencies `base` (those of an
+    item never seen), raised by more[i] in language at[i] for i in start[k] .. start[k + 1]."""
 
     lines: str
-    logs: np.ndarray
+    start: np.ndarray
+    at: np.ndarray
+    more: np.ndarray
+    base: np.ndarray
 
     def numbers(self) -> dict[str, int]:
-        return {w: k for k, w in enumerate(self.lines.split("\n"))} if len(self.logs) else {}
+        return {w: k for k, w in enumerate(self.lines.split("\n"))} if len(self.start) > 1 else {}
+
+    def totals(self):
+        """A function from item numbers to the sum of their log frequencies, by language. Where all of them take no more
+        than DENSE bytes they are laid out in full, which is quicker and the same."""
+        start, at, more, base = self.start, self.at, self.more, self.base
+        if 8 * (len(start) - 1) * len(base) <= DENSE:
+            rows = np.zeros((len(start) - 1, len(base)))
+            rows[np.repeat(np.arange(len(start) - 1), np.diff(start)), at] = more
+            return lambda items: len(items) * base + rows[items].sum(0)
+
+        def total(items: list[int]) -> np.ndarray:
+            k = np.asarray(items, np.int64)
+            n = start[k + 1] - start[k]
+            flat = np.repeat(start[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            return len(k) * base + np.bincount(at[flat], more[flat], len(base))
+
+        return total
 
 
 @dataclass
@@ -55,26 +80,17 @@ class Model:
     grams: list[Items]
 
 
-def _backoff(model: Model, numbers: list[dict[str, int]], word: str) -> np.ndarray | None:
-    """The score of a word the model doesn't know: the mean over its longest known n-grams; None without any."""
-    marked = f"^{word}$"
-    for n in range(min(LONGEST, len(marked)), 0, -1):
-        of, part = numbers[n - 1], marked if n > 1 else word
-        found = [k for i in range(len(part) - n + 1) if (k := of.get(part[i : i + n])) is not None]
-        if found:
-            return model.grams[n - 1].logs[found].mean(0)
-    return None
-
-
 def _items(counts: pa.Table, languages: list[str]) -> Items:
     """Log frequencies, half a count added, of the items of one kind."""
-    named = counts["lang"].combine_chunks().dictionary_encode()
-    at = np.array([languages.index(x) for x in named.dictionary.to_pylist()], np.int64)
+    counts = counts.sort_by("item")
     items = counts["item"].combine_chunks().dictionary_encode()
-    x = np.full((len(items.dictionary), len(languages)), 0.5)
-    if len(items):
-        np.add.at(x, (items.indices.to_numpy(), at[named.indices.to_numpy()]), counts["n"].to_numpy())
-    return Items("\n".join(items.dictionary.to_pylist()), np.log(x / x.sum(0)) if len(x) else x)
+    lang = counts["lang"].combine_chunks().dictionary_encode()
+    at = np.array([languages.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
+    n = counts["n"].to_numpy().astype(float)
+    of = items.indices.to_numpy()
+    total = np.bincount(at, n, len(languages)) + 0.5 * max(len(items.dictionary), 1)
+    start = np.searchsorted(of, np.arange(len(items.dictionary) + 1))
+    return Items("\n".join(items.dictionary.to_pylist()), start, at, np.log(n + 0.5) - np.log(0.5), np.log(0.5) - np.log(total))
 
 
 def shares(sizes: dict[str, int], fit_rows: int) -> dict[str, float]:
@@ -86,80 +102,98 @@ def shares(sizes: dict[str, int], fit_rows: int) -> dict[str, float]:
     return {lang: min(1.0, most / n) for lang, n in sizes.items()}
 
 
-def fit(docs: DataFrame, fit_rows: int = 20_000, words_per_language: int = 30_000) -> Model | None:
+def fit(docs: DataFrame, fit_rows: int = 20_000, rarest: float = 2e-6) -> Model | None:
     """A model of labelled rows (doc_id, text, lang); None if no row has both text and lang."""
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
         return None
-    languages = list(sizes)
     if sum(sizes.values()) > fit_rows:
         parts = [F.lit(x) for lang, p in shares(sizes, fit_rows).items() for x in (lang, int(p * _PARTS))]
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)) < F.create_map(*parts)[F.col("lang")])
     word = F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("item")
-    words = table(rows.where(F.col("lang").isin(languages)).select("lang", word).where("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n")))
+    words = table(rows.select("lang", word).where("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n")))
     marked = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
     size = F.array(*[F.lit(k) for k in range(1, LONGEST + 1)])
     grams = words.select("lang", "n", marked.alias("item"), F.explode(size).alias("size")).where(F.length("item") >= F.col("size"))
-    grams = grams.select("lang", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), F.length("item") - F.col("size") + 1), lambda i: F.substring(F.col("item"), i, F.col("size")))).alias("item"))
+    starts = F.sequence(F.lit(1), F.length("item") - F.col("size") + 1)
+    grams = grams.select("lang", "n", "size", F.explode(F.transform(starts, lambda i: F.substring(F.col("item"), i, F.col("size")))).alias("item"))
     grams = grams.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    counts = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(grams)
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item"))
-    # at most MAX_LANGUAGES * (1 + LONGEST) * words_per_language short rows, as Arrow columns
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= words_per_language).select("lang", "size", "item", "n").toArrow()
-    languages = sorted(languages)
+    counts = table(words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(grams))
+    totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("all"))  # 1 + LONGEST rows per language
+    known = counts.join(F.broadcast(totals), ["lang", "size"]).where(F.col("n") >= F.lit(rarest) * F.col("all"))
+    # at most 1 / rarest items per language and kind, and no more than the sample holds, as Arrow columns
+    top = known.select("lang", "size", "item", "n").toArrow()
+    languages = sorted(sizes)
     kinds = [_items(top.filter(pc.equal(top["size"], k)), languages) for k in range(LONGEST + 1)]
     return Model(languages, kinds[0], kinds[1:])
 
 
-def _judge(model: Model):
-    """A function from texts to (lang_pred, score) of each."""
-    import re
+def letter_runs(text: str) -> list[str]:
+    """The maximal runs of letters of a text: `\\p{L}`, which is what str.isalpha tells."""
+    found = re.findall(r"[^\W\d_]+", text)
+    if all(map(str.isalpha, found)):
+        return found
+    # numerals that are no decimal digits stand in some runs
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split(" ")) if w]
 
-    find, seen = re.compile(r"[^\W\d_]+").findall, {}
+
+def _judge(model: Model):
+    """A function from texts to (lang_pred, score, told) of each; told: whether the model knows anything of the text."""
     width = len(model.languages)
-    numbers, grams = model.words.numbers(), [g.numbers() for g in model.grams]
-    known = len(numbers)
-    values, says = np.zeros((known + MEMORY, width)), np.ones(known + MEMORY, bool)
-    values[:known] = model.words.logs
+    words, grams = model.words.numbers(), [(g.numbers(), g.totals()) for g in model.grams]
+    total_of = model.words.totals()
+    most = max(1, min(MEMORY_WORDS, MEMORY // (8 * width)))
+    seen: dict[str, int] = {}
+    values, says = np.zeros((most, width)), np.ones(most, bool)
+
+    def backoff(word: str) -> np.ndarray | None:
+        """The score of a word the model doesn't know: the mean over its longest known n-grams; None without any."""
+        marked = f"^{word}$"
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            (of, total), part = grams[n - 1], marked if n > 1 else word
+            found = [k for i in range(len(part) - n + 1) if (k := of.get(part[i : i + n])) is not None]
+            if found:
+                return total(found) / len(found)
+        return None
 
-    def number(word: str) -> int:
-        k = numbers.get(word)
+    def remembered(word: str) -> int:
+        k = seen.get(word)
         if k is None:
-            k = seen.get(word)
-            if k is None:
-                if len(seen) == MEMORY:
-                    return -1
-                k = seen[word] = known + len(seen)
-                score = _backoff(model, grams, word)
-                says[k] = score is not None
-                values[k] = 0 if score is None else score
+            k = seen[word] = len(seen)
+            score = backoff(word)
+            says[k] = score is not None
+            values[k] = 0 if score is None else score
         return k
 
-    def judged(texts: list[str | None]) -> list[tuple[str, float]]:
+    def judged(texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out = []
         for text in texts:
-            found = find(text.lower()) if text else []
-            total, told = np.zeros(width), False
-            for i in range(0, len(found), 65_536):
-                part = found[i : i + 65_536]
-                at = [number(w) for w in part]
-                if -1 in at:
-                    more = [x for w, k in zip(part, at, strict=True) if k < 0 and (x := _backoff(model, grams, w)) is not None]
-                    total += sum(more)
-                    told = told or bool(more)
-                    at = [k for k in at if k >= 0]
-                total += values[at].sum(0)
-                told = told or bool(says[at].any())
-            if len(seen) == MEMORY:
-                seen.clear()
-            if not told:
-                out.append(("und", 0.0))
+            found = letter_runs(text.lower()) if text else []
+            if not found:
+                out.append(("und", 0.0, False))
                 continue
+            total, told = np.zeros(width), False
+            for i in range(0, len(found), most):
+                part = found[i : i + most]
+                known = list(map(words.get, part))
+                unknown = []
+                if None in known:
+                    unknown = [w for w, k in zip(part, known, strict=True) if k is None]
+                    known = [k for k in known if k is not None]
+                if known:
+                    total += total_of(known)
+                    told = True
+                if unknown:
+                    if len(seen) + len(unknown) > most:
+                        seen.clear()
+                    at = [remembered(w) for w in unknown]
+                    total += values[at].sum(0)
+                    told = told or bool(says[at].any())
             # odds of the mean word to the power of at most 20 words
             odds = np.exp((total - total.max()) / len(found) * min(len(found), 20))
             best = int(total.argmax())
-            out.append((model.languages[best], float(odds[best] / odds.sum())))
+            out.append((model.languages[best], float(odds[best] / odds.sum()), told))
         return out
 
     return judged
@@ -169,7 +203,8 @@ def _predict(shared):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judged = _judge(shared.value)
         for batch in batches:
-            yield pd.DataFrame(judged(batch["text"].tolist()), columns=["lang_pred", "score"]).assign(doc_id=batch["doc_id"].array)[["doc_id", "lang_pred", "score"]]
+            found = pd.DataFrame(judged(batch["text"].tolist()), columns=["lang_pred", "score", "told"])
+            yield found.assign(doc_id=batch["doc_id"].array)[["doc_id", "lang_pred", "score"]]
 
     return run
 
@@ -178,7 +213,7 @@ def _known(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged = _judge(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([lang != "und" for lang, _ in judged(batch.column("text").to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([told for *_, told in judged(batch.column("text").to_pylist())], pa.bool_()))
 
     return run
 
@@ -199,14 +234,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:
-    """Fit on the rows that aren't held out, predict all: doc_id, held_out, lang_pred, score."""
+    """Fit on the rows that aren't held out, predict all: doc_id, held_out, lang_pred, score. One row per row of docs, in
+    the cases that the module's text defines; an empty table gives none."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), fit_rows)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:
-    """The rows of docs whose text is in some language: those predicted `und` are rejected, each by its own text. If
-    nothing is labelled, only texts without letters are."""
+    """The rows of docs whose text is in some language, with all their columns.
+
+    Rejected, each row by its own text: null text, texts without a letter, and texts of whose words and n-grams the model
+    knows none. If nothing is labelled, every text with a letter stays. Repeated rows and rows with a null doc_id are
+    judged like any other; an empty table stays empty.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))), fit_rows)
     if model is None:
         return docs.where(F.col("text").rlike("\\p{L}"))
