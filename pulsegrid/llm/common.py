@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,13 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Parts into which the rows of one key are dealt.
+SALTS = 32
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir; only where that is unset (tests), below a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder's path below spark.checkpoint.dir. Where that is unset, in local sessions only (tests), it lies below
+    a folder of our own; a cluster without the setting is refused, as its machines share no temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -30,6 +37,32 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("__salt", F.pmod(F.xxhash64(F.col(by)), F.lit(SALTS)))
+
+
+def with_totals(df: DataFrame, keys: list[str], by: str, totals: dict[str, tuple], having: str = "true") -> DataFrame:
+    """df with totals of its groups, without the rows of groups that `having` rules out. No task holds all rows of a key.
+
+    totals: for each name, the aggregate of a part of a group, and the function that unites the parts' values. The
+    column `by` deals the rows of a group out. Keys must not be null.
+    """
+    dealt = _salted(df, by)
+    parts = dealt.groupBy(*keys, "__salt").agg(*[first.alias(name) for name, (first, _) in totals.items()])
+    salts = F.collect_list("__salt").alias("__salts")  # at most SALTS
+    whole = parts.groupBy(*keys).agg(*[unite(name).alias(name) for name, (_, unite) in totals.items()], salts).where(having)
+    back = whole.select(*keys, *totals, F.explode("__salts").alias("__salt"))
+    return dealt.join(back, [*keys, "__salt"]).drop("__salt")
+
+
+def with_values(df: DataFrame, key: str, by: str, values: DataFrame, how: str = "left") -> DataFrame:
+    """df joined with `values` (one row per key), so that no task holds all rows of a key."""
+    dealt = _salted(df, by)
+    salts = dealt.select(key, "__salt").distinct().groupBy(key).agg(F.collect_list("__salt").alias("__salts"))
+    back = salts.join(values, key).withColumn("__salt", F.explode("__salts")).drop("__salts")
+    return dealt.join(back, [key, "__salt"], how).drop("__salt")
+
+
 def blocks(batches: Iterable[pd.DataFrame], keys: list[str], most: int) -> Iterator[pd.DataFrame]:
     """Rows that come sorted by `keys`, as frames of at most `most` rows with one value of the keys each. Only the last
     frame's rows are held."""
