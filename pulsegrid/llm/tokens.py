@@ -4,10 +4,13 @@ The vocabulary is lower-cased and splits texts into letter runs, single digits a
 merge is looked up, so the ids of a text are those of its pieces, one after another. Only pieces not met before go to
 the library's model. A probe text is encoded both ways first, and another kind of vocabulary is refused.
 
+* Texts that hold an added token of the vocabulary (as `<|endoftext|>`), in any case, are encoded whole by the library.
 * Texts of Latin-1 signs are cut by the same rule here (`_PIECE`, on Latin-1 bytes).
 * Other texts are cut at ASCII white space only (white space never composes with its neighbours, and no piece
   contains any) and each part is encoded whole.
 * The empty text and null have no ids.
+
+The memory is bounded by bytes, and pieces longer than LONG aren't remembered, whatever the texts hold.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Pieces remembered by one Python worker; the memory is emptied when it is full (about 100 bytes each).
-MEMORY = 600_000
+#: Bytes of pieces and ids that one Python worker remembers; the memory is emptied when it is full. Each entry counts
+#: as ENTRY bytes more than its content. Longer pieces than LONG bytes aren't remembered.
+MEMORY, ENTRY, LONG = 48 << 20, 150, 256
 
 # The pre-tokenizer's classes within Latin-1.
 _LETTERS = rb"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -46,29 +50,21 @@ _SIGN = _signs()
 _PROBE = "Don't stop. Été 42½, naïve ''s: x²=µ;\x85\xa0(ÀB)cd\x00"
 
 
-class _Pieces(dict):
-    """Ids of Latin-1 pieces; each is given to the library's model when it is first met."""
+class _Memory(dict):
+    """Pieces of text to ids, made when first met and remembered up to a number of bytes."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, make, memory: int):
         super().__init__()
-        self.tokenize = tokenizer.model.tokenize
+        self.make, self.memory, self.used = make, memory, 0
 
     def __missing__(self, piece: bytes) -> bytes:
-        signs = "".join(map(_SIGN.__getitem__, piece.decode("latin-1").encode()))
-        found = self[piece] = b"".join(made.id.to_bytes(4, "little") for made in self.tokenize(signs))
-        return found
-
-
-class _Parts(dict):
-    """Ids of parts without ASCII white space, in UTF-8; each is encoded by the library when it is first met."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, part: bytes) -> bytes:
-        made = self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False)
-        found = self[part] = np.array(made.ids, "<u4").tobytes()
+        found = self.make(piece)
+        if len(piece) <= LONG:
+            if self.used > self.memory:
+                self.clear()
+                self.used = 0
+            self.used += ENTRY + len(piece) + len(found)
+            self[piece] = found
         return found
 
 
@@ -84,11 +80,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.memory, self.find = memory, re.compile(_PIECE).findall
-        self.latin, self.other = _Pieces(self.tokenizer), _Parts(self.tokenizer)
-        if self.encode([_PROBE])[0] != np.array(self.tokenizer.encode(_PROBE, add_special_tokens=False).ids, "<u4").tobytes():
+        self.find = re.compile(_PIECE).findall
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marked = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
+        self.latin, self.other = _Memory(self._piece, memory // 2), _Memory(self._part, memory // 2)
+        if self.encode([_PROBE])[0] != self._whole(_PROBE):
             raise ValueError(f"{path} cuts texts by another rule than this module")
 
     @classmethod
@@ -98,13 +95,25 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        """The ids of a piece of a Latin-1 text."""
+        signs = "".join(map(_SIGN.__getitem__, piece.decode("latin-1").encode()))
+        return b"".join(made.id.to_bytes(4, "little") for made in self.tokenizer.model.tokenize(signs))
+
+    def _part(self, part: bytes) -> bytes:
+        """The ids of a part without ASCII white space, in UTF-8."""
+        return self._whole(part.decode("utf-8", "replace"))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, without an end id."""
-        if len(self.latin) + len(self.other) > self.memory:
-            self.latin.clear()
-            self.other.clear()
         latin, other, found = self.latin.__getitem__, self.other.__getitem__, []
         for text in texts:
+            if text and self.marked(text):
+                found.append(self._whole(text))
+                continue
             try:
                 found.append(b"".join(map(latin, self.find((text or "").encode("latin-1").translate(_LOWER)))))
             except UnicodeEncodeError:

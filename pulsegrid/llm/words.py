@@ -5,26 +5,53 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes one Python worker remembers; the memory is emptied when it is full.
-MEMORY = 400_000
+#: Bytes of words and hashes that one task remembers (an entry counts as ENTRY bytes more than its word); the memory is
+#: emptied when it is full and at the end of a task. Words longer than LONG bytes aren't remembered.
+MEMORY, ENTRY, LONG = 32 << 20, 120, 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
+    used = 0
+
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG:
+            if self.used > MEMORY:
+                self.forget()
+            self.used += ENTRY + len(word)
+            self[word] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.used = 0
+
 
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """Empty this worker's memory of words."""
+    _HASHES.forget()
+
+
+def forgetting(task):
+    """A function of batches that empties the memory of words when it ends, as workers go on to tasks of other kinds."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            forget()
+
+    return run
+
+
 def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+`; with lower, A-Z are lower-cased first (and no other letters)."""
-    if len(_HASHES) > MEMORY:
-        _HASHES.clear()
     data = (text or "").encode("utf-8", "surrogatepass")
     found = (data.lower() if lower else data).split()
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
