@@ -8,11 +8,12 @@ sources at 15 exponents at once, which is four bisections.
 Weights become counts by budgeted block permutations: a source's budget is so many whole passes and a part. For the part
 its documents lie in blocks of about BLOCK documents by a hash; the blocks come in the order of another hash, and
 documents in theirs by a third. Blocks before the budget's end are taken whole; only the block in which it ends is
-looked at document by document (taken while the sum stays within the budget). So running sums go over blocks, never
-over the documents of a source.
+looked at document by document: of those that fit into what is left, taken while their sum stays within the budget. So
+running sums go over blocks, never over the documents of a source.
 
 Defined cases: tokens are words `[^\\x20\\x09-\\x0D]+`, null text has none; a null source is one source like any other
-(null); a null doc_id has a place like any other; sources without tokens get whole passes as the largest source does.
+(null); a row with a null doc_id has its place by its text; rows that share doc_id (or, without one, the text) share a
+place; sources without tokens get one pass. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -79,7 +80,17 @@ def mixture(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats: fl
 
     budget: tokens to draw, as a multiple of all; None: as many as take every document at least once.
     """
-    rows = table(without(docs, "doc_id", "text", "source").select("doc_id", "source", words(F.col("text")).alias("n_tokens")))
+    return _mixture(docs, entropy_share, max_repeats, budget, seed).drop("key")
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.md5(text), F.lit(""))
+
+
+def _mixture(docs: DataFrame, entropy_share: float | None, max_repeats: float | None, budget: float | None, seed: str) -> DataFrame:
+    """What mixture gives, and the key by which a row is placed."""
+    rows = without(docs, "doc_id", "text", "source")
+    rows = table(rows.select("doc_id", "source", words(F.col("text")).alias("n_tokens"), _key(F.col("doc_id"), F.col("text")).alias("key")))
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     sources = table(totals.where("tokens > 0"))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -102,24 +113,32 @@ def mixture(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats: fl
         plan = sources.select("source", "n", "tokens", F.round(part / z, 9).alias("weight")).withColumn("goal", F.floor(F.col("weight") * F.lit(total * budget)))
     plan = plan.select("source", "weight", F.expr("goal div tokens").alias("passes"), (F.col("goal") % F.col("tokens")).alias("part"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     plan = table(plan)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     known = plan.withColumnRenamed("source", "of")
     placed = rows.join(known, rows["source"].eqNullSafe(known["of"]), "left").drop("of")
-    placed = placed.withColumn("block", F.pmod(_place(F.lit(seed), key), F.col("blocks")))
+    placed = placed.withColumn("block", F.pmod(_place(F.lit(seed), F.col("key")), F.col("blocks")))
     sums = placed.where("part > 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("part").alias("part"))
     over = Window.partitionBy("source").orderBy(_place(F.lit(seed), F.lit("block"), F.col("block").cast("string")), "block")
     ends = sums.withColumn("before", F.sum("size").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).where("before < part")
     ends = ends.select(F.col("source").alias("of"), F.col("block").alias("in_block"), "before", (F.col("before") + F.col("size") <= F.col("part")).alias("whole"))
     placed = placed.join(ends, placed["source"].eqNullSafe(ends["of"]) & (placed["block"] == ends["in_block"]), "left").drop("of", "in_block")
-    order = Window.partitionBy("source", "block").orderBy(_place(F.lit(seed), F.lit("doc"), key), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = placed.where("not whole").withColumn("extra", (F.col("before") + F.sum("n_tokens").over(order) <= F.col("part")).cast("long"))
+    fits = F.col("before") + F.col("n_tokens") <= F.col("part")
+    order = Window.partitionBy("source", "block", "fits").orderBy(_place(F.lit(seed), F.lit("doc"), F.col("key")), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    cut = placed.where("not whole").withColumn("fits", fits).withColumn("sum", F.sum("n_tokens").over(order))
+    cut = cut.withColumn("extra", (F.col("fits") & (F.col("before") + F.col("sum") <= F.col("part"))).cast("long")).drop("fits", "sum")
     rest = placed.where("whole is null or whole").withColumn("extra", F.when(F.col("whole"), 1).otherwise(0).cast("long"))
     # sources without tokens: one pass
-    return rest.unionByName(cut).select("doc_id", "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), (F.coalesce("passes", F.lit(1).cast("long")) + F.col("extra")).alias("copies"))
+    copies = F.coalesce("passes", F.lit(1).cast("long")) + F.col("extra")
+    return rest.unionByName(cut).select("doc_id", "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), copies.alias("copies"), "key")
 
 
 def mixed_documents(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats: float = 1.5, seed: str = "mix") -> DataFrame:
-    """docs with every document taken at least once and those of small sources repeated towards the target weights."""
-    copies = mixture(docs, entropy_share, max_repeats, None, seed).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__n"))
-    drawn = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]) & docs["source"].eqNullSafe(copies["__source"]), "left")
-    return drawn.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.coalesce("__n", F.lit(1).cast("long")))))).select(*[docs[c] for c in docs.columns])
+    """docs with every document taken at least once and those of small sources repeated towards the target weights.
+
+    All columns are kept. Null texts and sources without tokens are taken once; rows that share doc_id and source (or,
+    without a doc_id, text and source) are taken equally often. An empty table stays empty.
+    """
+    copies = _mixture(docs, entropy_share, max_repeats, None, seed)
+    copies = copies.groupBy(F.col("key").alias("__key"), F.col("source").alias("__source")).agg(F.max("copies").alias("__n")).where("__n > 1")
+    drawn = docs.join(copies, (_key(docs["doc_id"], docs["text"]) == copies["__key"]) & docs["source"].eqNullSafe(copies["__source"]), "left")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("__n", F.lit(1).cast("long"))))
+    return drawn.withColumn("__n", times).select(*[docs[c] for c in docs.columns])
