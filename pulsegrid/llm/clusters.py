@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Links within a task are first reduced to a spanning forest. Then each round joins every node to the smallest neighbour
-it knows, until nothing changes; minima are pre-aggregated before the shuffle and joins of hot nodes can be split by
-adaptive execution, so no task holds the neighbours of a node.
+it knows, until all links form stars. The neighbours of a node are dealt out to parts, whose minima are united, so no task
+holds all neighbours of a node.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_totals
 
 
 class Forest:
@@ -51,17 +51,25 @@ def forest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield own.edges()
 
 
+def _with_least(e: DataFrame) -> DataFrame:
+    return with_totals(e, ["u"], "v", {"m": (F.min("v"), F.min)})
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("u", "m")).distinct()
+    moved = _with_least(down).select("u", "v", "m")
+    return moved.select(F.inline(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one link to a smaller one, or is such a smaller one: then each star is a component."""
+    ends = e.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -71,9 +79,7 @@ def components(links: DataFrame) -> DataFrame:
     and so are nodes without links. No links: an empty table.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    e, seen = table(links.mapInPandas(forest, "a long, b long")), None
-    while True:
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen or not now[0]:
-            return e.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
-        e, seen = table(_small(_large(e))), now
+    e = table(links.mapInPandas(forest, "a long, b long"))
+    while not _stars(e):
+        e = table(_small(_large(e)))
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component_id"))

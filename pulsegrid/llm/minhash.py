@@ -7,9 +7,10 @@ sets. What is linked is reduced to components, and these are exact over all pair
 1. texts with equal shingle sets form a class with a number of its own, shown by a text of its smallest doc_id
    (pre-aggregated, so copies are cheap); a doc_id with several texts is in several classes, which it joins at the end;
 2. each class is compared with the smallest class of each of its bands; links give first components;
-3. bands that still hold several components are compared in blocks across components: pairs whose signatures or sizes
-   rule out the threshold by five standard errors are dropped in the block; the others are confirmed on full sets, the
-   likeliest first, unless the block has joined their components already. A block gives out the joining links only.
+3. bands that still hold several components are compared in blocks across components, in order of set size, so that
+   only blocks of similar sizes meet. Pairs are ruled out by exact bounds only (their sizes, and their shingles counted
+   in BUCKETS parts, can't reach the threshold); the others are confirmed on full sets, the likeliest first, unless the
+   block has joined their components already. A block gives out the joining links only.
 
 No pair within a component is enumerated, no bucket is capped.
 
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import Forest, components
-from .common import blocks, table, without
-from .words import mixed, shingle_set
+from .common import blocks, table, with_values, without
+from .words import forgetting, mixed, shingle_set
 
 #: Permutations; each gives two signature values. Bands of ROWS values each: a pair at similarity s shares none with
 #: probability (1 - s**ROWS) ** (2 * PERMUTATIONS / ROWS): 4e-7 at 0.85 and 3e-5 at 0.8.
 PERMUTATIONS, ROWS = 40, 4
-#: Rows of a block of one band.
-BLOCK = 128
+#: Rows of a block of one band, and the parts in which shingles are counted to bound what two sets share.
+BLOCK, BUCKETS = 128, 512
 
 _random = np.random.default_rng(20240817)
 _XOR = _random.integers(0, 2**63, PERMUTATIONS, np.uint64)
@@ -61,6 +62,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(n: int):
+    @forgetting
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -69,18 +71,22 @@ def _sign(n: int):
             for text in batch["text"].tolist():
                 found = shingle_set(text, n)
                 if len(found):
-                    signature = min_max(found)
-                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), bands(signature), (signature >> np.uint64(40)).astype("<u2").tobytes()))
+                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), bands(min_max(found))))
                 else:
-                    rows.append((0, None, None, None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "same", "bands", "signature"]).assign(doc_id=batch["doc_id"].array, of=batch["of"].array)[["doc_id", "of", "n_shingles", "same", "bands", "signature"]]
+                    rows.append((0, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "same", "bands"])
+            yield out.assign(doc_id=batch["doc_id"].array, of=batch["of"].array)[["doc_id", "of", "n_shingles", "same", "bands"]]
 
     return run
 
 
-def _across(threshold: float, percent: int):
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles of each set lie in each of the parts."""
+    return np.stack([np.bincount((x >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS) for x in sets]).astype(np.int32)
+
+
+def _across(percent: int):
     """Links between different components in two blocks of a band, confirmed on full sets: as many as join components."""
-    spread = 5 * (threshold * (1 - threshold) / (2 * PERMUTATIONS)) ** 0.5
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -88,22 +94,26 @@ def _across(threshold: float, percent: int):
                 ids, other = np.frombuffer(x.ids, "<i8"), np.frombuffer(x.ids2, "<i8")
                 of, of2 = np.frombuffer(x.comps, "<i8"), np.frombuffer(x.comps2, "<i8")
                 size, size2 = np.frombuffer(x.sizes, "<i8"), np.frombuffer(x.sizes2, "<i8")
-                left, right = (np.frombuffer(s, "<u2").reshape(-1, 2 * PERMUTATIONS) for s in (x.signatures, x.signatures2))
-                same = np.zeros((len(ids), len(other)), np.uint8)
-                for k in range(2 * PERMUTATIONS):
-                    same += left[:, None, k] == right[None, :, k]
-                fits = (same >= (threshold - spread) * 2 * PERMUTATIONS) & (of[:, None] != of2[None, :])
-                fits &= np.minimum(size[:, None], size2[None, :]) >= threshold * np.maximum(size[:, None], size2[None, :]) - 1e-9
+                fits = (of[:, None] != of2[None, :]) & (100 * np.minimum(size[:, None], size2[None, :]) >= percent * np.maximum(size[:, None], size2[None, :]))
                 i, j = np.nonzero(fits)
-                order = np.argsort(-same[i, j].astype(int), kind="stable")
-                sets, sets2 = np.frombuffer(x.sets, "<u8"), np.frombuffer(x.sets2, "<u8")
-                end, end2 = np.cumsum(size), np.cumsum(size2)
+                if not len(i):
+                    continue
+                sets = np.split(np.frombuffer(x.sets, "<u8"), np.cumsum(size)[:-1])
+                sets2 = np.split(np.frombuffer(x.sets2, "<u8"), np.cumsum(size2)[:-1])
+                counts, counts2 = _counted(sets), _counted(sets2)
+                # no more than this can be common
+                most = np.concatenate([np.minimum(counts[i[k : k + 4096]], counts2[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)])
+                left = 100 * most - percent * (size[i] + size2[j] - most)
                 joined, found = Forest(), []
-                for m, n in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                    if joined.root(int(of[m])) != joined.root(int(of2[n])) and _alike(sets[end[m] - size[m] : end[m]], sets2[end2[n] - size2[n] : end2[n]], percent):
+                for k in np.argsort(-left, kind="stable").tolist():
+                    if left[k] < 0:
+                        break
+                    m, n = i[k], j[k]
+                    if joined.root(int(of[m])) != joined.root(int(of2[n])) and _alike(sets[m], sets2[n], percent):
                         joined.join(int(of[m]), int(of2[n]))
                         found.append((ids[m], other[n]))
-                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -115,6 +125,7 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _sets(n: int):
+    @forgetting
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"rep": batch["doc_id"].array, "set": [shingle_set(text, n).tobytes() for text in batch["text"].tolist()]})
@@ -124,11 +135,15 @@ def _sets(n: int):
 
 def _packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in blocks(batches, ["band"], BLOCK):
-        pack = lambda c: x[c].to_numpy("<i8").tobytes()  # noqa: B023, E731
-        yield pd.DataFrame({"band": [x["band"].iloc[0]], "first": [x["rep"].iloc[0]], "ids": [pack("rep")], "comps": [pack("comp")], "sizes": [(x["set"].str.len() // 8).to_numpy("<i8").tobytes()], "signatures": [b"".join(x["signature"])], "sets": [b"".join(x["set"])]})
+        pack = lambda c: [x[c].to_numpy("<i8").tobytes()]  # noqa: B023, E731
+        size = x["size"].to_numpy()
+        yield pd.DataFrame(
+            {"band": [x["band"].iloc[0]], "first": [size[0]], "last": [size[-1]], "start": [x["rep"].iloc[0]], "ids": pack("rep"), "comps": pack("comp"), "sizes": pack("size"), "sets": [b"".join(x["set"])]}
+        )
 
 
 def _confirm(n: int, percent: int):
+    @forgetting
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[int, np.ndarray] = {}
 
@@ -164,10 +179,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of `words`-word shingles.
     """
     docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("of", F.xxhash64("text"))
-    signed = table(docs.mapInPandas(_sign(words), "doc_id long, of long, n_shingles long, same binary, bands array<long>, signature binary"))
+    signed = table(docs.mapInPandas(_sign(words), "doc_id long, of long, n_shingles long, same binary, bands array<long>"))
+    filled = signed.where("n_shingles > 0")
     shown = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "of"))).alias("shown")
-    classes = signed.where("n_shingles > 0").groupBy("same").agg(shown, F.first("bands").alias("bands"), F.first("signature").alias("signature")).where("shown is not null")
-    classes = table(classes.select("same", F.col("shown.doc_id").alias("doc_id"), F.col("shown.of").alias("of"), "bands", "signature").withColumn("rep", F.monotonically_increasing_id()))
+    classes = filled.groupBy("same").agg(shown, F.first("bands").alias("bands")).where("shown is not null")
+    classes = classes.select("same", F.col("shown.doc_id").alias("doc_id"), F.col("shown.of").alias("of"), "bands")
+    classes = table(classes.withColumn("rep", F.monotonically_increasing_id()))
     banded = classes.select("rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = table(banded.join(hubs, "band").select("band", "rep", "hub"))
@@ -180,23 +197,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = shared.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component_id", "rep").alias("comp"))
     mixed_bands = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     rest = table(placed.join(mixed_bands, "band", "left_semi"))
-    sets = table(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(words), "rep long, set binary"))
-    rest = table(rest.join(classes.select("rep", "signature"), "rep").join(sets, "rep"))
-    packed = table(rest.repartitionByRange("band", "rep").sortWithinPartitions("band", "rep").mapInPandas(_packed, "band long, first long, ids binary, comps binary, sizes binary, signatures binary, sets binary"))
-    names = ["first", "ids", "comps", "sizes", "signatures", "sets"]
-    pairs = packed.join(packed.select("band", *[F.col(c).alias(c + "2") for c in names]), "band").where("first <= first2").drop("band", "first", "first2")
-    later = table(pairs.mapInPandas(_across(percent / 100, percent), "a long, b long"))
+    sets = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(words), "rep long, set binary")
+    sets = table(sets.withColumn("size", F.floor(F.octet_length("set") / 8).cast("long")))
+    order = ["band", "size", "rep"]
+    rest = table(rest.join(sets, "rep")).repartitionByRange(*order).sortWithinPartitions(*order)
+    packed = table(rest.mapInPandas(_packed, "band long, first long, last long, start long, ids binary, comps binary, sizes binary, sets binary"))
+    again = packed.select("band", *[F.col(c).alias(c + "2") for c in packed.columns if c != "band"])
+    near = "(first, start) <= (first2, start2) and 100 * last >= {0} * first2".format(percent)
+    later = table(packed.join(again, "band").where(near).mapInPandas(_across(percent), "a long, b long"))
     named = lambda c: classes.select(F.col("rep").alias(c), F.col("doc_id").alias("of_" + c))
     links = first.union(later).join(named("a"), "a").join(named("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     # classes that share a doc_id are one document
-    own = signed.where("n_shingles > 0").select("doc_id", "same").join(classes.select("same", F.col("doc_id").alias("rep")), "same").where("doc_id is not null and doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    own = with_values(filled.where("doc_id is not null").select("doc_id", "same"), "same", "doc_id", classes.select("same", F.col("doc_id").alias("rep")), "inner")
+    own = own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     joined = components(links.union(own))
-    return signed.join(joined, signed["doc_id"] == joined["id"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept")
-    )
+    component = F.coalesce("component_id", "doc_id")
+    found = signed.join(joined, signed["doc_id"] == joined["id"], "left")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without all but one document (the smallest doc_id) of each group of near-duplicates."""
+    """The rows of docs without all but one document (the smallest doc_id) of each group of near-duplicates, with all
+    their columns.
+
+    Null texts, texts without words and rows with a null doc_id link with nothing and stay; rows that share a doc_id are
+    one document and stay or go together. An empty table stays empty.
+    """
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, without
-from .words import grams, word_hashes
+from .words import forgetting, grams, word_hashes
 
 GRAM, WINDOW, EXTEND = 10, 20, 32
 #: Rows of one key that a task holds to see whether they need their passages hashed; of more rows all are taken to do so.
@@ -53,6 +53,7 @@ def minimisers(h: np.ndarray) -> np.ndarray:
 
 
 def _retain(key: int, least: int):
+    @forgetting
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -165,6 +166,7 @@ def _around(key: int, least: int):
     """The word hashes left and right of each chain in one document, from the chain outwards; in a row without a chain,
     the hashes of the passages of `least` words that hold one of the suffixes `at`."""
 
+    @forgetting
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
