@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import activity, alignment, bouts, circadian, files, gait, heart, records, series, signals, streams, wear  # noqa: F401
+    from .plans import activity, alignment, beats, bouts, circadian, files, gait, heart, records, series, signals, streams, wear  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
