@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_totals
+from .common import table, tidy, with_totals
 
 
 class Forest:
@@ -78,6 +78,7 @@ def components(links: DataFrame) -> DataFrame:
     component_id is the smallest id that can be reached. Nodes that are their own component's smallest are left out,
     and so are nodes without links. No links: an empty table.
     """
+    tidy(links.sparkSession)
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     e = table(links.mapInPandas(forest, "a long, b long"))
     while not _stars(e):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -29,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver forget finished queries. Spark drops their shuffle files and broadcasts once the driver's garbage
+    is collected, which it otherwise does every 30 minutes only (spark.cleaner.periodicGC.interval)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(df: DataFrame) -> DataFrame:
     """Cut lineage: write a DataFrame as a table in the shared folder and read it back, so that lost executors and
     later uses recompute nothing of what came before."""

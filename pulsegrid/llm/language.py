@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import table, tidy, without
 
 LONGEST = 5
 _PARTS = 10**12
@@ -104,6 +104,7 @@ def shares(sizes: dict[str, int], fit_rows: int) -> dict[str, float]:
 
 def fit(docs: DataFrame, fit_rows: int = 20_000, rarest: float = 2e-6) -> Model | None:
     """A model of labelled rows (doc_id, text, lang); None if no row has both text and lang."""
+    tidy(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not sizes:

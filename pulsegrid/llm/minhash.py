@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import Forest, components
-from .common import blocks, table, with_values, without
+from .common import blocks, table, tidy, with_values, without
 from .words import forgetting, mixed, shingle_set
 
 #: Permutations; each gives two signature values. Bands of ROWS values each: a pair at similarity s shares none with
@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of `words`-word shingles.
     """
+    tidy(docs.sparkSession)
     docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("of", F.xxhash64("text"))
     signed = table(docs.mapInPandas(_sign(words), "doc_id long, of long, n_shingles long, same binary, bands array<long>"))
     filled = signed.where("n_shingles > 0")

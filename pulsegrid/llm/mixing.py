@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import table, tidy, without
 
 #: Documents of a block, on average.
 BLOCK = 2048
@@ -89,6 +89,7 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 def _mixture(docs: DataFrame, entropy_share: float | None, max_repeats: float | None, budget: float | None, seed: str) -> DataFrame:
     """What mixture gives, and the key by which a row is placed."""
+    tidy(docs.sparkSession)
     rows = without(docs, "doc_id", "text", "source")
     rows = table(rows.select("doc_id", "source", words(F.col("text")).alias("n_tokens"), _key(F.col("doc_id"), F.col("text")).alias("key")))
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))

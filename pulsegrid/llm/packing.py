@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import table, tidy, without
 from .tokens import Encoder, by_size, default_vocabulary
 
 #: Pieces of a group, on average: its padding is in its last sequences.
@@ -88,6 +88,7 @@ def _fill(length: int):
 
 def pack_documents(docs: DataFrame, length: int = 4096, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
     """Per piece of docs (doc_id, text, ...): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    tidy(docs.sparkSession)
     rows = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     pieces = rows.mapInPandas(_cut(vocabulary or default_vocabulary(), end_id, length), _PIECES)
     pieces = table(pieces.withColumn("row", F.monotonically_increasing_id()))

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_totals, without
+from .common import table, tidy, with_totals, without
 
 #: Bytes read in the first rounds, in the next one, and at most in a round.
 STEPS, REST, LARGEST = (64, 448, 3584), 32_768, 4 << 20
@@ -41,6 +41,7 @@ def _split(part: DataFrame) -> DataFrame:
 def _groups(base: DataFrame) -> DataFrame:
     """Rows (row, doc_id, text) to row, doc_id, text_sha256, and where the text stands in several rows: keep_id, the row
     `head` that stays, and their number n."""
+    tidy(base.sparkSession)
     data = F.col("data")
     base = base.select("row", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("signs"), squeezed(F.col("text")).alias("plain"))
     cuts, start = [], 1
