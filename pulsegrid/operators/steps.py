@@ -62,7 +62,7 @@ def steps(
         out = []
         for at in np.flatnonzero((part["__push"].notna() & part["own"]).to_numpy()):
             state, mid, hit = _features(x, int(at), fs, avg, std, push, swing, heel, strike)
-            hit = None if hit is None or hit >= len(x) else hit
+            hit = None if hit is None else min(hit, len(x) - 1)
             row = [None if k is None else int(idx[k]) for k in (mid, hit)]
             out.append((int(idx[at]), state, *row, None if hit is None else float(x[hit])))
         out = pd.DataFrame(out, columns=["idx", "state", "mid_swing", "heel_strike", "value"]).astype({"mid_swing": "Int64", "heel_strike": "Int64"})
