@@ -45,6 +45,16 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables. Only for tables of which everything that follows has itself been written, so
+    that lost executors need nothing of them."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def _salted(df: DataFrame, by: str) -> DataFrame:
     return df.withColumn("__salt", F.pmod(F.xxhash64(F.col(by)), F.lit(SALTS)))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import Forest, components
-from .common import blocks, table, tidy, with_values, without
+from .common import blocks, discard, table, tidy, with_values, without
 from .words import forgetting, mixed, shingle_set
 
 #: Permutations; each gives two signature values. Bands of ROWS values each: a pair at similarity s shares none with
@@ -200,12 +200,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rest = table(placed.join(mixed_bands, "band", "left_semi"))
     sets = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(words), "rep long, set binary")
     sets = table(sets.withColumn("size", F.floor(F.octet_length("set") / 8).cast("long")))
+    discard(texts)
     order = ["band", "size", "rep"]
-    rest = table(rest.join(sets, "rep")).repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = table(rest.mapInPandas(_packed, "band long, first long, last long, start long, ids binary, comps binary, sizes binary, sets binary"))
+    full = table(rest.join(sets, "rep"))
+    packed = full.repartitionByRange(*order).sortWithinPartitions(*order)
+    packed = table(packed.mapInPandas(_packed, "band long, first long, last long, start long, ids binary, comps binary, sizes binary, sets binary"))
+    discard(full, sets)
     again = packed.select("band", *[F.col(c).alias(c + "2") for c in packed.columns if c != "band"])
     near = "(first, start) <= (first2, start2) and 100 * last >= {0} * first2".format(percent)
     later = table(packed.join(again, "band").where(near).mapInPandas(_across(percent), "a long, b long"))
+    discard(packed)
     named = lambda c: classes.select(F.col("rep").alias(c), F.col("doc_id").alias("of_" + c))
     links = first.union(later).join(named("a"), "a").join(named("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     # classes that share a doc_id are one document

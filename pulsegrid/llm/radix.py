@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tidy, with_totals, without
+from .common import discard, table, tidy, with_totals, without
 
 #: Bytes read in the first rounds, in the next one, and at most in a round.
 STEPS, REST, LARGEST = (64, 448, 3584), 32_768, 4 << 20
@@ -38,9 +38,9 @@ def _split(part: DataFrame) -> DataFrame:
     return table(shared.select("row", F.col("next").alias("group"), "size", "ended"))
 
 
-def _groups(base: DataFrame) -> DataFrame:
+def _groups(base: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Rows (row, doc_id, text) to row, doc_id, text_sha256, and where the text stands in several rows: keep_id, the row
-    `head` that stays, and their number n."""
+    `head` that stays, and their number n; and the written tables that this is read from."""
     tidy(base.sparkSession)
     data = F.col("data")
     base = base.select("row", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("signs"), squeezed(F.col("text")).alias("plain"))
@@ -71,12 +71,12 @@ def _groups(base: DataFrame) -> DataFrame:
     best = F.struct(-F.col("signs"), F.col("doc_id").isNull(), "doc_id", "row")
     placed = with_totals(members, ["group"], "row", {"best": (F.min(best), F.min), "n": (F.count("*"), F.sum)})
     placed = placed.select("row", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("head"), "n")
-    return whole.select("row", "doc_id", "text_sha256").join(placed, "row", "left")
+    return whole.select("row", "doc_id", "text_sha256").join(placed, "row", "left"), [whole] if texts is None else [whole, texts]
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256 (of the squeezed text)."""
-    rows = _groups(without(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    rows, _ = _groups(without(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
     alone = F.col("n").isNull()
     return rows.select(
         "doc_id",
@@ -94,5 +94,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     rows one stays, whatever their doc_id (null included). An empty table stays empty.
     """
     own = table(docs.withColumn("__row", F.monotonically_increasing_id()))
-    kept = _groups(own.select(F.col("__row").alias("row"), *[F.col(f"`{c}`") for c in ("doc_id", "text")])).where("n is null or head = row").select(F.col("row").alias("__kept"))
+    rows, used = _groups(own.select(F.col("__row").alias("row"), *[F.col(f"`{c}`") for c in ("doc_id", "text")]))
+    kept = table(rows.where("n is null or head = row").select(F.col("row").alias("__kept")))
+    discard(*used)
+    tidy(docs.sparkSession)
     return own.join(kept, own["__row"] == kept["__kept"], "left_semi").drop("__row")
