@@ -64,13 +64,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words; none where there are fewer."""
-    m = len(h) - n + 1
-    if m <= 0:
+    """A hash of each run of n words; none where there are fewer. Runs are doubled, or made longer by a word, as the
+    binary digits of n say: few operations on arrays, since most texts are short."""
+    if len(h) < n:
         return np.zeros(0, np.uint64)
-    found = h[:m].copy()
-    for i in range(1, n):
-        found = found * _MIX + h[i : i + m]
+    found, size = h, 1
+    for digit in f"{n:b}"[1:]:
+        found = found[:-size] * np.uint64(pow(int(_MIX), size, 1 << 64)) + found[size:]
+        size *= 2
+        if digit == "1":
+            found = found[:-1] * _MIX + h[size:]
+            size += 1
     return mixed(found)
 
 
