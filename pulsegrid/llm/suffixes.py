@@ -278,8 +278,9 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     ends = ends.groupBy("doc_id").agg(F.collect_list("end").alias("ends"), F.collect_list("at").alias("at"))
     shape = "chain long, is_other boolean, doc_id long, first int, stop int, left binary, right binary, key array<long>, pos array<int>"
     around = table(docs.join(ends, "doc_id").mapInPandas(_around(key, least), shape))
-    other = around.where("is_other").select("chain", F.col("doc_id").alias("other"), *[F.col(c).alias(c + "2") for c in ("first", "stop", "left", "right")])
-    spans = around.where("not is_other").join(other, "chain").mapInPandas(_extended(least), "doc_id long, start int, stop int").distinct()
+    sides = ("first", "stop", "left", "right")
+    other = around.where("is_other").select("chain", F.col("doc_id").alias("other"), *[F.col(c).alias(c + "2") for c in sides])
+    spans = around.where("not is_other").select("chain", "doc_id", *sides).join(other, "chain").mapInPandas(_extended(least), "doc_id long, start int, stop int").distinct()
     whole = around.where("key is not null").select("doc_id", F.inline(F.arrays_zip("key", "pos"))).select("key", "doc_id", "pos")
     order = ["key", "doc_id", "pos"]
     again = table(whole.repartitionByRange("key", "doc_id").sortWithinPartitions(*order).mapInPandas(_repeated(True), "edge boolean, key long, doc_id long, pos int"))
