@@ -49,7 +49,8 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     if len(g) < WINDOW:
         return np.zeros(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-    return np.unique(np.concatenate([view[i : i + 65_536].argmin(1) + np.arange(i, min(i + 65_536, len(view))) for i in range(0, len(view), 65_536)]))
+    at = np.concatenate([view[i : i + 65_536].argmin(1) + np.arange(i, min(i + 65_536, len(view))) for i in range(0, len(view), 65_536)])
+    return at[np.append(True, at[1:] != at[:-1])]  # the leftmost smallest gram never moves to the left
 
 
 def _retain(key: int, least: int):
