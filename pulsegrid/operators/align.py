@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
+from . import chunks
 
 
 def _sides(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str]):
@@ -13,11 +16,14 @@ def _sides(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values:
     cols = [c for c in left.columns if c not in keys and c != ts]
     one = left.select(*keys, ts, F.struct(*cols).alias("__left"), F.lit(None).cast(right.select(F.struct(ts, *values)).schema[0].dataType).alias("__right"), F.lit(1).alias("__side"))
     two = right.select(*keys, ts, F.lit(None).cast(left.select(F.struct(*cols)).schema[0].dataType).alias("__left"), F.struct(ts, *values).alias("__right"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*keys).orderBy(ts, "__side", *[F.col(f"__right.{v}") for v in values])
-    both = one.unionByName(two).withColumn("before", F.last("__right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    back = Window.partitionBy(*keys).orderBy(F.desc(ts), "__side", *[F.desc(F.col(f"__right.{v}")) for v in values])
-    both = both.withColumn("after", F.last("__right", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    return both.where("__side = 1").select(*keys, ts, "__left.*", "before", "after")
+    both = chunks.chunked(one.unionByName(two), ts)
+    # a right row is ordered by its time and values, so the extreme ones of a chunk are what other chunks see of it
+    ends = both.groupBy(*keys, "__chunk").agg(F.max("__right").alias("__last"), F.min("__right").alias("__first"))
+    up = Window.partitionBy(*keys, "__chunk").orderBy(ts, "__side", *[F.col(f"__right.{v}") for v in values])
+    down = Window.partitionBy(*keys, "__chunk").orderBy(F.desc(ts), "__side", *[F.desc(F.col(f"__right.{v}")) for v in values])
+    seen = {n: F.last("__right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for n, w in (("__b", up), ("__a", down))}
+    x = both.withColumns(seen).where("__side = 1").join(chunks.beyond(ends, keys), [*keys, "__chunk"])
+    return x.select(*keys, ts, "__left.*", F.coalesce("__b", "__last").alias("before"), F.coalesce("__a", "__first").alias("after"))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str]) -> DataFrame:
@@ -32,10 +38,12 @@ def following(left: DataFrame, right: DataFrame, keys: list[str], ts: str) -> Da
     """left with next_ts, the time of the first right row strictly after."""
     one = left.withColumn("__side", F.lit(0)).withColumn("__r", F.lit(None).cast("timestamp_ntz"))
     two = right.select(*keys, ts).withColumn("__side", F.lit(1)).withColumn("__r", F.col(ts))
-    w = Window.partitionBy(*keys).orderBy(F.desc(ts), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = chunks.chunked(one.unionByName(two, allowMissingColumns=True), ts)
+    ends = both.groupBy(*keys, "__chunk").agg(F.max("__r").alias("__last"), F.min("__r").alias("__first"))
+    w = Window.partitionBy(*keys, "__chunk").orderBy(F.desc(ts), "__side").rowsBetween(Window.unboundedPreceding, 0)
     # descending: left rows come before right rows of the same time, so only later ones are seen
-    both = one.unionByName(two, allowMissingColumns=True).withColumn("next_ts", F.last("__r", ignorenulls=True).over(w))
-    return both.where("__side = 0").drop("__side", "__r")
+    x = both.withColumn("__own", F.last("__r", ignorenulls=True).over(w)).where("__side = 0").join(chunks.beyond(ends, keys), [*keys, "__chunk"])
+    return x.withColumn("next_ts", F.coalesce("__own", "__first")).drop("__side", "__r", "__own", "__chunk", "__first", "__last")
 
 
 def interpolate(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str, hold: bool = True) -> DataFrame:
@@ -50,16 +58,49 @@ def interpolate(left: DataFrame, right: DataFrame, keys: list[str], ts: str, val
 
 def fill_linear(df: DataFrame, keys: list[str], order: list[str], value: str, by_time: bool = False) -> DataFrame:
     """Nulls of `value` filled linearly by position or by time; leading ones stay, trailing ones are held."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    x = df.withColumn("__p", micros(order[0]) if by_time else F.row_number().over(w).cast("long"))
+    x = df.withColumn("__p", micros(order[0])) if by_time else chunks.numbered(df, keys, order, "__p")
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("__p").alias("p")))
-    x = x.withColumn("__b", F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__a", F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    mid = F.col("__b.v") + (F.col("__a.v") - F.col("__b.v")) * (F.col("__p") - F.col("__b.p")) / F.nullif(F.col("__a.p") - F.col("__b.p"), F.lit(0).cast("long"))
-    return x.withColumn(value, F.coalesce(F.col(value), mid, F.col("__b.v"))).drop("__p", "__a", "__b")
+    x = chunks.known(x, keys, order, point, "__from", "__to")
+    mid = F.col("__from.v") + (F.col("__to.v") - F.col("__from.v")) * (F.col("__p") - F.col("__from.p")) / F.nullif(F.col("__to.p") - F.col("__from.p"), F.lit(0).cast("long"))
+    return x.withColumn(value, F.coalesce(F.col(value), mid, F.col("__from.v"))).drop("__p", "__to", "__from")
 
 
-def lagged_correlation(df: DataFrame, keys: list[str], index: str, x: str, y: str, lags: int) -> DataFrame:
-    """keys, lag, r, n: Pearson correlation of y at index with x at index - lag, for lags -lags .. lags."""
-    left = df.select(*keys, F.col(index).alias("__i"), F.col(y).alias("__y"))
-    right = df.select(*keys, F.col(x).alias("__x"), F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), F.col(index)).withColumn("__i", F.col(index) + F.col("lag")).drop(index)
-    return left.join(right, [*keys, "__i"]).groupBy(*keys, "lag").agg(F.corr("__y", "__x").alias("r"), F.count("*").alias("n"))
+def lagged_correlation(df: DataFrame, keys: list[str], index: str, x: str, y: str, lags: int, least: int = 2, size: int = 8192) -> DataFrame:
+    """keys, lag, r, n: Pearson correlation of y at index with x at index - lag, for lags -lags .. lags that have `least`
+    pairs or more; n counts the pairs of finite values. r is null where a side is constant.
+
+    The index (unique in a key) is cut into chunks with `lags` rows more on both sides. A chunk gives its own moments
+    about its own means for each lag, and these are added up.
+    """
+    size = max(size, 4 * lags)
+    rows = chunks.haloed(df.select(*keys, F.col(index).alias("__i"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")), keys, "__i", size, lags, lags, "__part", "__own")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "lag int, n long, mx double, my double, xx double, yy double, xy double"])
+
+    def moments(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        start = int(key[-1]) * size
+        at, own = rows["__i"].to_numpy() - start + lags, rows["__own"].to_numpy(bool)
+        xs, ys = np.full(size + 2 * lags, np.nan), np.full(size, np.nan)
+        xs[at], ys[at[own] - lags] = rows["__x"].to_numpy(float), rows["__y"].to_numpy(float)[own]
+        found = []
+        for lag in range(-lags, lags + 1):
+            a = xs[lags - lag : lags - lag + size]
+            both = np.isfinite(a) & np.isfinite(ys)
+            if n := int(both.sum()):
+                a, b = a[both], ys[both]
+                mx, my = a.mean(), b.mean()
+                a, b = a - mx, b - my
+                found.append((*key[:-1], lag, n, mx, my, a @ a, b @ b, a @ b))
+        return pd.DataFrame(found, columns=[*keys, "lag", "n", "mx", "my", "xx", "yy", "xy"])
+
+    parts = rows.groupBy(*keys, "__part").applyInPandas(moments, schema)
+    n, total = F.sum("n"), lambda c: F.sum(F.col("n") * c)
+    mx, my = F.col("mx"), F.col("my")
+    sums = parts.groupBy(*keys, "lag").agg(
+        n.alias("n"),
+        (F.sum("xx") + total(mx * mx) - total(mx) * total(mx) / n).alias("xx"),
+        (F.sum("yy") + total(my * my) - total(my) * total(my) / n).alias("yy"),
+        (F.sum("xy") + total(mx * my) - total(mx) * total(my) / n).alias("xy"),
+    )
+    r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    return sums.where(F.col("n") >= least).select(*keys, "lag", r.alias("r"), "n")

@@ -6,8 +6,11 @@ Here windows go over (participant, chunk of time); what passes from chunk to chu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.columns import DAY, micros
 
@@ -17,27 +20,69 @@ def chunked(df: DataFrame, ts: str, size_us: int = DAY) -> DataFrame:
     return df.withColumn("__chunk", F.floor(micros(ts) / F.lit(size_us)))
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """df with `value` of the row before in the order (null for a key's first row); the first column of the order is a
-    timestamp."""
-    df = chunked(df, order[0])
-    own = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    df = df.withColumn("__c_value", F.struct(value.alias("v"))).withColumn("__c_own", F.lag("__c_value").over(own))
-    ends = df.groupBy(*keys, "__chunk").agg(F.max_by("__c_value", F.struct(*order)).alias("__c_last"))
-    ends = ends.withColumn("__c_before", F.lag("__c_last").over(Window.partitionBy(*keys).orderBy("__chunk"))).drop("__c_last")
+def linked(df: DataFrame, keys: list[str], order: list[str], before: dict[str, Column] | None = None, after: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """df with values of the row before each (`before`), of the row after (`after`), and running sums with the row's own.
+
+    The first column of the order is a timestamp; rows without a key or a time are no samples and are left out. What
+    passes from chunk to chunk is one summary row a chunk for all columns together. Edges of a recording give null.
+    """
+    before, after, sums = before or {}, after or {}, sums or {}
+    df = chunked(df, order[0]).withColumns({f"__v_{n}": F.struct(c.alias("v")) for n, c in (before | after).items()})
+    first_last = F.struct(*order)
+    ends = df.groupBy(*keys, "__chunk").agg(
+        *[F.max_by(f"__v_{n}", first_last).alias(f"__e_{n}") for n in before],
+        *[F.min_by(f"__v_{n}", first_last).alias(f"__e_{n}") for n in after],
+        *[F.sum(c).alias(f"__e_{n}") for n, c in sums.items()],
+    )
+    over, own = Window.partitionBy(*keys).orderBy("__chunk"), Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    past = over.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        *keys,
+        "__chunk",
+        *[F.lag(f"__e_{n}").over(over).alias(f"__e_{n}") for n in before],
+        *[F.lead(f"__e_{n}").over(over).alias(f"__e_{n}") for n in after],
+        *[F.coalesce(F.sum(f"__e_{n}").over(past), F.lit(0)).alias(f"__e_{n}") for n in sums],
+    )
+    up = own.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns(
+        {f"__o_{n}": F.lag(f"__v_{n}").over(own) for n in before}
+        | {f"__o_{n}": F.lead(f"__v_{n}").over(own) for n in after}
+        | {f"__o_{n}": F.sum(c).over(up) for n, c in sums.items()}
+    )
     out = df.join(ends, [*keys, "__chunk"])
-    return out.withColumn(name, F.coalesce("__c_own", "__c_before")["v"]).drop("__chunk", "__c_value", "__c_own", "__c_before")
+    out = out.withColumns({n: F.coalesce(f"__o_{n}", f"__e_{n}")["v"] for n in before | after} | {n: F.col(f"__o_{n}") + F.col(f"__e_{n}") for n in sums})
+    return out.drop("__chunk", *[f"__{k}_{n}" for k in "voe" for n in before | after | sums])
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """df with `value` of the row before in the order (null for a key's first row)."""
+    return linked(df, keys, order, before={name: value})
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
     """df with running sums up to and with each row."""
-    df = chunked(df, order[0])
-    own = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    over = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, "__chunk").agg(*[F.sum(c).alias(f"__c_{n}") for n, c in sums.items()])
-    totals = totals.select(*keys, "__chunk", *[F.coalesce(F.sum(f"__c_{n}").over(over), F.lit(0)).alias(f"__c_{n}") for n in sums])
-    out = df.withColumns({n: F.sum(c).over(own) for n, c in sums.items()}).join(totals, [*keys, "__chunk"])
-    return out.withColumns({n: F.col(n) + F.col(f"__c_{n}") for n in sums}).drop("__chunk", *[f"__c_{n}" for n in sums])
+    return linked(df, keys, order, sums=sums)
+
+
+def known(df: DataFrame, keys: list[str], order: list[str], point: Column, before: str, after: str) -> DataFrame:
+    """df with the nearest `point` that isn't null, at or before each row and at or after it."""
+    df = chunked(df.withColumn("__point", point), order[0])
+    at = F.when(F.col("__point").isNotNull(), F.struct(*order))
+    ends = df.groupBy(*keys, "__chunk").agg(F.max_by("__point", at).alias("__last"), F.min_by("__point", at).alias("__first"))
+    own = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    x = df.withColumn("__b", F.last("__point", True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("__a", F.first("__point", True).over(own.rowsBetween(0, Window.unboundedFollowing)))
+    x = x.join(beyond(ends, keys), [*keys, "__chunk"])
+    x = x.withColumns({before: F.coalesce("__b", "__last"), after: F.coalesce("__a", "__first")})
+    return x.drop("__chunk", "__point", "__a", "__b", "__last", "__first")
+
+
+def beyond(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per chunk with its __first and __last value, to the last one of all chunks before and the first after."""
+    over = Window.partitionBy(*keys).orderBy("__chunk")
+    last = F.last("__last", True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("__first", True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    return ends.select(*keys, "__chunk", last.alias("__last"), first.alias("__first"))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "idx") -> DataFrame:
@@ -46,7 +91,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "idx"
     return out.withColumn(name, F.col(name) - 1)
 
 
-def haloed(df: DataFrame, keys: list[str], index: str, size: int, before: int, after: int) -> DataFrame:
+def haloed(df: DataFrame, keys: list[str], index: str, size: int, before: int, after: int, chunk: str = "chunk", mine: str = "own") -> DataFrame:
     """Numbered rows dealt to chunks of `size`, each with the `before` rows ahead of it and the `after` rows behind it:
     df with chunk, and own for the rows that the chunk itself holds.
 
@@ -56,4 +101,14 @@ def haloed(df: DataFrame, keys: list[str], index: str, size: int, before: int, a
     first, own = F.greatest(F.floor((i - after) / n), F.lit(0).cast("long")), F.floor(i / n)
     last = F.floor((i + before) / n)
     # chunks that hold no row of their own come from the last rows only; their rows aren't own, so they give nothing
-    return df.withColumn("chunk", F.explode(F.sequence(F.least(first, own), last))).withColumn("own", F.col("chunk") == own)
+    return df.withColumn(chunk, F.explode(F.sequence(F.least(first, own), last))).withColumn(mine, F.col(chunk) == own)
+
+
+def framed(df: DataFrame, keys: list[str], order: list[str], before: int, after: int, make: Callable[[DataFrame, WindowSpec], DataFrame], size: int = 1 << 16) -> DataFrame:
+    """What `make` adds to df by windows that reach at most `before` rows back and `after` rows ahead.
+
+    make gets numbered rows (__idx, from 0) in chunks with their halos, and the window over a chunk in order.
+    """
+    x = numbered(df, keys, order, "__idx")
+    x = haloed(x, keys, "__idx", max(size, 4 * (before + after)), before, after, "__part", "__own")
+    return make(x, Window.partitionBy(*keys, "__part").orderBy("__idx")).where("__own").drop("__idx", "__part", "__own")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import HOUR, micros
-from .chunks import previous, running
+from .chunks import linked, previous, running
 
 
 def window(keys: list[str], order: list[str]):
@@ -48,10 +48,9 @@ def portions(df: DataFrame, keys: list[str], order: list[str], gap_us: int, leas
 
 def with_run(df: DataFrame, keys: list[str], order: list[str], state: Column) -> DataFrame:
     """df with run_id, which grows where the state changes."""
-    seen = previous(df.withColumn("__state", state), keys, order, F.col("__state"), "__before")
+    seen = linked(df.withColumn("__state", state), keys, order, before={"__before": F.col("__state"), "__any": F.lit(True)})
     changed = (~F.col("__before").eqNullSafe(F.col("__state"))).cast("long")
-    first = previous(seen, keys, order, F.lit(True), "__any")
-    out = running(first.withColumn("__new", F.when(F.col("__any"), changed).otherwise(0)), keys, order, {"run_id": F.col("__new")})
+    out = running(seen.withColumn("__new", F.when(F.col("__any"), changed).otherwise(0)), keys, order, {"run_id": F.col("__new")})
     return out.drop("__state", "__before", "__any", "__new")
 
 

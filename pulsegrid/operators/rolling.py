@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from ..functions.columns import col, instant, micros
+from ..functions.columns import DAY, instant, micros
 from .align import interpolate
-from .intervals import window
+from .chunks import framed, linked, numbered
 
 #: Smoothing and first-derivative weights by window length.
 SAVITZKY_GOLAY = {
@@ -33,10 +34,29 @@ def tumbling(df: DataFrame, keys: list[str], ts: str, size_us: int, aggregates:
     return df.groupBy(*keys, bin_start(ts, size_us).alias("start")).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def time_mean(df: DataFrame, keys: list[str], ts: str, size_us: int, values: list[str]) -> DataFrame:
-    """df with `values` replaced by their means over (t - size, t]."""
-    w = Window.partitionBy(*keys).orderBy("__us").rangeBetween(-(size_us - 1), 0)
-    return df.withColumn("__us", micros(ts)).withColumns({v: F.avg(v).over(w) for v in values}).drop("__us")
+def time_mean(df: DataFrame, keys: list[str], ts: str, size_us: int, values: list[str], chunk_us: int = DAY) -> DataFrame:
+    """df with `values` replaced by their means over (t - size, t]; NaN where that holds a value that isn't finite.
+
+    Time chunks hold the rows up to `size` before them as well. A mean is the difference of two running sums of centred
+    values, so its cost doesn't grow with the rows in `size`.
+    """
+    chunk = F.lit(max(chunk_us, 2 * size_us))
+    us = F.col("__us")
+    own = F.floor(us / chunk)
+    x = df.withColumn("__us", micros(ts)).withColumn("__part", F.explode(F.sequence(own, F.floor((us + (size_us - 1)) / chunk)))).withColumn("__own", F.col("__part") == own)
+    part = Window.partitionBy(*keys, "__part")
+    up, old = [part.orderBy("__us").rangeBetween(Window.unboundedPreceding, end) for end in (0, -size_us)]
+    finite = {v: F.when(F.abs(F.col(v)) < float("inf"), F.col(v)) for v in values}
+    x = x.withColumns({f"__c_{v}": F.avg(c).over(part) for v, c in finite.items()})
+    x = x.withColumns({f"__d_{v}": c - F.col(f"__c_{v}") for v, c in finite.items()})
+
+    def mean(v: str) -> Column:
+        total = F.sum(f"__d_{v}").over(up) - F.coalesce(F.sum(f"__d_{v}").over(old), F.lit(0.0))
+        n, some = [F.count(c).over(up) - F.count(c).over(old) for c in (f"__d_{v}", v)]
+        return F.when(some > n, F.lit(float("nan"))).when(n > 0, F.col(f"__c_{v}") + total / n)
+
+    x = x.withColumns({f"__m_{v}": mean(v) for v in values}).where("__own").withColumns({v: F.col(f"__m_{v}") for v in values})
+    return x.drop("__us", "__part", "__own", *[f"__{k}_{v}" for k in "cdm" for v in values])
 
 
 def std(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:
@@ -44,35 +64,37 @@ def std(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) ->
 
     Running sums of centred values and their lags: the cost doesn't grow with n.
     """
-    whole = Window.partitionBy(*keys)
-    w = window(keys, order)
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = df.withColumn("__c", F.col(value) - F.avg(value).over(whole)).withColumn("__s", F.sum("__c").over(up)).withColumn("__q", F.sum(F.col("__c") * F.col("__c")).over(up)).withColumn("__k", F.row_number().over(w))
-    zero = F.lit(0.0)
-    s, q = F.col("__s") - F.lag("__s", n, 0.0).over(w), F.col("__q") - F.lag("__q", n, 0.0).over(w)
-    back = F.when(F.col("__k") >= n, F.sqrt(F.greatest((q - s * s / n) / (n - 1), zero)))
-    x = x.withColumn("back", back)
-    return x.withColumn("ahead", F.lead("back", n - 1).over(w)).drop("__c", "__s", "__q", "__k")
+
+    def make(x: DataFrame, w: WindowSpec) -> DataFrame:
+        whole, up = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn("__c", F.col(value) - F.avg(value).over(whole)).withColumn("__s", F.sum("__c").over(up)).withColumn("__q", F.sum(F.col("__c") * F.col("__c")).over(up))
+        s, q = F.col("__s") - F.lag("__s", n, 0.0).over(w), F.col("__q") - F.lag("__q", n, 0.0).over(w)
+        x = x.withColumn("back", F.when(F.col("__idx") >= n - 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))))
+        return x.withColumn("ahead", F.lead("back", n - 1).over(w)).drop("__c", "__s", "__q")
+
+    return framed(df, keys, order, n, n, make)
 
 
 def fraction(df: DataFrame, keys: list[str], order: list[str], flag: Column, n: int) -> DataFrame:
     """df with the share of the next n rows (the own one first) that are flagged, null unless full."""
-    w = window(keys, order)
-    x = df.withColumn("__f", F.sum(F.coalesce(flag.cast("long"), F.lit(0).cast("long"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.lag("__f", 1, 0).over(w)
-    return x.withColumn("share", (F.lead("__f", n - 1).over(w) - before) / F.lit(float(n))).drop("__f")
+
+    def make(x: DataFrame, w: WindowSpec) -> DataFrame:
+        x = x.withColumn("__f", F.sum("__flag").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return x.withColumn("share", (F.lead("__f", n - 1).over(w) - F.lag("__f", 1, 0).over(w)) / F.lit(float(n))).drop("__f", "__flag")
+
+    return framed(df.withColumn("__flag", F.coalesce(flag.cast("long"), F.lit(0).cast("long"))), keys, order, 1, n, make)
 
 
 def extrema(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Rows where the sign of the difference changes; rise is its sign before (1 at a peak)."""
-    w = window(keys, order)
-    x = df.withColumn("__p", F.signum(F.col(value) - F.lag(value).over(w))).withColumn("__n", F.signum(F.lead(value).over(w) - F.col(value)))
-    return x.where("__p <> __n").withColumn("rise", F.col("__p").cast("int")).drop("__p", "__n")
+    x = linked(df, keys, order, before={"__b": F.col(value)}, after={"__a": F.col(value)})
+    x = x.withColumn("__p", F.signum(F.col(value) - F.col("__b"))).withColumn("__n", F.signum(F.col("__a") - F.col(value)))
+    return x.where("__p <> __n").withColumn("rise", F.col("__p").cast("int")).drop("__p", "__n", "__a", "__b")
 
 
 def chunk_highest(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, lowest: bool = False) -> DataFrame:
     """Of every n successive rows the one with the highest (lowest) value, the first of equals."""
-    x = df.withColumn("__n", F.row_number().over(window(keys, order))).withColumn("chunk", F.floor((F.col("__n") - 1) / n))
+    x = numbered(df, keys, order, "__n").withColumn("chunk", F.floor(F.col("__n") / n))
     sign = -F.col(value) if lowest else F.col(value)
     best = x.groupBy(*keys, "chunk").agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(sign, -F.col("__n"))).alias("b"))
     return best.select(*keys, "chunk", "b.*")
@@ -97,7 +119,7 @@ def step_of(size: int, overlap: float) -> int:
 def frames(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, step: int) -> DataFrame:
     """keys, win, frame: the values of `size` successive rows from each step-th row; partial windows are left out."""
     n = F.col("__n")
-    x = df.withColumn("__n", F.row_number().over(window(keys, order)).cast("long") - 1)
+    x = numbered(df, keys, order, "__n")
     first = F.greatest(F.lit(0).cast("long"), F.floor((n - size + step) / step))
     x = x.withColumn("win", F.explode(F.sequence(first, F.floor(n / step)))).where((n >= F.col("win") * step) & (n < F.col("win") * step + size))
     found = x.groupBy(*keys, "win").agg(F.sort_array(F.collect_list(F.struct("__n", F.col(value).alias("v")))).alias("f")).where(F.size("f") == size)
@@ -132,23 +154,35 @@ def spread(df: DataFrame, keys: list[str], order: list[str], size_us: int) -> Da
 
 def inter_event(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df with ibi, the seconds since the row before; a key's first row has the mean of rows 2 to 10."""
-    w = window(keys, order)
-    d = F.timestamp_diff("MICROSECOND", F.lag(order[0]).over(w), F.col(order[0])) / 1e6
-    x = df.withColumn("__d", d).withColumn("__n", F.row_number().over(w))
-    return x.withColumn("ibi", F.coalesce("__d", F.avg(F.when(F.col("__n").between(2, 10), F.col("__d"))).over(Window.partitionBy(*keys)))).drop("__d", "__n")
+    x = linked(df, keys, order, before={"__t": F.col(order[0])}, sums={"__n": F.lit(1).cast("long")})
+    x = x.withColumn("__d", F.timestamp_diff("MICROSECOND", F.col("__t"), F.col(order[0])) / 1e6)
+    # joined by the row's number too, so that one long recording isn't one task
+    heads = x.where("__n between 2 and 10").groupBy(*keys).agg(F.avg("__d").alias("__head")).withColumn("__n", F.lit(1).cast("long"))
+    return x.join(heads, [*keys, "__n"], "left").withColumn("ibi", F.coalesce("__d", "__head")).drop("__d", "__n", "__t", "__head")
 
 
 def central_derivative(df: DataFrame, keys: list[str], order: list[str], value: str, fs: float) -> DataFrame:
     """df with slope: (next - previous) / (2 / fs), the edges repeated."""
-    w = window(keys, order)
-    return df.withColumn("slope", (F.coalesce(F.lead(value).over(w), col(value)) - F.coalesce(F.lag(value).over(w), col(value))) / F.lit(2.0 / fs))
+    x = linked(df, keys, order, before={"__b": F.col(value)}, after={"__a": F.col(value)})
+    return x.withColumn("slope", (F.coalesce("__a", value) - F.coalesce("__b", value)) / F.lit(2.0 / fs)).drop("__a", "__b")
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], order: list[str], value: str, length: int, derivative: int, name: str) -> DataFrame:
-    """df with the least-squares polynomial's value or derivative in a window; the edges are padded with the end values."""
+    """df with the least-squares polynomial's value or derivative in a window; the edges are padded with the end values,
+    and a null in the window gives null."""
     weights, norm = SAVITZKY_GOLAY[length, derivative]
-    w, half = window(keys, order), length // 2
-    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    low, high = F.first(value).over(everything), F.last(value).over(everything)
-    total = sum(F.lit(k) * (F.coalesce(F.lag(value, half - i).over(w), low) if i < half else F.coalesce(F.lead(value, i - half).over(w), high)) for i, k in enumerate(weights) if k)
-    return df.withColumn(name, total / norm)
+    half = length // 2
+
+    def make(x: DataFrame, w: WindowSpec) -> DataFrame:
+        # only at a recording's ends does a chunk lack neighbours, and there its first or last row is the recording's
+        everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        x = x.withColumn("__v", F.struct(F.col(value).alias("v")))
+        low, high = F.first("__v").over(everything), F.last("__v").over(everything)
+
+        def at(i: int) -> Column:
+            near = F.coalesce(F.lag("__v", half - i).over(w), low) if i < half else F.coalesce(F.lead("__v", i - half).over(w), high)
+            return near["v"]
+
+        return x.withColumn(name, sum(F.lit(k) * at(i) for i, k in enumerate(weights) if k) / norm).drop("__v")
+
+    return framed(df, keys, order, half, half, make)
\ No newline at end of file

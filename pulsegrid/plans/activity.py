@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals
+from ..operators import chunks, intervals
 from ..registry import query
 from .base import ORDER, USER, events
 from .series import r6
@@ -41,7 +41,7 @@ def valid_days(spark, sf):
 @query(f"select level, next, round(count(*) / sum(count(*)) over (partition by level), 6) as p from (select {_LEVEL} as level, lead({_LEVEL}) over (partition by user_id order by ts, event_id) as next from events) where next is not null group by 1, 2")
 def fragmentation(spark, sf):
     s = events(spark, sf).withColumn("level", _level(F.col("value")))
-    s = s.withColumn("next", F.lead("level").over(intervals.window(USER, ORDER))).where("next is not null").groupBy("level", "next").agg(F.count("*").alias("n"))
+    s = chunks.linked(s, USER, ORDER, after={"next": F.col("level")}).where("next is not null").groupBy("level", "next").agg(F.count("*").alias("n"))
     return s.join(s.groupBy("level").agg(F.sum("n").alias("all")), "level").select("level", "next", r6(F.col("n") / F.col("all")).alias("p"))
 
 

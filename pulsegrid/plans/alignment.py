@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import HOUR
-from ..operators import align, intervals
+from ..operators import align, chunks, intervals
 from ..registry import query
 from .base import NIGHTS_SQL, ORDER, USER, events, nights, table
 from .series import QUIET_SQL, quiet, r6
@@ -72,9 +72,9 @@ def interp_join(spark, sf):
 
 @query("with f as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events where event_type = 'view'), s as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events where event_type = 'click') select f.user_id, f.event_id as fast, s.event_id as slow from f join s on s.user_id = f.user_id and f.i % 3 = 0 and s.i = f.i // 3")
 def stride_align(spark, sf):
-    n = F.row_number().over(intervals.window(USER, ORDER)).cast("long") - 1
-    fast = _kind(spark, sf, "view").select("user_id", F.col("event_id").alias("fast"), n.alias("i")).where("i % 3 = 0").withColumn("i", F.expr("i div 3"))
-    return fast.join(_kind(spark, sf, "click").select("user_id", F.col("event_id").alias("slow"), n.alias("i")), ["user_id", "i"]).select("user_id", "fast", "slow")
+    fast, slow = [chunks.numbered(_kind(spark, sf, kind), USER, ORDER, "i") for kind in ("view", "click")]
+    fast = fast.where("i % 3 = 0").select("user_id", F.col("event_id").alias("fast"), F.expr("i div 3").alias("i"))
+    return fast.join(slow.select("user_id", F.col("event_id").alias("slow"), "i"), ["user_id", "i"]).select("user_id", "fast", "slow")
 
 
 @query("select a.vec_id, round(list_sum(list_transform(a.embedding, lambda x: x::double)), 4) as a, b.label from embeddings a join (select vec_id, label from embeddings where vec_id % 2 = 0) b using (vec_id)")
@@ -118,21 +118,27 @@ def bin_cross_join(spark, sf):
     return _bins(spark).crossJoin(F.broadcast(p)).select("label", "i", "j", r6(F.col("mu") + F.col("j") - F.col("i")).alias("d"))
 
 
-@query("""with s as (select user_id, value as x, row_number() over w as i, lag(value, 2) over w as y from events window w as (partition by user_id order by ts, event_id)), l as (select unnest(range(-4, 5)) as lag)
- select a.user_id, l.lag::int as lag, round(corr(a.y, b.x), 6) as r, count(*) as n from s a, l, s b where b.user_id = a.user_id and b.i = a.i - l.lag group by 1, 2""")
+#: Lags to each side, and the least pairs of values that a lag needs.
+LAGS, PAIRS = 400, 10
+
+_CROSS = f"""with s as (select user_id, value as x, row_number() over w as i, lag(value, 2) over w as y from events window w as (partition by user_id order by ts, event_id))
+ select a.user_id, (a.i - b.i)::int as lag, corr(a.y, b.x) as r, count(*) as n from s a join s b on b.user_id = a.user_id and abs(a.i - b.i) <= {LAGS} and a.y is not null and b.x is not null group by 1, 2 having count(*) >= {PAIRS}"""
+
+
+@query(f"select user_id, lag, round(r, 6) as r, n from ({_CROSS})")
 def lagged_crosscorr(spark, sf):
-    r = align.lagged_correlation(_shifted(spark, sf), USER, "i", "x", "y", 4)
+    r = align.lagged_correlation(_shifted(spark, sf), USER, "i", "x", "y", LAGS, PAIRS)
     return r.select("user_id", "lag", r6("r").alias("r"), "n")
 
 
 def _shifted(spark, sf):
-    w = intervals.window(USER, ORDER)
-    return events(spark, sf).select("user_id", F.col("value").alias("x"), F.row_number().over(w).cast("long").alias("i"), F.lag("value", 2).over(w).alias("y"))
+    x = chunks.framed(events(spark, sf), USER, ORDER, 2, 0, lambda x, w: x.withColumns({"i": F.col("__idx"), "y": F.lag("value", 2).over(w)}))
+    return x.select("user_id", F.col("value").alias("x"), "i", "y")
 
 
-@query("select distinct user_id, 2::int as best from events")
+@query(f"select user_id, arg_max(lag, r) as best from ({_CROSS}) group by 1")
 def best_offset(spark, sf):
-    r = align.lagged_correlation(_shifted(spark, sf), USER, "i", "x", "y", 4)
+    r = align.lagged_correlation(_shifted(spark, sf), USER, "i", "x", "y", LAGS, PAIRS)
     return r.groupBy("user_id").agg(F.max_by("lag", "r").alias("best"))
 
 

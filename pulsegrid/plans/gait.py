@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals
+from ..operators import chunks, intervals
 from ..registry import query
 from .base import ORDER, USER, events
 
@@ -22,7 +22,7 @@ def _bouts(spark, sf):
 
 @query("select event_id, row_number() over (partition by user_id order by ts, event_id) as step from events")
 def renumber(spark, sf):
-    return events(spark, sf).select("event_id", F.row_number().over(intervals.window(USER, ORDER)).cast("long").alias("step"))
+    return chunks.numbered(events(spark, sf), USER, ORDER, "step").select("event_id", (F.col("step") + 1).alias("step"))
 
 
 @query(f"select event_id, bout from ({_BOUTS})")

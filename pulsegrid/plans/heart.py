@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import DAY, HOUR
-from ..operators import intervals, rolling
+from ..operators import chunks, intervals, rolling
 from ..registry import query
 from .base import ORDER, USER, events, table
 from .series import r6
@@ -100,9 +100,11 @@ def group_count_transform(spark, sf):
 
 @query(f"select user_id, round(avg(case when d * p <= 1e-10 then 1.0 else 0.0 end), 6) as pip from (select user_id, d, lag(d) over (partition by user_id order by ts, event_id) as p from (select user_id, ts, event_id, value - lag(value) {W} as d from events)) group by 1")
 def pip_fragmentation(spark, sf):
-    w = intervals.window(USER, ORDER)
-    d = events(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(w))
-    d = d.withColumn("flip", F.col("d") * F.lag("d").over(w) <= 1e-10)
+    def make(x, w):
+        x = x.withColumn("d", F.col("value") - F.lag("value").over(w))
+        return x.withColumn("flip", F.col("d") * F.lag("d").over(w) <= 1e-10)
+
+    d = chunks.framed(events(spark, sf), USER, ORDER, 2, 0, make)
     return d.groupBy("user_id").agg(r6(F.avg(F.when(F.col("flip"), 1.0).otherwise(0.0))).alias("pip"))
 
 
@@ -138,9 +140,9 @@ def monotonic_check(spark, sf):
     return events(spark, sf).withColumn("ok", F.coalesce(F.col("ts") >= F.lag("ts").over(w), F.lit(True))).groupBy("user_id").agg(F.bool_and("ok").alias("monotonic"))
 
 
-@query("select user_id, round((max(n) - 1) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) as hz from (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events) where n <= 50 group by 1")
+@query("select user_id, round((max(n) - 1) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) as hz from (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events) where n <= 5000 group by 1")
 def infer_rate(spark, sf):
-    x = events(spark, sf).withColumn("n", F.row_number().over(intervals.window(USER, ORDER))).where("n <= 50")
+    x = events(spark, sf).withColumn("n", F.row_number().over(intervals.window(USER, ORDER))).where("n <= 5000")
     return x.groupBy("user_id").agg(F.round((F.max("n") - 1) / (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)), 9).alias("hz"))
 
 
@@ -151,7 +153,7 @@ def samples_per_second(spark, sf):
 
 @query(f"select event_type, round(mu, 6) as mu, round(avg(abs(d - mu)), 6) as b, round(stddev_pop(d), 6) as sigma from (select event_type, d, median(d) over (partition by event_type) as mu from (select event_type, value - lag(value) over (partition by event_type, user_id order by ts, event_id) as d from events) where d is not null) group by event_type, mu")
 def transition_fit(spark, sf):
-    d = events(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(intervals.window(["event_type", "user_id"], ORDER))).where("d is not null")
+    d = chunks.previous(events(spark, sf), ["event_type", "user_id"], ORDER, F.col("value"), "before").withColumn("d", F.col("value") - F.col("before")).where("d is not null")
     x = d.join(d.groupBy("event_type").agg(F.percentile("d", 0.5).alias("mu")), "event_type")
     return x.groupBy("event_type").agg(r6(F.first("mu")).alias("mu"), r6(F.avg(F.abs(F.col("d") - F.col("mu")))).alias("b"), r6(F.stddev_pop("d")).alias("sigma"))
 

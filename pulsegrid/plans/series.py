@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import HOUR, MINUTE
-from ..operators import align, intervals, rolling
+from ..operators import align, chunks, intervals, rolling
 from ..registry import query
 from .base import AXES_SQL, NIGHTS_SQL, ORDER, USER, axes, events, nights, table
 
@@ -214,9 +214,12 @@ def rolling_fraction(spark, sf):
 
 @query("select user_id, event_id, case when count(*) over f = 6 then max(value) over f end as high, case when count(*) over f = 6 then min(value) over f end as low, case when count(*) over f = 6 then round(avg(value) over f, 6) end as mean from events window f as (partition by user_id order by ts, event_id rows between current row and 5 following)")
 def rolling_minmaxmean(spark, sf):
-    w = intervals.window(USER, ORDER).rowsBetween(0, 5)
-    full = F.count("*").over(w) == 6
-    return events(spark, sf).select("user_id", "event_id", F.when(full, F.max("value").over(w)).alias("high"), F.when(full, F.min("value").over(w)).alias("low"), F.when(full, r6(F.avg("value").over(w))).alias("mean"))
+    def make(x, w):
+        w = w.rowsBetween(0, 5)
+        full = F.count("*").over(w) == 6
+        return x.withColumns({"high": F.when(full, F.max("value").over(w)), "low": F.when(full, F.min("value").over(w)), "mean": F.when(full, r6(F.avg("value").over(w)))})
+
+    return chunks.framed(events(spark, sf), USER, ORDER, 0, 5, make).select("user_id", "event_id", "high", "low", "mean")
 
 
 @query("select user_id, event_id, round(avg(value) over (partition by user_id order by ts range between interval '11 hours 59 minutes 59.999999 seconds' preceding and current row), 6) as mean from events")
@@ -226,16 +229,18 @@ def rolling_time_mean(spark, sf):
 
 @query("select user_id, event_id, round(quantile_cont(value, 0.5) over (partition by user_id order by ts, event_id rows between 5 preceding and 5 following), 6) as median, round(quantile_cont(value, 0.25) over w, 6) as q1, round(quantile_cont(value, 0.75) over w, 6) as q3 from events window w as (partition by user_id order by ts, event_id rows between 45 preceding and 45 following)")
 def rolling_median_quartiles(spark, sf):
-    near, wide = intervals.window(USER, ORDER).rowsBetween(-5, 5), intervals.window(USER, ORDER).rowsBetween(-45, 45)
-    return events(spark, sf).select("user_id", "event_id", r6(F.percentile("value", 0.5).over(near)).alias("median"), r6(F.percentile("value", 0.25).over(wide)).alias("q1"), r6(F.percentile("value", 0.75).over(wide)).alias("q3"))
+    def make(x, w):
+        near, wide = w.rowsBetween(-5, 5), w.rowsBetween(-45, 45)
+        return x.withColumns({"median": r6(F.percentile("value", 0.5).over(near)), "q1": r6(F.percentile("value", 0.25).over(wide)), "q3": r6(F.percentile("value", 0.75).over(wide))})
+
+    return chunks.framed(events(spark, sf), USER, ORDER, 45, 45, make).select("user_id", "event_id", "median", "q1", "q3")
 
 
 @query("select user_id, event_id, greatest(coalesce(lag(value) over w, lead(value) over w), coalesce(lead(value) over w, lag(value) over w)) as high, least(coalesce(lag(value) over w, lead(value) over w), coalesce(lead(value) over w, lag(value) over w)) as low from events window w as (partition by user_id order by ts, event_id)")
 def neighbour_extremes(spark, sf):
-    w = intervals.window(USER, ORDER)
-    back, ahead = F.lag("value").over(w), F.lead("value").over(w)
-    a, b = F.coalesce(back, ahead), F.coalesce(ahead, back)
-    return events(spark, sf).select("user_id", "event_id", F.greatest(a, b).alias("high"), F.least(a, b).alias("low"))
+    a, b = F.coalesce("back", "ahead"), F.coalesce("ahead", "back")
+    x = chunks.linked(events(spark, sf), USER, ORDER, before={"back": F.col("value")}, after={"ahead": F.col("value")})
+    return x.select("user_id", "event_id", F.greatest(a, b).alias("high"), F.least(a, b).alias("low"))
 
 
 EXTREMA_SQL = f"select user_id, ts, event_id, value, cast(sign(value - p) as int) as rise from (select *, lag(value) {W} as p, lead(value) {W} as n from events) where sign(value - p) <> sign(n - value)"
@@ -252,7 +257,18 @@ def chunk_extrema(spark, sf):
     return rolling.chunk_highest(peaks, USER, ORDER, "value", 10).select("user_id", "chunk", "event_id", "value")
 
 
-@query(None)
+def _side_sql(pick, order):
+    return f"select user_id, {pick}(ts, {order}) as ts, {pick}(value, {order}) as value from (select *, (n - 1) // 4 as chunk from (select *, row_number() {W} as n from x where rise {'>' if pick == 'arg_max' else '<'} 0)) group by user_id, chunk"
+
+
+def _line_sql(b, a):
+    return f"case when {b}.ts is null then {a}.value when {a}.ts is null or {a}.ts = {b}.ts then {b}.value else {b}.value + ({a}.value - {b}.value) * (epoch_us(e.ts) - epoch_us({b}.ts)) / (epoch_us({a}.ts) - epoch_us({b}.ts)) end"
+
+
+@query(f"""with x as ({EXTREMA_SQL}), t as ({_side_sql('arg_max', '(value, -n)')}), l as ({_side_sql('arg_min', '(value, n)')})
+ select e.user_id, e.event_id, round(({_line_sql('tb', 'ta')}) - ({_line_sql('lb', 'la')}), 6) as envelope from events e
+ asof left join t tb on tb.user_id = e.user_id and tb.ts <= e.ts asof left join t ta on ta.user_id = e.user_id and ta.ts >= e.ts
+ asof left join l lb on lb.user_id = e.user_id and lb.ts <= e.ts asof left join l la on la.user_id = e.user_id and la.ts >= e.ts""")
 def envelope(spark, sf):
     return rolling.envelope(events(spark, sf), USER, ORDER, "value", 4).select("user_id", "event_id", r6("envelope").alias("envelope"))
 
@@ -307,9 +323,8 @@ def ibi_series(spark, sf):
 
 @query(f"select user_id, event_id, a, b from (select user_id, event_id, cast(event_id % 4 + 1 as int) as a, cast(lead(event_id % 4 + 1) {W} as int) as b from events) where b = a + 1")
 def state_transitions(spark, sf):
-    w = intervals.window(USER, ORDER)
     s = events(spark, sf).withColumn("a", (F.col("event_id") % 4 + 1).cast("int"))
-    return s.withColumn("b", F.lead("a").over(w)).where("b = a + 1").select("user_id", "event_id", "a", "b")
+    return chunks.linked(s, USER, ORDER, after={"b": F.col("a")}).where("b = a + 1").select("user_id", "event_id", "a", "b")
 
 
 @query(f"select user_id, event_id, round((coalesce(lead(value) {W}, value) - coalesce(lag(value) {W}, value)) / (2.0 / 64), 6) as slope from events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, wear
+from ..operators import chunks, intervals, wear
 from ..registry import query
 from .base import AXES_SQL, ORDER, USER, axes, events, table
 from .series import _RUN, r6
@@ -54,7 +54,7 @@ def adaptive_thresholds(spark, sf):
  z as (select event_type, i, j, ((j - i + 0.5) * 2.8125::double - mu) / nullif(b, 0) as hi, ((j - i - 0.5) * 2.8125::double - mu) / nullif(b, 0) as lo from f, range(0, 64) s(i), range(0, 64) t(j))
  select event_type, cast(i as integer) as i, cast(j as integer) as j, round(case when hi < 0 then exp(hi) * 0.5 else 1 - exp(-hi) * 0.5 end - case when lo < 0 then exp(lo) * 0.5 else 1 - exp(-lo) * 0.5 end, 6) as p from z""")
 def transition_matrix(spark, sf):
-    d = events(spark, sf).withColumn("d", F.col("value") - F.lag("value").over(intervals.window(["event_type", "user_id"], ORDER))).where("d is not null")
+    d = chunks.previous(events(spark, sf), ["event_type", "user_id"], ORDER, F.col("value"), "before").withColumn("d", F.col("value") - F.col("before")).where("d is not null")
     x = d.join(d.groupBy("event_type").agg(F.percentile("d", 0.5).alias("mu")), "event_type")
     fitted = x.groupBy("event_type").agg(F.first("mu").alias("mu"), F.avg(F.abs(F.col("d") - F.col("mu"))).alias("b"))
     return wear.laplace_matrix(fitted, ["event_type"], "mu", "b", 64, 2.8125).withColumn("p", r6("p"))
