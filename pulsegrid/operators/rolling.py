@@ -10,7 +10,7 @@ from ..functions.columns import DAY, instant, micros
 from .align import interpolate
 from .chunks import framed, linked, numbered
 
-#: Smoothing and first-derivative weights by window length.
+#: Smoothing and derivative weights by window length and derivative.
 SAVITZKY_GOLAY = {
     (5, 0): ([-3, 12, 17, 12, -3], 35),
     (7, 0): ([-2, 3, 6, 7, 6, 3, -2], 21),
@@ -21,6 +21,12 @@ SAVITZKY_GOLAY = {
     (5, 2): ([2, -1, -2, -1, 2], 7),
     (7, 2): ([5, 0, -3, -4, -3, 0, 5], 42),
     (9, 2): ([28, 7, -8, -17, -20, -17, -8, 7, 28], 462),
+    (5, 3): ([-1, 2, 0, -2, 1], 2),
+    (7, 3): ([-1, 1, 1, 0, -1, -1, 1], 6),
+    (9, 3): ([-14, 7, 13, 9, 0, -9, -13, -7, 14], 198),
+    (5, 4): ([1, -4, 6, -4, 1], 1),
+    (7, 4): ([3, -7, 1, 6, 1, -7, 3], 11),
+    (9, 4): ([14, -21, -11, 9, 18, 9, -11, -21, 14], 143),
 }
 
 
@@ -167,10 +173,9 @@ def central_derivative(df: DataFrame, keys: list[str], order: list[str], value:
     return x.withColumn("slope", (F.coalesce("__a", value) - F.coalesce("__b", value)) / F.lit(2.0 / fs)).drop("__a", "__b")
 
 
-def savitzky_golay(df: DataFrame, keys: list[str], order: list[str], value: str, length: int, derivative: int, name: str) -> DataFrame:
-    """df with the least-squares polynomial's value or derivative in a window; the edges are padded with the end values,
-    and a null in the window gives null."""
-    weights, norm = SAVITZKY_GOLAY[length, derivative]
+def savitzky_golay(df: DataFrame, keys: list[str], order: list[str], value: str, length: int, derivatives: dict[str, int]) -> DataFrame:
+    """df with columns of the least-squares polynomial's value (0) or derivative (1 to 4) in a window; the edges are
+    padded with the end values, and a null in the window gives null."""
     half = length // 2
 
     def make(x: DataFrame, w: WindowSpec) -> DataFrame:
@@ -183,6 +188,10 @@ def savitzky_golay(df: DataFrame, keys: list[str], order: list[str], value: str,
             near = F.coalesce(F.lag("__v", half - i).over(w), low) if i < half else F.coalesce(F.lead("__v", i - half).over(w), high)
             return near["v"]
 
-        return x.withColumn(name, sum(F.lit(k) * at(i) for i, k in enumerate(weights) if k) / norm).drop("__v")
+        made = {}
+        for name, derivative in derivatives.items():
+            weights, norm = SAVITZKY_GOLAY[length, derivative]
+            made[name] = sum(F.lit(k) * at(i) for i, k in enumerate(weights) if k) / norm
+        return x.withColumns(made).drop("__v")
 
-    return framed(df, keys, order, half, half, make)
\ No newline at end of file
+    return framed(df, keys, order, half, half, make)

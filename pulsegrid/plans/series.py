@@ -334,10 +334,12 @@ def central_derivative(spark, sf):
 
 @query("""with p as (select user_id, event_id, row_number() over w as n, value, first_value(value) over w as f, last_value(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as l,
  lag(value, 2) over w as a, lag(value, 1) over w as b, lead(value, 1) over w as d, lead(value, 2) over w as e from events window w as (partition by user_id order by ts, event_id))
- select user_id, event_id, round((-3 * coalesce(a, f) + 12 * coalesce(b, f) + 17 * value + 12 * coalesce(d, l) - 3 * coalesce(e, l)) / 35, 6) as smooth, round((-2 * coalesce(a, f) - coalesce(b, f) + coalesce(d, l) + 2 * coalesce(e, l)) / 10, 6) as slope from p""")
+ select user_id, event_id, round((-3 * coalesce(a, f) + 12 * coalesce(b, f) + 17 * value + 12 * coalesce(d, l) - 3 * coalesce(e, l)) / 35, 6) as smooth, round((-2 * coalesce(a, f) - coalesce(b, f) + coalesce(d, l) + 2 * coalesce(e, l)) / 10, 6) as slope,
+ round((-coalesce(a, f) + 2 * coalesce(b, f) - 2 * coalesce(d, l) + coalesce(e, l)) / 2, 6) as third, round(coalesce(a, f) - 4 * coalesce(b, f) + 6 * value - 4 * coalesce(d, l) + coalesce(e, l), 6) as fourth from p""")
 def savitzky_golay(spark, sf):
-    x = rolling.savitzky_golay(events(spark, sf), USER, ORDER, "value", 5, 0, "smooth")
-    return rolling.savitzky_golay(x, USER, ORDER, "value", 5, 1, "slope").select("user_id", "event_id", r6("smooth").alias("smooth"), r6("slope").alias("slope"))
+    x, found = events(spark, sf), {"smooth": 0, "slope": 1, "third": 3, "fourth": 4}
+    x = rolling.savitzky_golay(x, USER, ORDER, "value", 5, found)
+    return x.select("user_id", "event_id", *[r6(n).alias(n) for n in found])
 
 
 @query("select event_id, user_id, ts from events order by user_id, ts, event_id")

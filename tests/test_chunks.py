@@ -68,7 +68,7 @@ def test_smoothing_at_the_edges(frame, series):
     v = series.v.to_numpy()
     padded = np.concatenate([[v[0]] * 2, v, [v[-1]] * 2])
     want = np.convolve(padded, np.array([-3, 12, 17, 12, -3]) / 35, "valid")
-    same(rolling.savitzky_golay(frame, KEYS, ORDER, "v", 5, 0, "s"), want, "s")
+    same(rolling.savitzky_golay(frame, KEYS, ORDER, "v", 5, {"s": 0}), want, "s")
 
 
 def test_fill_over_days_without_values(frame, series):
@@ -101,3 +101,11 @@ def test_correlation_over_lags(frame, series, size):
         moved = series.v.shift(lag)
         assert n == int((moved.notna() & y.notna()).sum())
         assert abs(r - y.corr(moved)) < 1e-9
+
+
+@pytest.mark.parametrize("length, derivative", sorted(rolling.SAVITZKY_GOLAY))
+def test_smoothing_weights_are_those_of_a_polynomial_fit(length, derivative):
+    weights, norm = rolling.SAVITZKY_GOLAY[length, derivative]
+    at = np.arange(length) - length // 2
+    fit = np.linalg.pinv(np.vander(at, max(derivative, 2) + 1, increasing=True))[derivative] * np.prod(range(1, derivative + 1), initial=1)
+    np.testing.assert_allclose(fit, np.array(weights) / norm, atol=1e-12)
