@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, packed_ids, packing, radix, suffixes, urls, vectors, warc
+from . import crosstok, language, minhash, mixing, packed_ids, packing, periods, private, radix, suffixes, urls, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,8 +68,50 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"), 0.95, 4.0, 1.0)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(_table(spark, sf_dir, "documents"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and a digest of the base kinds' spans, and all spans."""
+    found = private.personal_data(_table(spark, sf_dir, "documents"))
+    said = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    of = lambda *kinds: F.size(F.filter("spans", lambda s: s["kind"].isin(*kinds)))
+    counts = [of(k).cast("long").alias(f"n_{k}") for k in private.BASE]
+    digest = F.sha2(F.array_join(F.slice(said, F.lit(1), of(*private.BASE)), ","), 256)  # the base kinds come first
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), F.array_join(said, ",").alias("spans"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): in a tenth of the texts, by their id, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    rows = rows.select("*", F.size("words").alias("n")).select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int").alias("a"))
+    rows = rows.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of each text with planted periods, and digests of all runs and of the collapsed text."""
+    found = periods.periodic_runs(with_planted_periods(_table(spark, sf_dir, "documents")), 12)
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"], r["period"]))), 1)
+    found = found.select("doc_id", "runs", "collapsed", F.when(F.size("runs") > 0, longest).alias("top"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    top = lambda name: F.col(f"top.{name}")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top("start").alias("start"), (-top("size")).alias("length"), top("period").alias("period"),
+        F.floor(-top("size") * 1000 / top("period")).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_repeated_passages, op3_minhash_near_dedup, op4_url_filter, op5_token_ids, op6_exact_dedup, op7_warc, op8_language_id, op9_packing, op10_mixing)}
+    found = (op1_embedding_near_dedup, op2_repeated_passages, op3_minhash_near_dedup, op4_url_filter, op5_token_ids, op6_exact_dedup, op7_warc)
+    found += (op8_language_id, op9_packing, op10_mixing, op11_tokenizer_alignment, op12_personal_data, op13_periodic_runs)
+    return {f.__name__: f for f in found}
 
 
 _SQUEEZED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
