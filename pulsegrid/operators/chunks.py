@@ -112,3 +112,17 @@ def framed(df: DataFrame, keys: list[str], order: list[str], before: int, after:
     x = numbered(df, keys, order, "__idx")
     x = haloed(x, keys, "__idx", max(size, 4 * (before + after)), before, after, "__part", "__own")
     return make(x, Window.partitionBy(*keys, "__part").orderBy("__idx")).where("__own").drop("__idx", "__part", "__own")
+
+
+def grouped_from(df: DataFrame, keys: list[str], chunk: str, index: str, opens: str, name: str) -> DataFrame:
+    """df (numbered rows in chunks, each row once) with a group that begins with a row that `opens` one and goes on up to
+    the next chunk that has such a row: what lies between two opening rows is always in one group, -1 before the first.
+
+    Groups are about as long as chunks where opening rows are frequent; one row a chunk is gone through in order.
+    """
+    firsts = df.groupBy(*keys, chunk).agg(F.min(F.when(F.col(opens), F.col(index))).alias("__first"))
+    over = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("__first").isNotNull(), F.col(chunk)), True).over(over)
+    firsts = firsts.select(*keys, chunk, "__first", F.coalesce(before, F.lit(-1)).alias("__before"))
+    inside = F.coalesce(F.col(index) >= F.col("__first"), F.lit(False))
+    return df.join(firsts, [*keys, chunk]).withColumn(name, F.when(inside, F.col(chunk)).otherwise(F.col("__before"))).drop("__first", "__before")

@@ -1,21 +1,27 @@
-"""Peaks of signals: local maxima by height and distance, and their prominences and widths."""
+"""Peaks of signals: local maxima by height, distance and prominence, and widths."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import haloed, numbered, previous, running
+from .chunks import grouped_from, haloed, numbered
 
 
-def peaks(df: DataFrame, keys: list[str], order: list[str], value: str, height: float | None = None, distance: int = 1, size: int = 100_000) -> DataFrame:
+def peaks(
+    df: DataFrame, keys: list[str], order: list[str], value: str, height: float | None = None, distance: int = 1, size: int = 100_000, prominence: float | None = None
+) -> DataFrame:
     """The rows of df (with idx, their number from 0) that are local maxima: above both neighbours, at least `height`, and
     none within fewer than `distance` rows of a kept higher one (the earlier one of equals). Nulls are no maxima; first
-    and last rows aren't either.
+    and last rows aren't either. With `prominence`, those stay that rise as much at least above the higher one of the
+    lowest values on both sides before a higher one (or the end), and df gets the column prominence.
 
-    Neighbours are compared in chunks. Suppression depends on the order of heights, but only among maxima that follow
-    each other closely, so it's a fold over each such cluster.
+    Neighbours are compared in chunks of `size` rows. A maximum that no other within `distance` tops stays for sure;
+    once those near it are dropped, none on its left is near one on its right. So such maxima part a recording into
+    stretches that are thinned each by itself, highest first. Stretches are put together by the chunk in which they begin. A signal whose maxima go on
+    rising is one stretch: 17 bytes a maximum, sorted once.
     """
     near = haloed(numbered(df, keys, order), keys, "idx", size, 1, 1)
     own = Window.partitionBy(*keys, "chunk").orderBy("idx")
@@ -24,16 +30,134 @@ def peaks(df: DataFrame, keys: list[str], order: list[str], value: str, height:
     if height is not None:
         found = found.where(v >= height)
     found = found.drop("chunk", "own", "__above", "__below")
-    if distance <= 1:
+    if distance > 1:
+        found = found.join(_thinned(found, keys, value, distance, size), [*keys, "idx"], "left_semi").select(*found.columns)
+    if prominence is None:
         return found
-    apart = previous(found, keys, order, F.col("idx"), "__before")
-    new = F.coalesce(F.col("idx") - F.col("__before") >= distance, F.lit(True)).cast("int")
-    clusters = running(apart, keys, order, {"__cluster": new}).drop("__before")
-    rank = F.struct((-v).alias("low"), F.col("idx").alias("idx"))
-    ranked = clusters.groupBy(*keys, "__cluster").agg(F.sort_array(F.collect_list(rank)).alias("__ranked"))
-    none = F.array().cast("array<bigint>")
-    kept = F.aggregate("__ranked", none, lambda kept, x: F.when(F.exists(kept, lambda k: F.abs(k - x["idx"]) < distance), kept).otherwise(F.array_append(kept, x["idx"])))
-    return found.join(ranked.select(*keys, F.explode(kept).alias("idx")), [*keys, "idx"], "left_semi").select(*found.columns)
+    risen = _prominences(near.where("own"), found, keys, value).where(F.col("prominence") >= prominence)
+    return found.join(risen, [*keys, "idx"]).select(*found.columns, "prominence")
+
+
+def _thinned(found: DataFrame, keys: list[str], value: str, distance: int, size: int) -> DataFrame:
+    """keys, idx of the maxima that stay."""
+    # whether the own rows are near a top shows within twice the distance
+    halo = 2 * distance
+    dealt = haloed(found.select(*keys, "idx", F.col(value).cast("double").alias("__v")), keys, "idx", max(size, 2 * halo), halo, halo)
+
+    def tops_of_all(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx")
+        at = part["idx"].to_numpy()
+        top = highest_near(part["__v"].to_numpy(), at, distance)
+        near = np.searchsorted(at[top], at + distance, "left") > np.searchsorted(at[top], at - distance, "right")
+        return part.assign(__top=top).loc[part["own"].to_numpy() & (top | ~near), [*keys, "chunk", "idx", "__v", "__top"]]
+
+    marked = dealt.groupBy(*keys, "chunk").applyInPandas(tops_of_all, dealt.select(*keys, "chunk", "idx", "__v", F.lit(True).alias("__top")).schema)
+
+    def thin(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx")
+        return part.iloc[_kept(part["__v"].to_numpy(), part["idx"].to_numpy(), distance)][[*keys, "idx"]]
+
+    stretches = grouped_from(marked, keys, "chunk", "idx", "__top", "__stretch")
+    return stretches.groupBy(*keys, "__stretch").applyInPandas(thin, stretches.select(*keys, "idx").schema)
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Each place's rank: the highest value first, the earlier one of equals."""
+    ranks = np.empty(len(x), np.int64)
+    ranks[np.argsort(-x, kind="stable")] = np.arange(len(x))
+    return ranks
+
+
+def highest_near(x: np.ndarray, at: np.ndarray, distance: float) -> np.ndarray:
+    """Whether no place nearer than `distance` is higher (or as high and earlier); places `at` ascend."""
+    ranks = _ranks(x)
+    low, high = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance, "left")
+    # least ranks of stretches of a power of two; two of them cover a window
+    least, size, best = ranks, 1, np.full(len(x), -1)
+    while len(x):
+        fits = (high - low >= size) & (high - low < 2 * size)
+        best[fits] = np.minimum(least[low[fits]], least[high[fits] - size])
+        if not (high - low >= 2 * size).any():
+            break
+        least, size = np.minimum(least[: len(least) - size], least[size:]), 2 * size
+    return best == ranks
+
+
+def _kept(x: np.ndarray, at: np.ndarray, distance: float) -> np.ndarray:
+    """The indexes of ascending places that stay if, highest first, each drops those nearer than `distance`."""
+    low, high = np.searchsorted(at, at - distance, "right").tolist(), np.searchsorted(at, at + distance, "left").tolist()
+    open_, stays = np.ones(len(x), bool), np.zeros(len(x), bool)
+    for k in np.argsort(-x, kind="stable").tolist():
+        if open_[k]:
+            stays[k] = True
+            open_[low[k] : high[k]] = False
+    return np.flatnonzero(stays)
+
+
+def _falls(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending places of x: the lowest value since the last higher one, or since the start; and whether there is none."""
+    turns = np.flatnonzero(np.append(True, np.append((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]), True)) if len(x) > 1 else np.ones(len(x), bool))
+    valleys = np.minimum.reduceat(x, turns).tolist() if len(turns) else []  # from each turn to before the next
+    lows, free, stack = [], [], []
+    for k, top in enumerate(x[turns].tolist()):
+        low = valleys[k - 1] if k else top
+        while stack and stack[-1][0] <= top:
+            low = min(low, stack.pop()[1])
+        lows.append(min(low, top))
+        free.append(not stack)
+        stack.append((top, lows[-1]))
+    return turns, np.array(lows, float), np.array(free, bool)
+
+
+def _prominences(rows: DataFrame, found: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, idx, prominence of found maxima.
+
+    Each chunk of rows looks for the next higher value of its maxima. Those that have none in their chunk go on to the
+    first chunk on that side that has one; the chunks between give their lowest value (a row of highest and lowest value a chunk), and
+    that chunk the lowest value up to the higher one.
+    """
+    samples = rows.select(*keys, "chunk", "idx", F.col(value).cast("double").alias("__v")).where("__v is not null")
+    tops = found.select(*keys, "idx", F.lit(True).alias("__top"))
+    marked = samples.join(tops, [*keys, "idx"], "left")
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx")
+        x, at = part["__v"].to_numpy(), np.flatnonzero(part["__top"].notna().to_numpy())
+        out = part.iloc[at][[*keys, "chunk", "idx", "__v"]]
+        for side, step in (("left", 1), ("right", -1)):
+            turns, lows, free = _falls(x[::step])
+            where = np.searchsorted(turns, at if step == 1 else len(x) - 1 - at)
+            out[f"__{side}"], out[f"__{side}_free"] = lows[where] if len(at) else np.empty(0), free[where] if len(at) else np.empty(0, bool)
+        return out
+
+    shape = [F.lit(0.0).alias("__left"), F.lit(True).alias("__left_free"), F.lit(0.0).alias("__right"), F.lit(True).alias("__right_free")]
+    local = marked.groupBy(*keys, "chunk").applyInPandas(inside, samples.select(*keys, "chunk", "idx", "__v", *shape).schema)
+    ends = samples.groupBy(*keys, "chunk").agg(F.max("__v").alias("hi"), F.min("__v").alias("lo"))
+    chunks = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "hi", "lo"))).alias("__chunks"))
+    asking = local.where("__left_free or __right_free").select(*keys, "chunk", "idx", "__v", F.explode(F.array(*[F.when(F.col(f"__{s}_free"), F.lit(s)) for s in ("left", "right")])).alias("__side")).where("__side is not null")
+    left = F.col("__side") == "left"
+    beside = F.filter("__chunks", lambda c: F.when(left, c["chunk"] < F.col("chunk")).otherwise(c["chunk"] > F.col("chunk")))
+    higher = F.filter(beside, lambda c: c["hi"] > F.col("__v"))
+    numbers = F.transform(higher, lambda c: c["chunk"])
+    asking = asking.join(chunks, keys).withColumn("__to", F.when(left, F.array_max(numbers)).otherwise(F.array_min(numbers)))
+    between = F.filter(beside, lambda c: F.col("__to").isNull() | F.when(left, c["chunk"] > F.col("__to")).otherwise(c["chunk"] < F.col("__to")))
+    asking = asking.withColumn("__low", F.array_min(F.transform(between, lambda c: c["lo"]))).drop("__chunks", "chunk")
+    asked = asking.where("__to is not null").withColumnRenamed("__to", "chunk")
+
+    def outside(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        x, lows = part.sort_values("idx")["__v"].to_numpy(), []
+        up_to = {"right": (np.maximum.accumulate(x), np.minimum.accumulate(x)), "left": (np.maximum.accumulate(x[::-1]), np.minimum.accumulate(x[::-1]))}
+        for side, v in zip(asked["__side"], asked["__v"], strict=True):
+            highest, lowest = up_to[side]
+            k = int(np.searchsorted(highest, v, "right"))  # the first higher value
+            lows.append(lowest[k - 1] if k else np.nan)
+        return asked[[*keys, "idx", "__side"]].assign(__low=pd.Series(lows, index=asked.index, dtype=float))
+
+    answers = asked.groupBy(*keys, "chunk").cogroup(samples.groupBy(*keys, "chunk")).applyInPandas(outside, asked.select(*keys, "idx", "__side", "__low").schema)
+    lows = asking.select(*keys, "idx", "__side", "__low").union(answers.where("not isnan(__low)")).groupBy(*keys, "idx").agg(*[F.min(F.when(F.col("__side") == s, F.col("__low"))).alias(f"__{s}_low") for s in ("left", "right")])
+    whole = local.join(lows, [*keys, "idx"], "left")
+    base = F.greatest(F.least("__left", "__left_low"), F.least("__right", "__right_low"))
+    return whole.select(*keys, "idx", (F.col("__v") - base).alias("prominence"))
 
 
 def tops(x: np.ndarray) -> np.ndarray:
@@ -47,14 +171,8 @@ def tops(x: np.ndarray) -> np.ndarray:
 
 
 def spaced(x: np.ndarray, at: np.ndarray, distance: float) -> np.ndarray:
-    """The places that stay if, highest first, each drops those nearer than `distance`."""
-    stays = np.ones(len(at), bool)
-    for k in np.argsort(-x[at], kind="stable"):
-        if stays[k]:
-            close = np.abs(at - at[k]) < distance
-            close[k] = False
-            stays &= ~close
-    return at[stays]
+    """The ascending places that stay if, highest first, each drops those nearer than `distance`."""
+    return at[_kept(x[at], at, distance)]
 
 
 def prominence(x: np.ndarray, at: int, reach: int) -> float:

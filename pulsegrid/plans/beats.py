@@ -25,10 +25,21 @@ ranked as (select user_id, cluster, list([idx] order by value desc, idx) as plac
 kept as (
   select user_id, unnest(list_reduce(list_prepend([]::bigint[], places),
     lambda kept, x: case when len(list_filter(kept, lambda k: abs(k - x[1]) < 4)) > 0 then kept else list_concat(kept, x) end)) as idx
-  from ranked)
-select c.event_id, c.user_id, c.idx, c.value from clusters c join kept using (user_id, idx)""")
+  from ranked),
+sides as (
+  select c.event_id, c.user_id, c.idx, c.value,
+    (select max(e.idx) from near e where e.user_id = c.user_id and e.idx < c.idx and e.value > c.value) as higher_before,
+    (select min(e.idx) from near e where e.user_id = c.user_id and e.idx > c.idx and e.value > c.value) as higher_after
+  from clusters c join kept using (user_id, idx)),
+bases as (
+  select *, (select min(e.value) from near e where e.user_id = s.user_id and e.idx <= s.idx and e.idx > coalesce(s.higher_before, -1)) as low_before,
+    (select min(e.value) from near e where e.user_id = s.user_id and e.idx >= s.idx and (s.higher_after is null or e.idx < s.higher_after)) as low_after
+  from sides s)
+select event_id, user_id, idx, value, round(value - greatest(low_before, low_after), 6) as prominence
+from bases where value - greatest(low_before, low_after) >= 15""")
 def peak_pick(spark, sf):
-    return peaks.peaks(events(spark, sf), USER, ORDER, "value", 20.0, 4).select("event_id", "user_id", "idx", "value")
+    found = peaks.peaks(events(spark, sf), USER, ORDER, "value", 20.0, 4, prominence=15.0)
+    return found.select("event_id", "user_id", "idx", "value", r6("prominence").alias("prominence"))
 
 
 @query()
