@@ -1,9 +1,7 @@
-"""Pulse waves: beats at several scales, heart rate from spectra, classes of beat intervals and their correction."""
+"""Pulse waves: beats at several scales, classes of beat intervals and their correction."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,43 +64,6 @@ def beats(df: DataFrame, keys: list[str], order: list[str], value: str, fs: floa
     return placed.groupBy(*keys, "start").applyInPandas(run, schema).distinct()
 
 
-def spectral_rate(df: DataFrame, session: str, step: str, frame: str, fs: float, slow_bpm: float = 30.0, fast_bpm: float = 200.0) -> DataFrame:
-    """session, step, bpm (int): the strongest line of each frame's Blackman periodogram, looked for between 0.5 and 1.4
-    times the rate before it, or between slow_bpm and fast_bpm where that rate is none or outside of these.
-
-    Frames that are null, empty or have no line in the range have a null rate and leave the one before as it is. Frames
-    of a session stream through in order; only one rate is held.
-    """
-    rows = df.select(session, step, frame)
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (session, step)}
-
-    def one(values, before: float | None) -> float | None:
-        if values is None or not len(values):
-            return None
-        x = np.asarray(values, float)
-        power = np.abs(np.fft.rfft((x - x.mean()) * np.blackman(len(x)))) ** 2
-        power[1 : (len(x) + 1) // 2] *= 2
-        bpm = np.fft.rfftfreq(len(x), 1 / fs) * 60
-        low, high = (slow_bpm, fast_bpm) if before is None or not slow_bpm <= before <= fast_bpm else (0.5 * before, 1.4 * before)
-        inside = np.flatnonzero((bpm >= low) & (bpm <= high))
-        return float(int(bpm[inside[power[inside].argmax()]] + 1e-9)) if len(inside) else None
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, before = object(), None
-        for batch in batches:
-            out = []
-            for key, values in zip(batch[session], batch[frame], strict=True):
-                if key != at:
-                    at, before = key, None
-                found = one(values, before)
-                before = before if found is None else found
-                out.append(found)
-            yield batch[[session, step]].assign(bpm=pd.array(out, "Int64"))
-
-    ordered = rows.repartition(session).sortWithinPartitions(session, step)
-    return ordered.mapInPandas(run, f"{session} {kinds[session]}, {step} {kinds[step]}, bpm int")
-
-
 def interval_classes(rr: np.ndarray, c1: float = 0.13, c2: float = 0.17, alpha: float = 5.2, around: int = 91, smooth: int = 11) -> list[str | None]:
     """ectopic, missed, extra, longshort or None for each interval between beats, in order.
 

@@ -119,29 +119,8 @@ def next_belief(before: np.ndarray | None, observed: np.ndarray, move: np.ndarra
     return seen / seen.sum()
 
 
-def beliefs(df: DataFrame, session: str, step: str, observed: str, move: np.ndarray) -> DataFrame:
-    """session, step, belief: the filtered distribution over bins after each step. Rows stream through in order, so only one
-    belief is held, however long a session is."""
-    rows = df.select(session, step, observed)
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (session, step)}
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, now = object(), None
-        for batch in batches:
-            out = []
-            for key, seen in zip(batch[session], batch[observed], strict=True):
-                if key != at:
-                    at, now = key, None
-                now = next_belief(now, np.asarray(seen, float), move)
-                out.append(now)
-            yield batch[[session, step]].assign(belief=out)
-
-    ordered = rows.repartition(session).sortWithinPartitions(session, step)
-    return ordered.mapInPandas(run, f"{session} {kinds[session]}, {step} {kinds[step]}, belief array<double>")
-
-
 def stream_beliefs(stream: DataFrame, session: str, step: str, observed: str, move: np.ndarray) -> DataFrame:
-    """The streaming form of `beliefs` for long sessions and steps: a session's belief is its state from batch to batch, and
+    """The streaming form of states.beliefs for long sessions and steps: a session's belief is its state from batch to batch, and
     steps of a later batch come later."""
 
     def run(key, parts: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -154,32 +133,3 @@ def stream_beliefs(stream: DataFrame, session: str, step: str, observed: str, mo
         yield pd.DataFrame({session: key[0], step: rows[step].to_numpy(), "belief": out})
 
     return stream.groupBy(session).applyInPandasWithState(run, f"{session} long, {step} long, belief array<double>", "belief array<double>", "append", "NoTimeout")
-
-
-def best_path(df: DataFrame, session: str, step: str, observed: str, move: np.ndarray) -> DataFrame:
-    """session, step, bin: the most probable path of bins (Viterbi, in logarithms; the lowest bin of equals). A session is one
-    task: it has a row every few seconds, and two bytes a bin and row are held."""
-    rows = df.select(session, step, observed)
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (session, step)}
-    with np.errstate(divide="ignore"):
-        logs = np.log(move)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(step)
-        back, score = [], None
-        with np.errstate(divide="ignore"):
-            for seen in part[observed]:
-                e = np.log(np.asarray(seen, float))
-                if score is None:
-                    score = e
-                    continue
-                reached = score[:, None] + logs
-                back.append(reached.argmax(0).astype(np.int16))
-                score = reached.max(0) + e
-                score -= score.max()
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return part[[session, step]].assign(bin=path[::-1])
-
-    return rows.groupBy(session).applyInPandas(run, f"{session} {kinds[session]}, {step} {kinds[step]}, bin int")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
-from ..operators import beats, intervals, peaks, signal, steps, still
+from ..operators import beats, intervals, peaks, signal, states, steps, still
 from ..registry import query
 from .base import AXES_SQL, ORDER, USER, axes, events, table
 from .series import r6
@@ -48,10 +48,30 @@ def causal_bandpass(spark, sf):
     return signal.causal(v, "embedding", 25.0, 0.4, 4.0).select("vec_id", F.transform("filtered", lambda x: F.round(x, 6)).alias("filtered"))
 
 
-@query()
+@query("""
+with recursive frames as (
+  select label, vec_id, row_number() over (partition by label order by vec_id) as k, embedding,
+    list_sum(list_transform(embedding, lambda x: x::double)) / 64 as mean
+  from embeddings where embedding is not null and label is not null),
+windowed as (
+  select label, vec_id, k, list_transform(range(64), lambda n: (embedding[n + 1] - mean)
+    * (0.42 - 0.5 * cos(2 * pi() * n / 63) + 0.08 * cos(4 * pi() * n / 63))) as x
+  from frames),
+lines as (
+  select label, vec_id, k, list_transform(range(33), lambda f: {'bpm': f * (1 / (64 * (1 / 6.4::double))) * 60, 'power': case when f between 1 and 31 then 2 else 1 end
+    * (pow(list_sum(list_transform(range(64), lambda n: x[n + 1] * cos(2 * pi() * f * n / 64))), 2) + pow(list_sum(list_transform(range(64), lambda n: x[n + 1] * sin(2 * pi() * f * n / 64))), 2))}) as spectrum
+  from windowed),
+chain as (
+  select label, 0::bigint as k, null::bigint as vec_id, null::int as bpm, null::int as held from (select distinct label from lines)
+  union all
+  select label, k, vec_id, bpm, coalesce(bpm, held) from (
+    select l.label, l.k, l.vec_id, c.held, floor(list_sort(list_transform(list_filter(l.spectrum, lambda s: s.bpm >= case when c.held between 30 and 200 then 0.5e0 * c.held else 30 end
+      and s.bpm <= case when c.held between 30 and 200 then 1.4e0 * c.held else 200 end), lambda s: {'power': -s.power, 'bpm': s.bpm}))[1].bpm + 1e-9)::int as bpm
+    from chain c join lines l on l.label = c.label and l.k = c.k + 1))
+select label, vec_id, bpm from chain where k > 0""")
 def spectral_hr(spark, sf):
     v = table(spark, sf, "embeddings").where("embedding is not null and label is not null")
-    return beats.spectral_rate(v, "label", "vec_id", "embedding", 6.4)
+    return states.spectral_rate(v, "label", "vec_id", "embedding", 6.4)
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import signal
+from ..operators import signal, states
 from ..registry import query
 from ..streaming import streams
 from .base import ORDER, USER, axes, events, table
@@ -46,14 +46,46 @@ def window_spectrum(spark, sf):
     return x.select("vec_id", F.transform("spectrum", lambda v: F.round(v, 6)).alias("spectrum"))
 
 
-@query()
+#: Laplace moves between 64 bins as `moves` makes them, m[i][j] and by columns, and the sessions' observations in order.
+_CHAIN = """
+with recursive shares as (
+  select i, j, case when i - j + 0.5 < 0 then 0.5 * exp((i - j + 0.5) / 2) else 1 - 0.5 * exp(-(i - j + 0.5) / 2) end
+    - case when i - j - 0.5 < 0 then 0.5 * exp((i - j - 0.5) / 2) else 1 - 0.5 * exp(-(i - j - 0.5) / 2) end as w
+  from range(64) a(i), range(64) b(j)),
+scaled as (select i, j, w / sum(w) over (partition by i) as w from shares),
+columns as (select list(c order by j) as m from (select j, list(w order by i) as c from scaled group by j)),
+seen as (
+  select label, vec_id, row_number() over (partition by label order by vec_id) as k, list_transform(embedding, lambda x: exp(x::double)) as o
+  from embeddings where embedding is not null and label is not null),"""
+
+
+@query(_CHAIN + """
+beliefs as (
+  select label, vec_id, k, list_transform(o, lambda x: x / list_sum(o)) as belief from seen where k = 1
+  union all
+  select label, vec_id, k, list_transform(p, lambda x: x / list_sum(p)) from (
+    select s.label, s.vec_id, s.k, list_transform(range(1, 65), lambda j: list_dot_product(b.belief, c.m[j]) * s.o[j]) as p
+    from beliefs b join seen s on s.label = b.label and s.k = b.k + 1 cross join columns c))
+select label, vec_id, list_transform(belief, lambda x: round(x, 6)) as belief from beliefs""")
 def belief_filter(spark, sf):
-    return signal.beliefs(_sessions(spark, sf), "label", "vec_id", "seen", MOVE).select("label", "vec_id", F.transform("belief", lambda v: F.round(v, 6)).alias("belief"))
-
-
-@query()
+    return states.beliefs(_sessions(spark, sf), "label", "vec_id", "seen", MOVE).select("label", "vec_id", F.transform("belief", lambda v: F.round(v, 6)).alias("belief"))
+
+
+@query(_CHAIN + """
+logs as (select list_transform(m, lambda c: list_transform(c, lambda x: ln(x))) as m from columns),
+forward as (
+  select label, vec_id, k, list_transform(o, lambda x: ln(x)) as score, null::bigint[] as back from seen where k = 1
+  union all
+  select label, vec_id, k, list_transform(range(1, 65), lambda j: list_max(reached[j]) + ln(o[j])), list_transform(reached, lambda r: list_position(r, list_max(r)) - 1) from (
+    select s.label, s.vec_id, s.k, s.o, list_transform(range(1, 65), lambda j: list_transform(range(1, 65), lambda i: f.score[i] + l.m[j][i])) as reached
+    from forward f join seen s on s.label = f.label and s.k = f.k + 1 cross join logs l)),
+path as (
+  select label, vec_id, k, back, list_position(score, list_max(score)) - 1 as bin from forward f where k = (select max(k) from seen s where s.label = f.label)
+  union all
+  select f.label, f.vec_id, f.k, f.back, p.back[p.bin + 1] from path p join forward f on f.label = p.label and f.k = p.k - 1)
+select label, vec_id, bin::int as bin from path""")
 def viterbi_decode(spark, sf):
-    return signal.best_path(_sessions(spark, sf), "label", "vec_id", "seen", MOVE)
+    return states.best_path(_sessions(spark, sf), "label", "vec_id", "seen", MOVE)
 
 
 @query()

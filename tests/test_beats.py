@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import beats, peaks, signal, steps, still
+from pulsegrid.operators import beats, peaks, signal, states, steps, still
 
 
 def frame(spark, **columns):
@@ -40,7 +40,7 @@ def test_prominence_and_width():
 def test_spectral_rate(spark):
     t = np.arange(640) / 64
     rows = [(1, k, np.sin(2 * np.pi * bpm / 60 * t).tolist()) for k, bpm in enumerate([60, 66, 72, 120])] + [(2, 0, None), (2, 1, np.sin(2 * np.pi * 3 * t).tolist())]
-    got = {(r["s"], r["k"]): r["bpm"] for r in beats.spectral_rate(spark.createDataFrame(rows, "s int, k int, f array<double>"), "s", "k", "f", 64.0).collect()}
+    got = {(r["s"], r["k"]): r["bpm"] for r in states.spectral_rate(spark.createDataFrame(rows, "s int, k int, f array<double>"), "s", "k", "f", 64.0).collect()}
     assert [abs(got[1, k] - b) <= 6 for k, b in enumerate([60, 66, 72])] == [True] * 3
     assert got[1, 3] <= 1.4 * got[1, 2] and got[2, 0] is None and got[2, 1] == 180
 

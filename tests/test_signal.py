@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import signal
+from pulsegrid.operators import signal, states
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,8 +45,8 @@ def test_beliefs_and_path(spark):
     rng, move = np.random.default_rng(1), signal.moves(5, 1.0)
     seen = rng.random((2, 6, 5))
     df = spark.createDataFrame([(s, k, seen[s, k].tolist()) for s in range(2) for k in range(6)], "s int, k int, p array<double>").repartition(3)
-    got = {(r["s"], r["k"]): r["belief"] for r in signal.beliefs(df, "s", "k", "p", move).collect()}
-    path = {(r["s"], r["k"]): r["bin"] for r in signal.best_path(df, "s", "k", "p", move).collect()}
+    got = {(r["s"], r["k"]): r["belief"] for r in states.beliefs(df, "s", "k", "p", move).collect()}
+    path = {(r["s"], r["k"]): r["bin"] for r in states.best_path(df, "s", "k", "p", move).collect()}
     for s in range(2):
         b = None
         for k in range(6):
