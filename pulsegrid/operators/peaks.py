@@ -175,6 +175,15 @@ def spaced(x: np.ndarray, at: np.ndarray, distance: float) -> np.ndarray:
     return at[_kept(x[at], at, distance)]
 
 
+def prominences(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How far x falls on both sides of each of some tops before it rises above it."""
+    sides = []
+    for y, places in ((x, at), (x[::-1], len(x) - 1 - at)):
+        turns, lows, _ = _falls(y)
+        sides.append(lows[np.searchsorted(turns, places)])
+    return x[at] - np.maximum(*sides)
+
+
 def prominence(x: np.ndarray, at: int, reach: int) -> float:
     """How far x falls on both sides of a top before it rises above it, within reach // 2 places of it."""
     falls = []

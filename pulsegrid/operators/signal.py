@@ -30,7 +30,7 @@ def butterworth(f: np.ndarray, order: int, low: float | None, high: float | None
     return np.nan_to_num(out)
 
 
-def _padded(x: np.ndarray, n: int) -> np.ndarray:
+def padded(x: np.ndarray, n: int) -> np.ndarray:
     """x with n more values at both ends, mirrored in its end points."""
     return np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]) if n else x
 
@@ -51,7 +51,7 @@ def zero_phase(df: DataFrame, keys: list[str], order: list[str], value: str, fs:
             return part[names].iloc[:0].assign(filtered=np.empty(0))
         x = part[value].to_numpy(float)
         n = min(len(x) - 1, reach)
-        y = _padded(x, n)
+        y = padded(x, n)
         gain = np.abs(butterworth(np.fft.rfftfreq(len(y), 1 / fs), degree, low, high)) ** 2
         part = part.assign(filtered=np.fft.irfft(np.fft.rfft(y) * gain, len(y))[n : n + len(x)])
         return part[part["own"]][[*names, "filtered"]]

@@ -58,17 +58,22 @@ def _again(rows: DataFrame, session: str, step: str, states: DataFrame, follow:
 
 class Rates:
     """The rate of a spectrum, given the rate before: the strongest line between 0.5 and 1.4 times that rate, or between
-    slow and fast where it is none or outside of these. A state is 0 for none or outside, or 1 + rate - slow."""
+    slow and fast where it is none or outside of these. A state is 0 for none, or 1 more than a rate's place among all
+    that can be found."""
 
     def __init__(self, slow: int, fast: int):
-        self.slow, self.fast, self.states = slow, fast, fast - slow + 2
+        self.slow, self.fast, self.least = slow, fast, slow // 2
+        self.states = int(1.4 * fast) - self.least + 2
 
     def state(self, bpm: int) -> int:
-        return bpm - self.slow + 1 if self.slow <= bpm <= self.fast else 0
+        return bpm - self.least + 1
+
+    def bpm(self, state: int) -> int | None:
+        return state + self.least - 1 if state else None
 
     def line(self, power: np.ndarray, bpm: np.ndarray, state: int) -> int | None:
-        before = state + self.slow - 1
-        low, high = (0.5 * before, 1.4 * before) if state else (self.slow, self.fast)
+        before = self.bpm(state)
+        low, high = (0.5 * before, 1.4 * before) if before and self.slow <= before <= self.fast else (self.slow, self.fast)
         a, b = np.searchsorted(bpm, low), np.searchsorted(bpm, high, "right")
         return int(bpm[a + int(power[a:b].argmax())] + 1e-9) if b > a else None
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
-from ..operators import beats, intervals, peaks, signal, states, steps, still
+from ..operators import beats, intervals, peaks, pulse, signal, states, steps, still
 from ..registry import query
 from .base import AXES_SQL, ORDER, USER, axes, events, table
 from .series import r6
@@ -79,6 +79,11 @@ def beats_multiscale(spark, sf):
     return beats.beats(events(spark, sf), USER, ORDER, "value", 4.0)
 
 
+@query()
+def beats_adaptive(spark, sf):
+    return pulse.adaptive_beats(events(spark, sf), USER, ORDER, "value", 4.0)
+
+
 @query()
 def ibi_artifacts(spark, sf):
     return beats.interval_artifacts(events(spark, sf).select("user_id", "ts", "event_id", "value"), USER, ORDER, "value").select("event_id", "value", "artifact")
