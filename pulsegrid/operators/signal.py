@@ -83,26 +83,6 @@ def causal(df: DataFrame, frame: str, fs: float, low: float, high: float, degree
     return df.mapInPandas(run, df.select("*", F.lit(None).cast("array<double>").alias("filtered")).schema)
 
 
-def spectra(df: DataFrame, frame: str, fs: float, low: float, high: float, points: int, degree: int = 4) -> DataFrame:
-    """df with spectrum (array<double>): detrended, band-passed, z-scored frames, zero-padded to `points`, as magnitudes
-    at frequencies strictly between low and high. A null or empty frame gives a null spectrum."""
-    f = np.fft.rfftfreq(points, 1 / fs)
-    inside = (f > low) & (f < high)
-
-    def one(values) -> list[float] | None:
-        if values is None or not len(values):
-            return None
-        y = forward(np.asarray(values, float), fs, degree, low, high)
-        y = (y - y.mean()) / (y.std() + 1e-10)
-        return np.abs(np.fft.rfft(y, points))[inside].tolist()
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(spectrum=[one(v) for v in batch[frame]])
-
-    return df.mapInPandas(run, df.select("*", F.lit(None).cast("array<double>").alias("spectrum")).schema)
-
-
 def moves(bins: int, scale: float) -> np.ndarray:
     """The share of steps from bin i to bin j: Laplace around 0 with `scale` bins, each row with sum 1."""
     d = np.subtract.outer(np.arange(bins), np.arange(bins)).astype(float)

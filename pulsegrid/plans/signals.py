@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import signal, states
+from ..operators import resample, signal, states
 from ..registry import query
 from ..streaming import streams
 from .base import ORDER, USER, axes, events, table
@@ -31,8 +31,9 @@ def ppg_clean(spark, sf):
 
 @query()
 def antialias_resample(spark, sf):
-    x = signal.zero_phase(events(spark, sf), USER, ORDER, "value", 1.0, 8, high=0.1)
-    return x.where("idx % 4 = 0").select("user_id", (F.col("idx") / 4).cast("long").alias("idx"), "ts", r6("filtered").alias("value"))
+    """A value a day, from some 2.4 events a day."""
+    x = resample.antialiased(events(spark, sf), USER, ORDER, ["value"], 1 / 36_000, 1 / 86_400)
+    return x.select("user_id", "idx", "ts", r6("value").alias("value"))
 
 
 def _sessions(spark, sf):
@@ -42,8 +43,11 @@ def _sessions(spark, sf):
 
 @query()
 def window_spectrum(spark, sf):
-    x = signal.spectra(_sessions(spark, sf).select("vec_id", "embedding"), "embedding", 25.0, 0.5, 3.5, 535)
-    return x.select("vec_id", F.transform("spectrum", lambda v: F.round(v, 6)).alias("spectrum"))
+    """A pulse wave and an acceleration at 4 Hz, in frames of eight seconds."""
+    rounded = lambda name: F.transform("spectrum", lambda v: F.round(v, 6)).alias(name)
+    ppg = resample.window_spectra(axes(spark, sf), USER, ORDER, ["value"], 4.0).select("user_id", "step", rounded("ppg"))
+    acc = resample.window_spectra(axes(spark, sf), USER, ORDER, ["x", "y", "z"], 4.0, mean_first=False).select("user_id", "step", rounded("acc"))
+    return ppg.join(acc, ["user_id", "step"])
 
 
 #: Laplace moves between 64 bins as `moves` makes them, m[i][j] and by columns, and the sessions' observations in order.
@@ -90,10 +94,8 @@ def viterbi_decode(spark, sf):
 
 @query()
 def time_features(spark, sf):
-    # every second row is kept, so the band ends below a quarter of the rate
-    x = signal.zero_phase(events(spark, sf), USER, ORDER, "value", 1.0, 4, low=0.05, high=0.2).where("idx % 2 = 0")
-    m = x.groupBy("user_id").agg(F.avg("filtered").alias("m"), F.stddev_pop("filtered").alias("s"))
-    return x.join(m, "user_id").select("event_id", r6((F.col("filtered") - F.col("m")) / (F.col("s") + 1e-10)).alias("z"))
+    z = resample.time_features(axes(spark, sf), USER, ORDER, ["value", "x"], 4, 6, 0.1, 1.5)
+    return z.select("user_id", "idx", r6("z").alias("z"))
 
 
 @query()

@@ -32,15 +32,6 @@ def test_response():
     assert np.abs(signal.butterworth(np.array([1.0, 4.0]), 4, 1.0, 4.0)) ** 2 == pytest.approx(0.5)
 
 
-def test_spectrum_peaks_at_the_rate_of_the_wave(spark):
-    x = np.sin(2 * np.pi * 1.5 * np.arange(200) / 25)
-    row = signal.spectra(spark.createDataFrame([(1, x.tolist()), (2, None)], "id int, f array<double>"), "f", 25.0, 0.5, 3.5, 535).orderBy("id").collect()
-    f = np.fft.rfftfreq(535, 1 / 25)
-    f = f[(f > 0.5) & (f < 3.5)]
-    assert abs(f[np.argmax(row[0]["spectrum"])] - 1.5) < 25 / 535 + 1e-9
-    assert row[1]["spectrum"] is None
-
-
 def test_beliefs_and_path(spark):
     rng, move = np.random.default_rng(1), signal.moves(5, 1.0)
     seen = rng.random((2, 6, 5))
