@@ -31,14 +31,14 @@ def peaks(
         found = found.where(v >= height)
     found = found.drop("chunk", "own", "__above", "__below")
     if distance > 1:
-        found = found.join(_thinned(found, keys, value, distance, size), [*keys, "idx"], "left_semi").select(*found.columns)
+        found = found.join(thinned(found, keys, value, distance, size), [*keys, "idx"], "left_semi").select(*found.columns)
     if prominence is None:
         return found
     risen = _prominences(near.where("own"), found, keys, value).where(F.col("prominence") >= prominence)
     return found.join(risen, [*keys, "idx"]).select(*found.columns, "prominence")
 
 
-def _thinned(found: DataFrame, keys: list[str], value: str, distance: int, size: int) -> DataFrame:
+def thinned(found: DataFrame, keys: list[str], value: str, distance: int, size: int) -> DataFrame:
     """keys, idx of the maxima that stay."""
     # whether the own rows are near a top shows within twice the distance
     halo = 2 * distance

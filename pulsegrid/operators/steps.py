@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .chunks import haloed, numbered
+from ..sources.shared import written
+from .chunks import grouped_from, haloed, numbered
 from .circadian import template_correlation
-from .peaks import peaks, prominence, spaced, tops, width
+from .peaks import peaks, prominence, spaced, thinned, tops, width
+from .wear import template as template_of
+from .wear import top_quarter
+
+# Why a step candidate was given up, by its state.
+FAILURES = {
+    1: "swing_down",
+    2: "swing_up",
+    3: "heel_strike_too_small",
+    4: "too_close_to_next_i",
+    5: "too_far_from_pushoff_mean",
+    6: "mid_swing_peak_not_detected",
+}
+SUCCESS = "success"
 
 
 def mid_swing(x: np.ndarray) -> int | None:
@@ -22,18 +40,105 @@ def mid_swing(x: np.ndarray) -> int | None:
     return -max(wide)[1] if wide else None
 
 
-def _features(x: np.ndarray, at: int, fs: float, template: np.ndarray, spread: np.ndarray, push: int, swing: int, heel: int, strike: float) -> tuple[str, int | None, int | None]:
-    """What a push-off at row `at` leads to: the state it fails in, or "step", and the rows of mid-swing and strike."""
+def _features(x: np.ndarray, at: int, fs: float, p: Parameters, push: int) -> tuple[str, int | None, int | None, float | None]:
+    """What a push-off at row `at` leads to: success or the failure, the rows of mid-swing and strike, and the steepest
+    fall after the mid-swing."""
     mean, end = x[at : at + push].mean(), at + push
-    if not ((mean < template + spread) & (mean > template - spread)).any():
-        return "push_off_unlike_template", None, None
-    mid = mid_swing(x[end : end + swing])
+    if not ((mean < p.template + p.spread) & (mean > p.template - p.spread)).any():
+        return FAILURES[5], None, None, None
+    mid = mid_swing(x[end : end + p.swing])
     if mid is None:
-        return "no_mid_swing", None, None
-    part = x[end + mid : end + mid + heel]
+        return FAILURES[6], None, None, None
+    part = x[end + mid : end + mid + p.heel]
     slope = (np.append(part[1:], part[-1]) - np.append(part[0], part[:-1])) * fs / 2
-    hit = np.flatnonzero(slope < strike)
-    return ("step", end + mid, end + mid + int(hit[0]) + 1) if len(hit) else ("no_heel_strike", end + mid, None)
+    hit = np.flatnonzero(slope < p.strike)
+    fall = float(slope.min()) if len(slope) else None
+    return (SUCCESS, end + mid, end + mid + int(hit[0]) + 1, fall) if len(hit) else (FAILURES[3], end + mid, None, fall)
+
+
+class Parameters(NamedTuple):
+    """What a push-off looks like, and the rows and the slope that its swing and strike are looked for in."""
+
+    template: np.ndarray
+    spread: np.ndarray
+    swing: int
+    heel: int
+    strike: float
+
+
+class _Detector:
+    """One pass over recordings: push-offs given, what follows each of them, and which of them stay."""
+
+    def __init__(self, keys: list[str], fs: float, push: int, down: int, reach: int, size: int):
+        self.keys, self.fs, self.push, self.down, self.reach, self.size = keys, fs, push, down, reach, size
+
+    def dealt(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        """rows (keys, idx, __v) with the push-offs marked, in chunks that reach as far as a step on both sides."""
+        marked = rows.join(found.select(*self.keys, "idx", F.lit(True).alias("__push")), [*self.keys, "idx"], "left")
+        return haloed(marked, self.keys, "idx", max(self.size, 2 * self.reach), self.reach, self.reach)
+
+    def shape(self, rows: DataFrame) -> StructType:
+        null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        more = [null("string", "state"), null("long", "mid_swing"), null("long", "heel_strike"), null("double", "value"), null("double", "fall"), null("array<double>", "snippet"), null("boolean", "opens")]
+        return rows.select(*self.keys, F.lit(0).cast("long").alias("chunk"), "idx", *more).schema
+
+    def follow(self, part: pd.DataFrame, p: Parameters) -> pd.DataFrame:
+        part = part.sort_values("idx")
+        x, idx, own, out, busy = part["__v"].to_numpy(), part["idx"].to_numpy(), part["own"].to_numpy(), [], -1
+        for at in np.flatnonzero(part["__push"].notna().to_numpy()).tolist():
+            state, mid, hit, fall = _features(x, at, self.fs, p, self.push)
+            hit = None if hit is None else min(hit, len(x) - 1)
+            if own[at]:
+                row = [None if k is None else int(idx[k]) for k in (mid, hit)]
+                out.append((int(idx[at]), state, *row, None if hit is None else float(x[hit]), fall, x[at : at + self.push], at >= busy))
+            busy = busy if hit is None else max(busy, hit + self.down)
+        out = pd.DataFrame(out, columns=["idx", "state", "mid_swing", "heel_strike", "value", "fall", "snippet", "opens"])
+        out = out.astype({"mid_swing": "Int64", "heel_strike": "Int64"})
+        ids = {k: part[k].iloc[0] for k in [*self.keys, "chunk"]}
+        return out.assign(**ids)[[*self.keys, "chunk", "idx", "state", "mid_swing", "heel_strike", "value", "fall", "snippet", "opens"]]
+
+    def in_order(self, candidates: DataFrame) -> DataFrame:
+        """The candidates without those that begin within a step. One that begins behind all that a step before could
+        take parts a recording into stretches, which are gone through each by itself."""
+
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("idx").reset_index(drop=True)
+            states, ends, free = [], [], -1
+            for at, state, hit in zip(part["idx"], part["state"], part["heel_strike"], strict=True):
+                inside = at < free
+                states.append(FAILURES[4] if inside else state)
+                ends.append(int(hit) + self.down if states[-1] == SUCCESS else None)
+                free = free if ends[-1] is None else ends[-1]
+            gone = np.array(states) == FAILURES[4]
+            part = part.assign(state=states, end=pd.array(ends, "Int64"))
+            part.loc[gone, ["mid_swing", "heel_strike", "value", "fall"]] = None
+            return part[names]
+
+        names = [*self.keys, "idx", "state", "mid_swing", "heel_strike", "end", "value", "fall", "snippet"]
+        stretches = grouped_from(candidates, self.keys, "chunk", "idx", "opens", "__stretch")
+        schema = stretches.withColumn("end", F.col("idx")).select(*names).schema
+        return stretches.groupBy(*self.keys, "__stretch").applyInPandas(run, schema)
+
+
+def _detector(df: DataFrame, keys: list[str], fs: float, push_s: float, swing_s: float, heel_s: float, down_s: float, size: int) -> tuple[_Detector, int, int]:
+    push, swing, heel, down = (max(1, int(s * fs)) for s in (push_s, swing_s, heel_s, down_s))
+    return _Detector(keys, fs, push, down, push + swing + heel + down + 1, size), swing, heel
+
+
+def _rows(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    return numbered(df.select(*keys, *order, F.col(value).cast("double").alias("__v")), keys, order).select(*keys, "idx", "__v")
+
+
+def _first_pass(
+    df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, template: list[float], spread: list[float], likeness: float, push_s: float, swing_s: float, heel_s: float, strike: float, down_s: float, size: int
+) -> DataFrame:
+    detector, swing, heel = _detector(df, keys, fs, push_s, swing_s, heel_s, down_s, size)
+    like = template_correlation(df.select(*keys, *order, value), keys, order, value, template, size).fillna(0.0, ["r"])
+    found = peaks(like, keys, order, "r", likeness, max(1, int(np.ceil(0.2 * fs))), size)
+    p = Parameters(np.array(template), np.array(spread), swing, heel, strike)
+    dealt = detector.dealt(_rows(df, keys, order, value), found)
+    candidates = dealt.groupBy(*keys, "chunk").applyInPandas(lambda part: detector.follow(part, p), detector.shape(dealt))
+    return detector.in_order(candidates)
 
 
 def steps(
@@ -43,49 +148,84 @@ def steps(
     value at the heel strike, for every push-off: rows whose next ones correlate with `template` by `likeness` at least,
     the likeliest within a fifth of a second.
 
-    state: "step", or where it fails: "within_step" (it begins before the last step's end), "push_off_unlike_template"
-    (its mean isn't within `spread` of the template), "no_mid_swing", "no_heel_strike" (no slope below `strike`).
+    state: "success", or one of FAILURES: it begins before the last step's end, its mean isn't within `spread` of the
+    template, it has no mid-swing, or no slope below `strike` behind that.
 
-    Correlations, push-offs and what follows each are found in chunks; only the push-offs of a recording, at most a few a
-    second, are gone through in order.
+    Correlations, push-offs and what follows each are found in chunks. Which push-offs begin within a step depends on
+    the steps before, but only up to the next push-off that lies behind all that these could take.
     """
-    push, swing, heel, down = (max(1, int(s * fs)) for s in (push_s, swing_s, heel_s, down_s))
-    like = template_correlation(df.select(*keys, *order, value), keys, order, value, template, size).fillna(0.0, ["r"])
-    found = peaks(like, keys, order, "r", likeness, max(1, int(np.ceil(0.2 * fs))), size).select(*keys, "idx", F.lit(True).alias("__push"))
-    rows = numbered(df.select(*keys, *order, F.col(value).cast("double").alias("__v")), keys, order).join(found, [*keys, "idx"], "left")
-    rows = haloed(rows, keys, "idx", size, 0, push + swing + heel + 1)
-    avg, std = np.array(template), np.array(spread)
+    return _first_pass(df, keys, order, value, fs, template, spread, likeness, push_s, swing_s, heel_s, strike, down_s, size).drop("fall", "snippet")
+
+
+def learnt(found: DataFrame, keys: list[str], fs: float, push: int, least: int = 20) -> DataFrame:
+    """keys, template, spread, swing_s, heel_s, strike of recordings with `least` steps or more, from their steps: the
+    mean and deviation of their push-offs, the usual times of swing and strike, and a slope between the usual falls of
+    the quarter of steps that strike least, and none. strike is null where these falls don't vary."""
+    done = found.where(F.col("state") == SUCCESS)
+    down, up = (F.col("mid_swing") - F.col("idx") - push) / fs, (F.col("heel_strike") - F.col("mid_swing")) / fs
+    times = done.groupBy(*keys).agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{k}") for k, c in (("down", down), ("up", up)) for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    shapes = template_of(done, keys, "snippet").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "avg", "std"))).alias("shape"))  # a row per position
+    falls = top_quarter(done, keys, [F.desc("fall"), F.col("idx")], "fall", population=True).select(*keys, "top_mean", "top_std")
+    swing = F.col("mean_down") + F.col("std_down") + F.col("mean_up") + F.col("std_up")
+    return times.where(F.col("n") >= least).join(shapes, keys).join(falls, keys).select(
+        *keys, F.col("shape.avg").alias("template"), F.col("shape.std").alias("spread"), F.greatest(swing, F.lit(0.1)).alias("swing_s"),
+        (0.5 + F.col("mean_up") + 2 * F.col("std_up")).alias("heel_s"), (-3 - F.try_divide(F.col("top_mean"), 2 * F.col("top_std"))).alias("strike"),
+    )
 
-    def follow(part: pd.DataFrame) -> pd.DataFrame:
+
+def adaptive_steps(
+    df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, template: list[float], spread: list[float], likeness: float = 0.85, push_s: float = 0.4, swing_s: float = 0.2, heel_s: float = 0.5, strike: float = -5.0, down_s: float = 0.05, size: int = 100_000, least: int = 20
+) -> DataFrame:
+    """As `steps`, in two passes: recordings in which the first finds `least` steps or more are gone through again with
+    what is learnt from these; others keep the first pass. `n_pass` tells which pass a row is of.
+
+    What is learnt is one row a recording, and goes to the recording's chunks by one row each. The first pass and the
+    push-offs of the second are written tables.
+    """
+    first = written(_first_pass(df, keys, order, value, fs, template, spread, likeness, push_s, swing_s, heel_s, strike, down_s, size))
+    detector, swing, heel = _detector(df, keys, fs, push_s, swing_s, heel_s, down_s, size)
+    own = written(learnt(first, keys, fs, detector.push, least))
+    # no learnt time is longer than this: a mean and a deviation of times within the first pass's windows
+    most_swing, most_heel = 2 * (swing + heel), int(0.5 * fs) + 3 * heel + 1
+    second = _Detector(keys, fs, detector.push, detector.down, detector.push + most_swing + most_heel + detector.down + 1, size)
+    rows = written(_rows(df, keys, order, value))
+    columns = ["template", "spread", "swing_s", "heel_s", "strike"]
+
+    def of(row: pd.DataFrame) -> Parameters:
+        r = row.iloc[0]
+        slope = strike if pd.isna(r["strike"]) else float(r["strike"])
+        return Parameters(np.asarray(r["template"]), np.asarray(r["spread"]), max(1, min(most_swing, int(r["swing_s"] * fs))), max(1, min(most_heel, int(r["heel_s"] * fs))), slope)
+
+    def with_own(dealt: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+        chunks = dealt.select(*keys, F.col("chunk").alias("__of")).distinct().join(own, keys)
+        return dealt.groupBy(*keys, "chunk").cogroup(chunks.select(*[F.col(k).alias(f"__{k}") for k in keys], "__of", *columns).groupBy(*[f"__{k}" for k in keys], "__of")).applyInPandas(run, schema)
+
+    def alike(part: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
+        if not len(row) or not len(part):
+            return pd.DataFrame({c: [] for c in [*keys, "idx", "r"]})
         part = part.sort_values("idx")
-        x, idx = part["__v"].to_numpy(), part["idx"].to_numpy()
-        out = []
-        for at in np.flatnonzero((part["__push"].notna() & part["own"]).to_numpy()):
-            state, mid, hit = _features(x, int(at), fs, avg, std, push, swing, heel, strike)
-            hit = None if hit is None else min(hit, len(x) - 1)
-            row = [None if k is None else int(idx[k]) for k in (mid, hit)]
-            out.append((int(idx[at]), state, *row, None if hit is None else float(x[hit])))
-        out = pd.DataFrame(out, columns=["idx", "state", "mid_swing", "heel_strike", "value"]).astype({"mid_swing": "Int64", "heel_strike": "Int64"})
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "idx", "state", "mid_swing", "heel_strike", "value"]]
-
-    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    shape = [*keys, "idx", null("string", "state"), null("long", "mid_swing"), null("long", "heel_strike"), null("double", "value")]
-    candidates = rows.groupBy(*keys, "chunk").applyInPandas(follow, rows.select(*shape).schema)
-
-    def in_order(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx").reset_index(drop=True)
-        states, ends, free = [], [], -1
-        for at, state, hit in zip(part["idx"], part["state"], part["heel_strike"], strict=True):
-            if at < free:
-                states.append("within_step")
-                ends.append(None)
-                continue
-            states.append(state)
-            ends.append(int(hit) + down if state == "step" else None)
-            free = free if ends[-1] is None else ends[-1]
-        gone = np.array(states) == "within_step"
-        part = part.assign(state=states, end=pd.array(ends, "Int64"))
-        part.loc[gone, ["mid_swing", "heel_strike", "value"]] = None
-        return part[[*keys, "idx", "state", "mid_swing", "heel_strike", "end", "value"]]
-
-    return candidates.groupBy(*keys).applyInPandas(in_order, rows.select(*shape[:-1], null("long", "end"), shape[-1]).schema)
+        r = correlations(part["__v"].to_numpy(), of(row).template)
+        top = np.zeros(len(r), bool)
+        top[1:-1] = (r[1:-1] > r[:-2]) & (r[1:-1] > r[2:]) & (r[1:-1] >= likeness)
+        return part.assign(r=r)[top & part["own"].to_numpy()][[*keys, "idx", "r"]]
+
+    dealt = haloed(rows, keys, "idx", max(size, 2 * detector.push), 1, detector.push + 1)
+    found = with_own(dealt, alike, dealt.select(*keys, "idx", F.lit(0.0).alias("r")).schema)
+    found = written(thinned(written(found), keys, "r", max(1, int(np.ceil(0.2 * fs))), size))
+    again = second.dealt(rows, found)
+    shape = second.shape(again)
+    none = pd.DataFrame({c: [] for c in shape.names})
+    candidates = with_own(again, lambda part, row: second.follow(part, of(row)) if len(row) and len(part) else none, shape)
+    kept = first.join(own.select(*keys), keys, "left_anti").withColumn("n_pass", F.lit(1))
+    return kept.unionByName(second.in_order(candidates).withColumn("n_pass", F.lit(2))).drop("fall", "snippet")
+
+
+def correlations(x: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Pearson's correlation of the template with the values from each place on; 0 where these aren't whole or don't vary."""
+    out, m = np.zeros(len(x)), len(template)
+    if len(x) >= m:
+        windows = np.lib.stride_tricks.sliding_window_view(x, m)
+        t = template - template.mean()
+        square = ((windows - windows.mean(1, keepdims=True)) ** 2).sum(1) * (t @ t)
+        out[: len(windows)] = np.where(square > 0, windows @ t / np.sqrt(np.where(square > 0, square, 1)), 0.0)
+    return out

@@ -29,12 +29,13 @@ def template(df: DataFrame, keys: list[str], snippet: str) -> DataFrame:
     return x.groupBy(*keys, "pos").agg(F.avg("__v").alias("avg"), F.stddev_pop("__v").alias("std"), F.max("__v").alias("max"), F.min("__v").alias("min"))
 
 
-def top_quarter(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
-    """keys, mean and sample deviation of all values, and of the first quarter of rows by `order`."""
+def top_quarter(df: DataFrame, keys: list[str], order: list[Column], value: str, population: bool = False) -> DataFrame:
+    """keys, mean and sample (or population) deviation of all values, and of the first quarter of rows by `order`."""
+    deviation = F.stddev_pop if population else F.stddev_samp
     n = F.row_number().over(window(keys, order))
     top = n <= F.floor(F.count("*").over(window(keys, order).rowsBetween(-(1 << 63), (1 << 63) - 1)) / 4)
     x = df.withColumn("__top", F.when(top, F.col(value)))
-    return x.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.avg("__top").alias("top_mean"), F.stddev_samp("__top").alias("top_std"))
+    return x.groupBy(*keys).agg(F.avg(value).alias("mean"), deviation(value).alias("std"), F.avg("__top").alias("top_mean"), deviation("__top").alias("top_std"))
 
 
 def laplace_matrix(df: DataFrame, keys: list[str], mu: str, b: str, bins: int, width: float) -> DataFrame:

@@ -140,7 +140,7 @@ def _legs(spark, sf):
 
 
 def _steps(df, keys):
-    return steps.steps(df, keys, ORDER, "value", 10.0, _TEMPLATE, _SPREAD, likeness=0.3, push_s=0.5, swing_s=0.6, heel_s=0.8, down_s=0.1)
+    return steps.adaptive_steps(df, keys, ORDER, "value", 10.0, _TEMPLATE, _SPREAD, likeness=0.3, push_s=0.5, swing_s=0.6, heel_s=0.8, down_s=0.1, least=3)
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import DAY, HOUR, micros
 from ..operators import circadian, intervals
+from ..operators.steps import FAILURES
 from ..registry import query
 from .base import AXES_SQL, ORDER, USER, axes, events
 from .series import BURSTS_SQL, _bursts, r6
@@ -51,17 +52,6 @@ def sleep_night_metrics(spark, sf):
     return circadian.night_metrics(e, ["user_id", "night"], ORDER, F.col("value") < 30).withColumn("efficiency", r6("efficiency"))
 
 
-#: Why a step candidate was given up, by its state.
-FAILURES = {
-    1: "swing_down",
-    2: "swing_up",
-    3: "heel_strike_too_small",
-    4: "too_close_to_next_i",
-    5: "too_far_from_pushoff_mean",
-    6: "mid_swing_peak_not_detected",
-}
-
-
 @query("select event_id, case event_id % 8 " + " ".join(f"when {k} then '{v}'" for k, v in FAILURES.items()) + " else 'success' end as step_state from events where event_id % 8 > 0")
 def failure_labels(spark, sf):
     e = events(spark, sf).withColumn("state", F.col("event_id") % 8)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import HOUR, micros
 from ..registry import query
 from ..sources import files
-from ..sources.records import new_folder
+from ..sources.shared import new_folder
 from .base import events, table
 from .series import r6
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.columns import micros
 from ..registry import query
-from ..sources import records
+from ..sources import records, shared
 from .base import events
 from .series import r6
 
@@ -43,6 +43,6 @@ def localize_time(spark, sf):
 
 @query("select event_id, user_id, value, cast(ts as date) as day from events")
 def sink_parquet_by_day(spark, sf):
-    path = records.new_folder(spark)
+    path = shared.new_folder(spark)
     records.write_by_day(events(spark, sf), path)
     return spark.read.parquet(path).select("event_id", "user_id", "value", "day")

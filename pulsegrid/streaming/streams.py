@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import instant, micros
-from ..sources.records import new_folder
+from ..sources.shared import new_folder
 
 
 def source(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:

@@ -121,12 +121,61 @@ def test_steps(spark):
     for p in planted:
         x[p : p + len(cycle)] = cycle + rng.normal(0, 0.005, len(cycle))
     for size in (700, 100_000):
-        got = steps.steps(frame(spark, v=x), ["k"], ["ts"], "v", fs, push.tolist(), [0.1] * 40, size=size).where("state = 'step'").collect()
+        got = steps.steps(frame(spark, v=x), ["k"], ["ts"], "v", fs, push.tolist(), [0.1] * 40, size=size).where("state = 'success'").collect()
         starts = sorted(r["idx"] for r in got)
         assert len(starts) == len(planted) and all(abs(a - b) <= 3 for a, b in zip(starts, planted, strict=True))
         assert all(r["idx"] + 40 <= r["mid_swing"] < r["heel_strike"] < r["end"] for r in got)
 
 
+@pytest.fixture(scope="module")
+def walk():
+    """Steps with strong strikes, and some whose fall is too slow for the usual threshold."""
+    rng = np.random.default_rng(8)
+    push = 1 + 0.3 * np.sin(np.linspace(0, np.pi * 1.5, 40))
+    swing = 0.6 - 0.9 * np.sin(np.linspace(0, np.pi, 20))
+    x, strong, weak = np.ones(9000) + rng.normal(0, 0.004, 9000), [], []
+    for n, p in enumerate(range(300, 8500, 200)):
+        low = rng.uniform(-0.6, 0.2)
+        end = [np.linspace(0.7, 2.2, 14), np.linspace(2.2, low, 8), np.linspace(low, 1, 30)]
+        if n % 9 == 4:
+            end = [np.linspace(0.7, 1.2, 14), np.linspace(1.2, 0.9, 10), np.linspace(0.9, 1, 28)]
+        (weak if n % 9 == 4 else strong).append(p)
+        cycle = np.concatenate([push + rng.uniform(-0.04, 0.04), swing, *end])
+        x[p : p + len(cycle)] = cycle + rng.normal(0, 0.004, len(cycle))
+    return x, push, strong, weak
+
+
+@pytest.mark.parametrize("size", [900, 100_000])
+def test_steps_that_only_the_second_pass_finds(spark, walk, size):
+    x, push, strong, weak = walk
+    df = frame(spark, v=x)
+    starts = lambda found: sorted(r["idx"] for r in found if r["state"] == "success")
+    near = lambda a, b: len(a) == len(b) and all(abs(p - q) <= 3 for p, q in zip(a, b, strict=True))
+    first = steps.steps(df, ["k"], ["ts"], "v", 100.0, push.tolist(), [0.1] * 40, size=size).collect()
+    assert near(starts(first), strong)
+    both = steps.adaptive_steps(df, ["k"], ["ts"], "v", 100.0, push.tolist(), [0.1] * 40, size=size).collect()
+    assert near(starts(both), sorted(strong + weak)) and {r["n_pass"] for r in both} == {2}
+    few = steps.adaptive_steps(df, ["k"], ["ts"], "v", 100.0, push.tolist(), [0.1] * 40, size=size, least=len(strong) + 1).collect()
+    assert near(starts(few), strong) and {r["n_pass"] for r in few} == {1}
+
+
+def test_what_is_learnt(spark, walk):
+    x, push, _, _ = walk
+    found = steps._first_pass(frame(spark, v=x), ["k"], ["ts"], "v", 100.0, push.tolist(), [0.1] * 40, 0.85, 0.4, 0.2, 0.5, -5.0, 0.05, 100_000)
+    done = found.where("state = 'success'").orderBy("idx").collect()
+    got = steps.learnt(found, ["k"], 100.0, 40).first()
+    snippets = np.array([x[r["idx"] : r["idx"] + 40] for r in done])
+    down, up = np.array([[r["mid_swing"] - r["idx"] - 40, r["heel_strike"] - r["mid_swing"]] for r in done]).T / 100
+    falls = []
+    for r in done:
+        part = x[r["mid_swing"] : r["mid_swing"] + 50]
+        falls.append(min((np.append(part[1:], part[-1]) - np.append(part[0], part[:-1])) * 50))
+    top = sorted(falls, reverse=True)[: len(falls) // 4]
+    assert np.allclose(got["template"], snippets.mean(0)) and np.allclose(got["spread"], snippets.std(0))
+    assert got["swing_s"] == pytest.approx(max(0.1, down.mean() + down.std() + up.mean() + up.std()))
+    assert got["heel_s"] == pytest.approx(0.5 + up.mean() + 2 * up.std()) and got["strike"] == pytest.approx(-3 - np.mean(top) / (2 * np.std(top)))
+
+
 def test_calibration(spark):
     rng = np.random.default_rng(6)
     true = rng.normal(size=(200, 3))
