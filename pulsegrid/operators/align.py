@@ -65,6 +65,23 @@ def fill_linear(df: DataFrame, keys: list[str], order: list[str], value: str, by
     return x.withColumn(value, F.coalesce(F.col(value), mid, F.col("__from.v"))).drop("__p", "__to", "__from")
 
 
+def masked_products(xs: np.ndarray, ys: np.ndarray, lags: int) -> tuple:
+    """For each lag from -lags to lags: the number of pairs of finite values ys[i], xs[i + lags - lag], the sums of both, of
+    both squared and of their products, of values less their means; the two means, and what rounding may leave of a sum. Six transforms give all lags."""
+    known_x, known_y = np.isfinite(xs), np.isfinite(ys)
+    cx, cy = (v[k].mean() if k.any() else 0.0 for v, k in ((xs, known_x), (ys, known_y)))
+    wide = max([np.abs(v[k] - c).max() for v, k, c in ((xs, known_x, cx), (ys, known_y, cy)) if k.any()], default=0.0)
+    x, y = np.where(known_x, xs - cx, 0.0), np.where(known_y, ys - cy, 0.0)
+    size = 1 << (len(xs) + len(ys) - 1).bit_length()
+    of = lambda v: np.fft.rfft(v, size)
+    fx, fxx, fkx, fy, fyy, fky = of(x), of(x * x), of(known_x.astype(float)), of(y), of(y * y), of(known_y.astype(float))
+    # the place of xs that meets ys[0] is lags - lag
+    back = lambda f, g: np.fft.irfft(f * np.conj(g), size)[2 * lags :: -1][: 2 * lags + 1]
+    n = np.rint(back(fkx, fky)).astype(np.int64)
+    dust = 1e-14 * len(xs) * wide * wide  # what rounding may leave of a sum that is zero
+    return n, back(fx, fky), back(fkx, fy), back(fxx, fky), back(fkx, fyy), back(fx, fy), cx, cy, dust
+
+
 def lagged_correlation(df: DataFrame, keys: list[str], index: str, x: str, y: str, lags: int, least: int = 2, size: int = 8192) -> DataFrame:
     """keys, lag, r, n: Pearson correlation of y at index with x at index - lag, for lags -lags .. lags that have `least`
     pairs or more; n counts the pairs of finite values. r is null where a side is constant.
@@ -82,16 +99,13 @@ def lagged_correlation(df: DataFrame, keys: list[str], index: str, x: str, y: st
         at, own = rows["__i"].to_numpy() - start + lags, rows["__own"].to_numpy(bool)
         xs, ys = np.full(size + 2 * lags, np.nan), np.full(size, np.nan)
         xs[at], ys[at[own] - lags] = rows["__x"].to_numpy(float), rows["__y"].to_numpy(float)[own]
-        found = []
-        for lag in range(-lags, lags + 1):
-            a = xs[lags - lag : lags - lag + size]
-            both = np.isfinite(a) & np.isfinite(ys)
-            if n := int(both.sum()):
-                a, b = a[both], ys[both]
-                mx, my = a.mean(), b.mean()
-                a, b = a - mx, b - my
-                found.append((*key[:-1], lag, n, mx, my, a @ a, b @ b, a @ b))
-        return pd.DataFrame(found, columns=[*keys, "lag", "n", "mx", "my", "xx", "yy", "xy"])
+        n, sx, sy, sxx, syy, sxy, cx, cy, dust = masked_products(xs, ys, lags)
+        some = n > 0
+        n, sx, sy = n[some], sx[some], sy[some]
+        # sums about the chunk's own means of each lag's pairs
+        square = lambda total, s: np.where(total[some] - s * s / n > dust, total[some] - s * s / n, 0.0)
+        about = {"mx": cx + sx / n, "my": cy + sy / n, "xx": square(sxx, sx), "yy": square(syy, sy), "xy": sxy[some] - sx * sy / n}
+        return pd.DataFrame({k: [v] * len(n) for k, v in zip(keys, key, strict=False)} | {"lag": np.arange(-lags, lags + 1)[some], "n": n} | about)
 
     parts = rows.groupBy(*keys, "__part").applyInPandas(moments, schema)
     n, total = F.sum("n"), lambda c: F.sum(F.col("n") * c)
@@ -104,3 +118,17 @@ def lagged_correlation(df: DataFrame, keys: list[str], index: str, x: str, y: st
     )
     r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
     return sums.where(F.col("n") >= least).select(*keys, "lag", r.alias("r"), "n")
+
+
+def best_offset(r: DataFrame, keys: list[str], segment: str) -> DataFrame:
+    """keys, segment, lag, r of the segment whose best lag correlates best; r as lagged_correlation gives it by keys and
+    segment. Of equals, the smaller lag and the earlier segment."""
+    top = lambda *tie: F.max_by(F.struct(segment, "lag", "r"), F.struct("r", *tie))
+    by_segment = r.where("r is not null").groupBy(*keys, segment).agg(top(-F.abs("lag"), -F.col("lag")).alias("b")).select(*keys, "b.*")
+    return by_segment.groupBy(*keys).agg(top(-F.col(segment)).alias("b")).select(*keys, "b.*")
+
+
+def on_clock(df: DataFrame, offsets: DataFrame, keys: list[str], ts: str, step_us: int) -> DataFrame:
+    """df with the offset (lag, in steps of step_us) of its keys taken off its clock; rows of keys without one keep theirs."""
+    x = chunks.spread(df, offsets.select(*keys, F.col("lag").alias("__lag")), keys, ts)
+    return x.withColumn(ts, F.timestamp_add("MICROSECOND", -F.coalesce(F.col("__lag"), F.lit(0)).cast("long") * F.lit(step_us), F.col(ts))).drop("__lag")

@@ -126,3 +126,15 @@ def grouped_from(df: DataFrame, keys: list[str], chunk: str, index: str, opens:
     firsts = firsts.select(*keys, chunk, "__first", F.coalesce(before, F.lit(-1)).alias("__before"))
     inside = F.coalesce(F.col(index) >= F.col("__first"), F.lit(False))
     return df.join(firsts, [*keys, chunk]).withColumn(name, F.when(inside, F.col(chunk)).otherwise(F.col("__before"))).drop("__first", "__before")
+
+
+#: Parts into which the rows of one key are dealt for a join with a small table.
+PARTS = 32
+
+
+def spread(df: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """df left-joined with `small`, which has a row a key. Rows of a key are dealt out by their column `by`, and the small
+    table's rows are repeated as often, so no task has all rows of a key and nothing is broadcast."""
+    parts = small.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = df.withColumn("__deal", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    return dealt.join(parts, [*keys, "__deal"], "left").drop("__deal")

@@ -67,7 +67,7 @@ def antialiased(
         part = part.sort_values("idx").reset_index(drop=True)
         own, us = np.flatnonzero(part["own"]), part["__us"].to_numpy()
         if not len(own):
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame(columns=names, dtype=object)
         x = part[values].to_numpy(float).T
         if ratio > 1:
             n = min(x.shape[1] - 1, reach)
@@ -142,7 +142,7 @@ def time_features(
         part = part.sort_values("idx")
         own, idx = part["own"].to_numpy(), part["idx"].to_numpy()
         if not own.any():
-            return pd.DataFrame({c: [] for c in [*keys, "idx", "z"]})
+            return pd.DataFrame(columns=[*keys, "idx", "z"], dtype=object)
         x = forward(part[channels].to_numpy(float).T, fs, degree, low, high).mean(0)
         a, b = int(idx[own][0]), int(idx[own][-1])
         index = np.arange(-(-a * up // down), -(-(b + 1) * up // down))

@@ -93,7 +93,7 @@ class _Detector:
                 out.append((int(idx[at]), state, *row, None if hit is None else float(x[hit]), fall, x[at : at + self.push], at >= busy))
             busy = busy if hit is None else max(busy, hit + self.down)
         out = pd.DataFrame(out, columns=["idx", "state", "mid_swing", "heel_strike", "value", "fall", "snippet", "opens"])
-        out = out.astype({"mid_swing": "Int64", "heel_strike": "Int64"})
+        out = out.astype({"mid_swing": "Int64", "heel_strike": "Int64", "snippet": object})
         ids = {k: part[k].iloc[0] for k in [*self.keys, "chunk"]}
         return out.assign(**ids)[[*self.keys, "chunk", "idx", "state", "mid_swing", "heel_strike", "value", "fall", "snippet", "opens"]]
 
@@ -110,7 +110,7 @@ class _Detector:
                 ends.append(int(hit) + self.down if states[-1] == SUCCESS else None)
                 free = free if ends[-1] is None else ends[-1]
             gone = np.array(states) == FAILURES[4]
-            part = part.assign(state=states, end=pd.array(ends, "Int64"))
+            part = part.assign(state=pd.Series(states, dtype=object), end=pd.array(ends, "Int64"))
             part.loc[gone, ["mid_swing", "heel_strike", "value", "fall"]] = None
             return part[names]
 
@@ -202,19 +202,21 @@ def adaptive_steps(
 
     def alike(part: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         if not len(row) or not len(part):
-            return pd.DataFrame({c: [] for c in [*keys, "idx", "r"]})
+            return pd.DataFrame(columns=[*keys, "idx", "r"], dtype=object)
         part = part.sort_values("idx")
         r = correlations(part["__v"].to_numpy(), of(row).template)
         top = np.zeros(len(r), bool)
         top[1:-1] = (r[1:-1] > r[:-2]) & (r[1:-1] > r[2:]) & (r[1:-1] >= likeness)
-        return part.assign(r=r)[top & part["own"].to_numpy()][[*keys, "idx", "r"]]
+        found = top & part["own"].to_numpy()
+        out = pd.DataFrame({"idx": part["idx"].to_numpy()[found], "r": r[found]})
+        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "idx", "r"]]
 
     dealt = haloed(rows, keys, "idx", max(size, 2 * detector.push), 1, detector.push + 1)
     found = with_own(dealt, alike, dealt.select(*keys, "idx", F.lit(0.0).alias("r")).schema)
     found = written(thinned(written(found), keys, "r", max(1, int(np.ceil(0.2 * fs))), size))
     again = second.dealt(rows, found)
     shape = second.shape(again)
-    none = pd.DataFrame({c: [] for c in shape.names})
+    none = pd.DataFrame(columns=shape.names, dtype=object)
     candidates = with_own(again, lambda part, row: second.follow(part, of(row)) if len(row) and len(part) else none, shape)
     kept = first.join(own.select(*keys), keys, "left_anti").withColumn("n_pass", F.lit(1))
     return kept.unionByName(second.in_order(candidates).withColumn("n_pass", F.lit(2))).drop("fall", "snippet")

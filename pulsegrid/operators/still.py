@@ -23,6 +23,14 @@ def _deviation(x: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(np.maximum(_sums(x * x, n) - total * total / n, 0) / (n - 1))
 
 
+def sliding_max(x: np.ndarray, n: int) -> np.ndarray:
+    """The highest of each n successive values. Blocks of n values have running extremes from both ends, and a window is
+    the end of one block and the beginning of the next, so the work is the same for every n."""
+    whole = np.append(x, np.full(-len(x) % n, -np.inf)).reshape(-1, n)
+    ahead, behind = np.maximum.accumulate(whole, 1).ravel(), np.maximum.accumulate(whole[:, ::-1], 1)[:, ::-1].ravel()
+    return np.maximum(behind[: len(x) - n + 1], ahead[n - 1 : len(x)])
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last places of the runs of true flags."""
     step = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
@@ -60,8 +68,7 @@ def detached(
         else:
             # over the next `ahead` rows; not known where these reach beyond the recording
             later = lambda y: np.append(y, np.full(ahead - 1, np.nan))
-            nearby = np.lib.stride_tricks.sliding_window_view(degrees, ahead)
-            warmest, coldest = later(nearby.max(1)), later(nearby.min(1))
+            warmest, coldest = later(sliding_max(degrees, ahead)), later(-sliding_max(-degrees, ahead))
             trend = later(degrees[ahead - 1 :] - np.append(np.nan, degrees)[: n - ahead + 1]) * 60 * fs / ahead
             share_next = later(_sums(still_next >= least_axes, ahead) / ahead)
             share_last = later(_sums(still_last >= least_axes, ahead) / ahead)

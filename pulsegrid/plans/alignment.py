@@ -136,9 +136,25 @@ def _shifted(spark, sf):
     return x.select("user_id", F.col("value").alias("x"), "i", "y")
 
 
-@query(f"select user_id, arg_max(lag, r) as best from ({_CROSS}) group by 1")
+#: Rows of a segment, and its lags.
+SEGMENT, NEAR = 40, 20
+
+
+@query(f"""
+with s as (
+  select user_id, ts, event_id, value as x, row_number() over w - 1 as i, lag(value, 2) over w + event_id % 13 as y
+  from events window w as (partition by user_id order by ts, event_id)),
+r as (
+  select a.user_id, a.i // {SEGMENT} as segment, (a.i - b.i)::int as lag, corr(a.y, b.x) as r
+  from s a join s b on b.user_id = a.user_id and b.i // {SEGMENT} = a.i // {SEGMENT} and abs(a.i - b.i) <= {NEAR} and a.y is not null and b.x is not null
+  group by 1, 2, 3 having count(*) >= {PAIRS}),
+best as (select *, row_number() over (partition by user_id order by r desc, segment) as k from r where r is not null)
+select s.event_id, segment, lag, round(r, 6) as r, ts - coalesce(lag, 0) * interval 1 minute as ts from s left join best on best.user_id = s.user_id and k = 1""")
 def best_offset(spark, sf):
-    r = align.lagged_correlation(_shifted(spark, sf), USER, "i", "x", "y", LAGS, PAIRS)
-    return r.groupBy("user_id").agg(F.max_by("lag", "r").alias("best"))
-
-
+    """The offset of the best segment of each user, taken off the clock at a minute a row."""
+    x = chunks.framed(events(spark, sf), USER, ORDER, 2, 0, lambda x, w: x.withColumns({"i": F.col("__idx"), "y": F.lag("value", 2).over(w) + F.col("event_id") % 13}))
+    x = x.withColumns({"segment": F.floor(F.col("i") / SEGMENT), "x": F.col("value")})
+    r = align.lagged_correlation(x.withColumn("j", F.col("i") % SEGMENT), [*USER, "segment"], "j", "x", "y", NEAR, PAIRS, SEGMENT)
+    best = align.best_offset(r, USER, "segment")
+    clock = align.on_clock(events(spark, sf), best, USER, "ts", 60_000_000).select(*USER, "event_id", "ts")
+    return chunks.spread(clock, best, USER, "event_id").select("event_id", "segment", "lag", r6("r").alias("r"), "ts")

@@ -98,6 +98,13 @@ def test_artifacts_by_key_with_nulls(spark):
     assert [got[k, i] for k in (1, 2) for i in range(120) if i != 10] == want * 2 and got[1, 10] is None
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 100])
+def test_sliding_extremes(n):
+    x = np.random.default_rng(7).normal(size=100)
+    x[40] = np.nan
+    assert np.array_equal(still.sliding_max(x, n), np.lib.stride_tricks.sliding_window_view(x, n).max(1), equal_nan=True)
+
+
 @pytest.mark.parametrize("size", [500, 100_000])
 def test_detached(spark, size):
     rng, n = np.random.default_rng(4), 4000
