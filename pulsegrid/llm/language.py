@@ -5,12 +5,13 @@ n-grams of itself with its ends marked: to its 5-grams if the model knows one of
 to single letters; a word without a known letter says nothing. A document's scores are the sums over all its words.
 
 Words are maximal runs of letters (`\\p{L}`), lower-cased. The model is counted by Spark on a bounded sample of labelled
-rows (`fit_rows`, about; every row where there are fewer), drawn by hash from each language: all rows of small languages
-and equally many of the others. Every language of the sample is learnt, with all its words and n-grams but those rarer
-than `rarest` (a share of the language's words, or of its n-grams of that length), so no language has more than
-1 / `rarest` of a kind. The model holds counts above zero only; it grows with the sample, not with the corpus.
+rows (`fit_rows`, about; every row where there are fewer), drawn by the hash of id and text from each language: all rows
+of small languages and equally many of the others. Every language of which the sample has a word is learnt, with all its
+words and n-grams; a caller may leave out those rarer than `rarest` (a share of the language's words, or of its n-grams
+of that length). The model holds counts above zero only; it grows with the sample, not with the corpus.
 
-Defined cases: null text and text without letters give `und` with score 0, and so does everything if nothing is labelled.
+Defined cases: null text and text without letters give `und` with score 0, and so does everything if no labelled
+text has a letter.
 A text with letters of which the model knows nothing gets the language that sorts first and an equal share as score.
 Equal scores: the language that sorts first. Rows are judged each by itself, so repeated rows and a null doc_id are no
 special case. Other columns are ignored, and lang, source and doc_id are no input of a prediction.
@@ -41,8 +42,8 @@ DENSE = 16 << 20
 
 @dataclass
 class Items:
-    """Known words, or n-grams of one length, in one text of lines. Item k has the log frequencies `base` (those of an
-    item never seen), raised by more[i] in language at[i] for i in start[k] .. start[k + 1]."""
+    """Known words, or n-grams of one length, in one text of lines. Item k has the log frequencies `base`, raised by more[i]
+    in language at[i] for i in start[k] .. start[k + 1], but for a term that is the same in all languages."""
 
     lines: str
     start: np.ndarray
@@ -81,16 +82,20 @@ class Model:
 
 
 def _items(counts: pa.Table, languages: list[str]) -> Items:
-    """Log frequencies, half a count added, of the items of one kind."""
+    """Log frequencies of the items of one kind, smoothed towards their frequency in all languages together: as many counts
+    as half of the items are added to each language, dealt out to the items by that. A language in which little was
+    counted so says little, and not that rare items are frequent."""
     counts = counts.sort_by("item")
     items = counts["item"].combine_chunks().dictionary_encode()
     lang = counts["lang"].combine_chunks().dictionary_encode()
     at = np.array([languages.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
     n = counts["n"].to_numpy().astype(float)
     of = items.indices.to_numpy()
-    total = np.bincount(at, n, len(languages)) + 0.5 * max(len(items.dictionary), 1)
+    added = 0.5 * max(len(items.dictionary), 1)
+    total = np.bincount(at, n, len(languages)) + added
     start = np.searchsorted(of, np.arange(len(items.dictionary) + 1))
-    return Items("\n".join(items.dictionary.to_pylist()), start, at, np.log(n + 0.5) - np.log(0.5), np.log(0.5) - np.log(total))
+    pooled = added * np.bincount(of, n, len(items.dictionary)) / max(n.sum(), 1)
+    return Items("\n".join(items.dictionary.to_pylist()), start, at, np.log1p(n / pooled[of]), -np.log(total))
 
 
 def shares(sizes: dict[str, int], fit_rows: int) -> dict[str, float]:
@@ -102,8 +107,8 @@ def shares(sizes: dict[str, int], fit_rows: int) -> dict[str, float]:
     return {lang: min(1.0, most / n) for lang, n in sizes.items()}
 
 
-def fit(docs: DataFrame, fit_rows: int = 20_000, rarest: float = 2e-6) -> Model | None:
-    """A model of labelled rows (doc_id, text, lang); None if no row has both text and lang."""
+def fit(docs: DataFrame, fit_rows: int = 20_000, rarest: float = 0.0) -> Model | None:
+    """A model of labelled rows (doc_id, text, lang); None if no labelled text has a letter."""
     tidy(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
@@ -111,7 +116,7 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, rarest: float = 2e-6) -> Model
         return None
     if sum(sizes.values()) > fit_rows:
         parts = [F.lit(x) for lang, p in shares(sizes, fit_rows).items() for x in (lang, int(p * _PARTS))]
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)) < F.create_map(*parts)[F.col("lang")])
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(_PARTS)) < F.create_map(*parts)[F.col("lang")])
     word = F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("item")
     words = table(rows.select("lang", word).where("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n")))
     marked = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
@@ -123,9 +128,12 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, rarest: float = 2e-6) -> Model
     counts = table(words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(grams))
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("all"))  # 1 + LONGEST rows per language
     known = counts.join(F.broadcast(totals), ["lang", "size"]).where(F.col("n") >= F.lit(rarest) * F.col("all"))
-    # at most 1 / rarest items per language and kind, and no more than the sample holds, as Arrow columns
+    # no more items than the bounded sample holds, as Arrow columns
     top = known.select("lang", "size", "item", "n").toArrow()
-    languages = sorted(sizes)
+    # a language of which no word was counted isn't learnt
+    languages = sorted(set(top["lang"].to_pylist()))
+    if not languages:
+        return None
     kinds = [_items(top.filter(pc.equal(top["size"], k)), languages) for k in range(LONGEST + 1)]
     return Model(languages, kinds[0], kinds[1:])
 
@@ -234,21 +242,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def identify(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:
+def identify(docs: DataFrame, fit_rows: int = 20_000, rarest: float = 0.0) -> DataFrame:
     """Fit on the rows that aren't held out, predict all: doc_id, held_out, lang_pred, score. One row per row of docs, in
     the cases that the module's text defines; an empty table gives none."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))), fit_rows)
+    model = fit(docs.where(~held_out(F.col("doc_id"))), fit_rows, rarest)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:
+def known_language(docs: DataFrame, fit_rows: int = 20_000, rarest: float = 0.0) -> DataFrame:
     """The rows of docs whose text is in some language, with all their columns.
 
     Rejected, each row by its own text: null text, texts without a letter, and texts of whose words and n-grams the model
     knows none. If nothing is labelled, every text with a letter stays. Repeated rows and rows with a null doc_id are
     judged like any other; an empty table stays empty.
     """
-    model = fit(docs.where(~held_out(F.col("doc_id"))), fit_rows)
+    model = fit(docs.where(~held_out(F.col("doc_id"))), fit_rows, rarest)
     if model is None:
         return docs.where(F.col("text").rlike("\\p{L}"))
     return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)

@@ -64,7 +64,9 @@ def test_backoff_by_brute_force(spark):
     known = [set().union(*kind.values()) for kind in counts]
 
     def log(size, item):
-        return np.array([math.log((counts[size][k][item] + 0.5) / (sum(counts[size][k].values()) + 0.5 * len(known[size]))) for k in langs])
+        added, all_counts = 0.5 * len(known[size]), sum(sum(c.values()) for c in counts[size].values())
+        pooled = added * sum(c[item] for c in counts[size].values()) / all_counts
+        return np.array([math.log((counts[size][k][item] + pooled) / (sum(counts[size][k].values()) + added)) for k in langs])
 
     def score(w):
         if w in known[0]:
