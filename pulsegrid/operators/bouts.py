@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import intervals
-from .chunks import previous
+from .chunks import framed, previous, spread
 from .intervals import window
+from .quantiles import quantiles
 
 
 def tolerant(df: DataFrame, keys: list[str], order: list[str], high: Column, max_break: int, least: int, share: float) -> DataFrame:
@@ -29,9 +30,9 @@ def sleep_windows(df: DataFrame, keys: list[str], order: list[str], angle: str,
     """
     ts = order[0]
     x = previous(df.select(*keys, *order, angle), keys, order, F.col(angle), "__p").withColumn("__d", F.abs(F.col(angle) - F.col("__p")))
-    x = x.withColumn("__m", F.round(F.percentile("__d", 0.5).over(window(keys, order).rowsBetween(-half, half)), 6))
-    limit = x.groupBy(*keys).agg(F.round(F.percentile("__m", fraction) * factor, 6).alias("__t"))
-    x = x.join(limit, keys)
+    x = framed(x, keys, order, half, half, lambda x, w: x.withColumn("__m", F.round(F.percentile("__d", 0.5).over(w.rowsBetween(-half, half)), 6)))
+    limit = quantiles(x, keys, "__m", {"__t": fraction})
+    x = spread(x, limit.withColumn("__t", F.round(F.col("__t") * factor, 6)), keys, ts)
     quiet = intervals.bursts(x, keys, order, F.col("__m") < F.col("__t"))
     us = F.timestamp_diff("MICROSECOND", F.col("start"), F.col("end"))
     merged = intervals.merge(quiet.where(us >= least_us).select(*keys, "start", "end"), keys, gap_us)

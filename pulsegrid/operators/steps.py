@@ -165,7 +165,7 @@ def learnt(found: DataFrame, keys: list[str], fs: float, push: int, least: int =
     down, up = (F.col("mid_swing") - F.col("idx") - push) / fs, (F.col("heel_strike") - F.col("mid_swing")) / fs
     times = done.groupBy(*keys).agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{k}") for k, c in (("down", down), ("up", up)) for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     shapes = template_of(done, keys, "snippet").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "avg", "std"))).alias("shape"))  # a row per position
-    falls = top_quarter(done, keys, [F.desc("fall"), F.col("idx")], "fall", population=True).select(*keys, "top_mean", "top_std")
+    falls = top_quarter(done, keys, "idx", "fall", population=True).select(*keys, "top_mean", "top_std")
     swing = F.col("mean_down") + F.col("std_down") + F.col("mean_up") + F.col("std_up")
     return times.where(F.col("n") >= least).join(shapes, keys).join(falls, keys).select(
         *keys, F.col("shape.avg").alias("template"), F.col("shape.std").alias("spread"), F.greatest(swing, F.lit(0.1)).alias("swing_s"),

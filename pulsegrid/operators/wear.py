@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import window
+from .quantiles import top_share
 
 
 def short_wear(n: Column, before: Column, after: Column, minutes: int = 15) -> Column:
@@ -29,13 +31,12 @@ def template(df: DataFrame, keys: list[str], snippet: str) -> DataFrame:
     return x.groupBy(*keys, "pos").agg(F.avg("__v").alias("avg"), F.stddev_pop("__v").alias("std"), F.max("__v").alias("max"), F.min("__v").alias("min"))
 
 
-def top_quarter(df: DataFrame, keys: list[str], order: list[Column], value: str, population: bool = False) -> DataFrame:
-    """keys, mean and sample (or population) deviation of all values, and of the first quarter of rows by `order`."""
+def top_quarter(df: DataFrame, keys: list[str], by: str, value: str, population: bool = False) -> DataFrame:
+    """keys, mean and sample (or population) deviation of all values, and of the highest quarter of them. `by` deals the
+    rows of a key out."""
     deviation = F.stddev_pop if population else F.stddev_samp
-    n = F.row_number().over(window(keys, order))
-    top = n <= F.floor(F.count("*").over(window(keys, order).rowsBetween(-(1 << 63), (1 << 63) - 1)) / 4)
-    x = df.withColumn("__top", F.when(top, F.col(value)))
-    return x.groupBy(*keys).agg(F.avg(value).alias("mean"), deviation(value).alias("std"), F.avg("__top").alias("top_mean"), deviation("__top").alias("top_std"))
+    whole = df.groupBy(*keys).agg(F.avg(value).alias("mean"), deviation(value).alias("std"))
+    return whole.join(top_share(df, keys, value, 4, by, population), keys, "left")
 
 
 def laplace_matrix(df: DataFrame, keys: list[str], mu: str, b: str, bins: int, width: float) -> DataFrame:
@@ -49,3 +50,35 @@ def laplace_matrix(df: DataFrame, keys: list[str], mu: str, b: str, bins: int, w
 
     step = F.col("j") - F.col("i")
     return x.select(*keys, "i", "j", (below(step + 0.5) - below(step - 0.5)).alias("p"))
+
+
+def _erf(x: Column) -> Column:
+    """The error function, by its series of positive terms; 1 from 4.5 on, which is off by 2e-10."""
+    near = F.least(F.abs(x), F.lit(4.5))
+    # each term is the one before times 2 x^2 / (2 k + 1)
+
+    def more(a: Column, k: Column) -> Column:
+        term = a["term"] * a["square"] * 2.0 / (2 * k + 1)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"), a["square"].alias("square"))
+
+    start = F.struct(near.alias("term"), near.alias("sum"), (near * near).alias("square"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(110)), start, more)["sum"]
+    return F.signum(x) * F.when(near >= 4.5, F.lit(1.0)).otherwise(2 / F.sqrt(F.lit(math.pi)) * F.exp(-near * near) * series)
+
+
+def normal_cdf(x: Column, mu: Column, sigma: Column) -> Column:
+    """The share of a normal distribution below x; null where sigma is 0."""
+    z = F.try_divide(x - mu, sigma * math.sqrt(2))
+    return 0.5 * (1 + _erf(z))
+
+
+def lognormal_matrix(df: DataFrame, keys: list[str], mu: str, sigma: str, bins: int, low: float, high: float, sparse: bool = False) -> DataFrame:
+    """keys, i, j, p: the share of normal(mu, sigma) logarithms of ratios that lie between the least and the greatest ratio
+    of a rate in bin i to one in bin j, bins with their middles at low + (high - low) * i / bins. With sparse, steps of
+    more than 600 / bins bins get 0. A row of df gives bins^2 rows."""
+    all_bins = F.sequence(F.lit(0), F.lit(bins - 1))
+    x = df.select(*keys, mu, sigma, F.explode(all_bins).alias("i")).select("*", F.explode(all_bins).alias("j"))
+    edge = lambda k, half: F.log(F.lit(low) + (F.col(k) + half) * ((high - low) / bins))
+    below = lambda half: normal_cdf(edge("i", half) - edge("j", -half), F.col(mu), F.col(sigma))
+    p = below(0.5) - below(-0.5)
+    return x.select(*keys, "i", "j", (F.when(F.abs(F.col("i") - F.col("j")) > 600 / bins, 0.0).otherwise(p) if sparse else p).alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import HOUR
-from ..operators import align, chunks, intervals
+from ..operators import align, chunks, intervals, quantiles
 from ..registry import query
 from .base import NIGHTS_SQL, ORDER, USER, events, nights, table
 from .series import QUIET_SQL, quiet, r6
@@ -108,14 +108,11 @@ def semi_join_bouts(spark, sf):
     return e.join(e.groupBy("user_id").count().where("count >= 70"), "user_id", "left_semi").select("event_id")
 
 
-def _bins(spark):
-    return spark.range(64).select(F.col("id").cast("int").alias("i")).crossJoin(F.broadcast(spark.range(64).select(F.col("id").cast("int").alias("j"))))
-
-
 @query("with p as (select label, median(value) as mu, count(*) as n from (select event_type as label, value from events) group by 1) select label, i::int as i, j::int as j, round(mu + j - i, 6) as d from p, range(0, 64) a(i), range(0, 64) b(j)")
 def bin_cross_join(spark, sf):
-    p = events(spark, sf).groupBy(F.col("event_type").alias("label")).agg(F.median("value").alias("mu"))
-    return _bins(spark).crossJoin(F.broadcast(p)).select("label", "i", "j", r6(F.col("mu") + F.col("j") - F.col("i")).alias("d"))
+    p = quantiles.quantiles(events(spark, sf), ["event_type"], "value", {"mu": 0.5}).withColumnRenamed("event_type", "label")
+    bins = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    return p.select("*", bins.alias("i")).select("*", bins.alias("j")).select("label", "i", "j", r6(F.col("mu") + F.col("j") - F.col("i")).alias("d"))
 
 
 #: Lags to each side, and the least pairs of values that a lag needs.

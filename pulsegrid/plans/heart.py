@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import DAY, HOUR
-from ..operators import chunks, intervals, rolling
+from ..operators import chunks, intervals, quantiles, rolling
 from ..registry import query
 from .base import ORDER, USER, events, table
 from .series import r6
@@ -154,13 +154,14 @@ def samples_per_second(spark, sf):
 @query(f"select event_type, round(mu, 6) as mu, round(avg(abs(d - mu)), 6) as b, round(stddev_pop(d), 6) as sigma from (select event_type, d, median(d) over (partition by event_type) as mu from (select event_type, value - lag(value) over (partition by event_type, user_id order by ts, event_id) as d from events) where d is not null) group by event_type, mu")
 def transition_fit(spark, sf):
     d = chunks.previous(events(spark, sf), ["event_type", "user_id"], ORDER, F.col("value"), "before").withColumn("d", F.col("value") - F.col("before")).where("d is not null")
-    x = d.join(d.groupBy("event_type").agg(F.percentile("d", 0.5).alias("mu")), "event_type")
+    x = chunks.spread(d, quantiles.quantiles(d, ["event_type"], "d", {"mu": 0.5}), ["event_type"], "event_id")
     return x.groupBy("event_type").agg(r6(F.first("mu")).alias("mu"), r6(F.avg(F.abs(F.col("d") - F.col("mu")))).alias("b"), r6(F.stddev_pop("d")).alias("sigma"))
 
 
 @query("select user_id, round(quantile_cont(value, 0.1) * 1.5, 6) as threshold, round(quantile_cont(value, 0.9), 6) as p90 from events group by 1")
 def percentile_threshold(spark, sf):
-    return events(spark, sf).groupBy("user_id").agg(r6(F.percentile("value", 0.1) * 1.5).alias("threshold"), r6(F.percentile("value", 0.9)).alias("p90"))
+    found = quantiles.quantiles(events(spark, sf), USER, "value", {"p10": 0.1, "p90": 0.9})
+    return found.select("user_id", r6(F.col("p10") * 1.5).alias("threshold"), r6("p90").alias("p90"))
 
 
 @query("select vec_id, round(list_sum(list_transform(p, lambda x, i: x * (30 + 180.0 * (i - 1) / 64))) / list_sum(p), 4) as bpm, round(list_sum(list_transform(p, lambda x: case when x > 0 then -x * ln(x) else 0 end)), 4) as entropy from (select vec_id, list_transform(embedding, lambda x: abs(x::double)) as p from embeddings)")

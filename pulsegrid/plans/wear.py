@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, intervals, wear
+from ..operators import chunks, intervals, quantiles, wear
 from ..registry import query
 from .base import AXES_SQL, ORDER, USER, axes, events, table
 from .series import _RUN, r6
@@ -34,7 +34,7 @@ _PARAMETERS = f"select user_id, avg(value) as mean, stddev_samp(value) as std, a
 
 
 def _parameters(spark, sf):
-    return wear.top_quarter(events(spark, sf), USER, [F.desc("value"), F.col("event_id")], "value")
+    return wear.top_quarter(events(spark, sf), USER, "event_id", "value")
 
 
 @query(f"select user_id, round(mean, 6) as mean, round(std, 6) as std, round(top_mean, 6) as top_mean, round(top_std, 6) as top_std from ({_PARAMETERS})")
@@ -55,6 +55,23 @@ def adaptive_thresholds(spark, sf):
  select event_type, cast(i as integer) as i, cast(j as integer) as j, round(case when hi < 0 then exp(hi) * 0.5 else 1 - exp(-hi) * 0.5 end - case when lo < 0 then exp(lo) * 0.5 else 1 - exp(-lo) * 0.5 end, 6) as p from z""")
 def transition_matrix(spark, sf):
     d = chunks.previous(events(spark, sf), ["event_type", "user_id"], ORDER, F.col("value"), "before").withColumn("d", F.col("value") - F.col("before")).where("d is not null")
-    x = d.join(d.groupBy("event_type").agg(F.percentile("d", 0.5).alias("mu")), "event_type")
+    x = chunks.spread(d, quantiles.quantiles(d, ["event_type"], "d", {"mu": 0.5}), ["event_type"], "event_id")
     fitted = x.groupBy("event_type").agg(F.first("mu").alias("mu"), F.avg(F.abs(F.col("d") - F.col("mu"))).alias("b"))
     return wear.laplace_matrix(fitted, ["event_type"], "mu", "b", 64, 2.8125).withColumn("p", r6("p"))
+
+
+_CDF = """0.5 * (1 + sign({z}) * case when abs({z}) >= 4.5 then 1 else 2 / sqrt(pi()) * exp(-{z} * {z}) * coalesce(list_sum(list_transform(range(0, 111),
+  lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln(nullif(abs({z}), 0)) + lgamma(k + 1) - lgamma(2 * k + 2)))), 0) end)"""
+
+
+@query(f"""
+with d as (select event_type, ln(value) - ln(lag(value) over (partition by event_type, user_id order by ts, event_id)) as d from events where value > 0),
+f as (select event_type, avg(d) as mu, stddev_pop(d) as sigma from d where d is not null group by 1),
+e as (select event_type, i, j, (ln(30 + (i + 0.5e0) * 2.8125e0) - ln(30 + (j - 0.5e0) * 2.8125e0) - mu) / (sigma * sqrt(2)) as hi, (ln(30 + (i - 0.5e0) * 2.8125e0) - ln(30 + (j + 0.5e0) * 2.8125e0) - mu) / (sigma * sqrt(2)) as lo
+  from f, range(0, 64) s(i), range(0, 64) t(j))
+select event_type, cast(i as integer) as i, cast(j as integer) as j, round(case when abs(i - j) > 600 / 64 then 0 else {_CDF.format(z="hi")} - {_CDF.format(z="lo")} end, 6) as p from e""")
+def transition_matrix_lognormal(spark, sf):
+    rows = events(spark, sf).where("value > 0")
+    d = chunks.previous(rows, ["event_type", "user_id"], ORDER, F.col("value"), "before").select("event_type", (F.log("value") - F.log("before")).alias("d")).where("d is not null")
+    fitted = d.groupBy("event_type").agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sigma"))
+    return wear.lognormal_matrix(fitted, ["event_type"], "mu", "sigma", 64, 30.0, 210.0, True).withColumn("p", r6("p"))
