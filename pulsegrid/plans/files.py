@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.columns import HOUR, micros
@@ -20,19 +21,42 @@ def scan_parquet_streams(spark, sf):
     return read.where("event_type = 'click'").select("event_id", "user_id", "value", "event_type", "day")
 
 
-@query("""select user_id, day, cast(n as integer) as idx, first + to_microseconds(n * 250000) as ts, round(x / 4095.0::double * 32 - 16, 6) as x, round(y / 4095.0::double * 32 - 16, 6) as y, round(z / 4095.0::double * 32 - 16, 6) as z from (
- select user_id, cast(ts as date) as day, event_id % 4096 as x, event_id % 17 as y, event_id % 5 as z, min(ts) over (partition by user_id, cast(ts as date)) as first,
- row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) - 1 as n from events)""")
+def _wave_sql(stream: str, step: int, least: int) -> str:
+    """A wave of the events whose id is a multiple of `step`, at one value in 250 ms times `step`."""
+    return f"""select user_id, day, '{stream}' as stream, row_number() over w - 1 as n, first + to_microseconds((row_number() over w - 1) * {250000 * step}) as utc, null::double as x, null::double as y, null::double as z, value::float::double + {least} as value
+  from base where event_id % {step} = 0 window w as (partition by user_id, day order by ts, event_id)"""
+
+
+@query(f"""
+with base as (select user_id, cast(ts as date) as day, ts, event_id, event_type, value, min(ts) over (partition by user_id, cast(ts as date)) as first from events),
+streams as (
+  select user_id, day, 'accelerometer' as stream, row_number() over w - 1 as n, first + to_microseconds((row_number() over w - 1) * 250000) as utc,
+    (event_id % 4096) / 4095.0::double * 32 - 16 as x, (event_id % 17) / 4095.0::double * 32 - 16 as y, (event_id % 5) / 4095.0::double * 32 - 16 as z, null::double as value
+  from base window w as (partition by user_id, day order by ts, event_id)
+  union all {_wave_sql("bvp", 1, 0)} union all {_wave_sql("eda", 2, 0)} union all {_wave_sql("temperature", 3, 0)} union all {_wave_sql("steps", 5, 0)}
+  union all select user_id, day, 'systolicPeaks', row_number() over (partition by user_id, day order by ts, event_id) - 1, ts, null, null, null, null from base
+  union all select user_id, day, 'tags', row_number() over (partition by user_id, day order by ts, event_id) - 1, ts, null, null, null, null from base where event_type = 'purchase')
+select user_id, day, stream, n::int as idx, utc, utc + to_seconds((user_id % 5 - 2) * 1800) as ts, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, round(value, 4) as value from streams""")
 def scan_device_record(spark, sf):
+    """Records of seven streams, landed as JSON and read in one scan."""
     path = new_folder(spark)
-    row = F.struct("ts", "event_id")
+    row = F.struct("ts", "event_id", "event_type", "value")
     days = events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(row)).alias("r"))
     axis = lambda n: F.transform("r", lambda s: (s["event_id"] % n).cast("int"))
+    start = micros(F.col("r")[0]["ts"]).alias("timestampStart")
     params = F.struct(F.lit(-16.0).alias("physicalMin"), F.lit(16.0).alias("physicalMax"), F.lit(0.0).alias("digitalMin"), F.lit(4095.0).alias("digitalMax"))
-    acc = F.struct(F.lit(4.0).alias("samplingFrequency"), micros(F.col("r")[0]["ts"]).alias("timestampStart"), params.alias("imuParams"), axis(4096).alias("x"), axis(17).alias("y"), axis(5).alias("z"))
-    days.select("user_id", "day", F.lit(3600).alias("timezone"), F.struct(acc.alias("accelerometer")).alias("rawData")).write.json(path)
-    found = files.accelerometer(spark.read.schema(f"user_id bigint, day date, {files.RECORD}").json(path), ["user_id", "day"])
-    return found.withColumns({c: r6(c) for c in ("x", "y", "z")})
+    acc = F.struct(F.lit(4.0).alias("samplingFrequency"), start, params.alias("imuParams"), axis(4096).alias("x"), axis(17).alias("y"), axis(5).alias("z"))
+
+    def wave(step: int) -> Column:
+        kept = F.filter("r", lambda s: s["event_id"] % step == 0)
+        return F.struct(F.lit(4.0 / step).alias("samplingFrequency"), start, F.transform(kept, lambda s: s["value"].cast("float")).alias("values"))
+
+    waves = [wave(step).alias(n) for n, step in zip(files.WAVES, (1, 2, 3, 5), strict=True)]
+    peaks = F.struct(F.transform("r", lambda s: micros(s["ts"]) * 1000 + 7).alias("peaksTimeNanos")).alias("systolicPeaks")
+    tags = F.struct(F.transform(F.filter("r", lambda s: s["event_type"] == "purchase"), lambda s: micros(s["ts"])).alias("tagsTimeMicros")).alias("tags")
+    days.select("user_id", "day", ((F.col("user_id") % 5 - 2) * 1800).alias("timezone"), F.struct(acc.alias("accelerometer"), *waves, peaks, tags).alias("rawData")).write.json(path)
+    found = files.streams(spark.read.schema(f"user_id bigint, day date, {files.RECORD}").json(path), ["user_id", "day"])
+    return found.withColumns({c: r6(c) for c in ("x", "y", "z")} | {"value": F.round("value", 4)})
 
 
 def _band(spark, sf):

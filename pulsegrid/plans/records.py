@@ -36,9 +36,17 @@ def adc_to_physical(spark, sf):
     return events(spark, sf).select("event_id", r6(C.adc_to_physical(F.col("event_id") % 4096, (0, 4095), (-16, 16))).alias("g"))
 
 
-@query("select event_id, ts + to_seconds((user_id % 24 - 12) * 3600) as local from events")
+_ZONES = ("Europe/Berlin", "America/New_York", "Asia/Kathmandu")
+_MOVED = "ts + to_days((event_id % 366)::int)"
+
+
+@query(f"""select event_id, {_MOVED} + to_seconds((user_id % 24 - 12) * 3600) as by_offset,
+ (({_MOVED}) at time zone 'UTC') at time zone (case user_id % 3 {" ".join(f"when {k} then '{z}'" for k, z in enumerate(_ZONES))} end) as by_zone from events""")
 def localize_time(spark, sf):
-    return events(spark, sf).select("event_id", records.localize("ts", (F.col("user_id") % 24 - 12) * 3600).alias("local"))
+    """A year of times, by offsets and by named zones of which two change their clocks."""
+    e = events(spark, sf).withColumn("utc", F.timestamp_add("DAY", (F.col("event_id") % 366).cast("int"), F.col("ts")))
+    zone = F.element_at(F.array(*map(F.lit, _ZONES)), (F.col("user_id") % 3 + 1).cast("int"))
+    return e.select("event_id", records.localize("utc", (F.col("user_id") % 24 - 12) * 3600).alias("by_offset"), records.localize("utc", zone=zone).alias("by_zone"))
 
 
 @query("select event_id, user_id, value, cast(ts as date) as day from events")

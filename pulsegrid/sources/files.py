@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import HOUR, SECOND, col, instant
+from .records import localize
 
 #: File layouts, as Spark schemas.
 BAND_PPG = "timestamp bigint, ppg1 double, ppg2 double, ppg3 double, ambient double"
 BAND_ACC = "timestamp bigint, acc_x double, acc_y double, acc_z double"
 PATCH = "timestamp bigint, packet bigint, acc_x double, acc_y double, acc_z double"
 DIARY = "Data date, `Ora inizio` string, Evento string"
+_WAVE = "struct<samplingFrequency: double, timestampStart: bigint, values: array<float>>"
 RECORD = (
     "timezone int, rawData struct<accelerometer: struct<samplingFrequency: double, timestampStart: bigint,"
-    " imuParams: struct<physicalMin: double, physicalMax: double, digitalMin: double, digitalMax: double>, x: array<int>, y: array<int>, z: array<int>>>"
+    " imuParams: struct<physicalMin: double, physicalMax: double, digitalMin: double, digitalMax: double>, x: array<int>, y: array<int>, z: array<int>>,"
+    f" bvp: {_WAVE}, eda: {_WAVE}, temperature: {_WAVE}, steps: {_WAVE},"
+    " systolicPeaks: struct<peaksTimeNanos: array<bigint>>, tags: struct<tagsTimeMicros: array<bigint>>>"
 )
+#: A record's waves of one value.
+WAVES = ("bvp", "eda", "temperature", "steps")
 
 #: Microseconds from 1970-01-01 to 2000-01-01, where the band's counter starts.
 BAND_EPOCH_US = 946_684_800 * SECOND
@@ -31,14 +39,33 @@ def band_time(ns: Column | str) -> Column:
     return instant(F.call_function("div", col(ns) - F.pmod(col(ns), F.lit(1000)), F.lit(1000)) + F.lit(BAND_EPOCH_US + HOUR))
 
 
-def accelerometer(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Every record's accelerometer as samples in g: keys, idx, ts (UTC), x, y, z. Empty arrays give no rows."""
-    a = F.col("rawData.accelerometer")
-    rows = records.select(*keys, a["samplingFrequency"].alias("__fs"), a["timestampStart"].alias("__start"), a["imuParams"].alias("__p"), F.posexplode(F.arrays_zip(a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z"))).alias("idx", "__v"))
-    p = F.col("__p")
+def streams(records: DataFrame, keys: list[str], zone: Column | None = None) -> DataFrame:
+    """Every record's streams in one scan: keys, stream, idx, utc, ts, x, y, z, value.
+
+    stream: accelerometer (x, y, z in g), the waves bvp, eda, temperature and steps (value, each at its own rate), and the
+    instants systolicPeaks and tags. ts is local time, by `zone` if given, else by the record's timezone in seconds (none
+    counts as 0); see records.localize for repeated hours. Streams that a record lacks and empty arrays give no rows.
+    """
+    raw, a = F.col("rawData"), F.col("rawData.accelerometer")
+    p, nothing = a["imuParams"], F.lit(None).cast("double")
     scale = lambda v: (v - p["digitalMin"]) / (p["digitalMax"] - p["digitalMin"]) * (p["physicalMax"] - p["physicalMin"]) + p["physicalMin"]
-    at = instant(F.col("__start") + F.round(F.col("idx") * 1e6 / F.col("__fs")).cast("long"))
-    return rows.select(*keys, "idx", at.alias("ts"), *[scale(F.col("__v")[c]).alias(c) for c in ("x", "y", "z")])
+    point = lambda at, x=nothing, y=nothing, z=nothing, v=nothing: F.struct(at.cast("bigint").alias("us"), x.alias("x"), y.alias("y"), z.alias("z"), v.cast("double").alias("value"))
+    at = lambda s, i: s["timestampStart"] + F.round(i * 1e6 / s["samplingFrequency"])
+    axes = F.arrays_zip(a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z"))
+    whole_us = lambda ns: F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))
+    found = {"accelerometer": F.transform(axes, lambda v, i: point(at(a, i), scale(v["x"]), scale(v["y"]), scale(v["z"])))}
+    for n in WAVES:
+        found[n] = _wave(raw[n], at, point)
+    found["systolicPeaks"] = F.transform(raw["systolicPeaks"]["peaksTimeNanos"], lambda t: point(whole_us(t)))
+    found["tags"] = F.transform(raw["tags"]["tagsTimeMicros"], lambda t: point(t))
+    named = F.array(*[F.struct(F.lit(n).alias("stream"), points.alias("points")) for n, points in found.items()])
+    rows = records.select(*keys, "timezone", F.inline(named)).select(*keys, "timezone", "stream", F.posexplode("points").alias("idx", "__p"))
+    rows = rows.withColumn("utc", instant(F.col("__p.us")))
+    return rows.select(*keys, "stream", "idx", "utc", localize("utc", F.coalesce("timezone", F.lit(0)), zone).alias("ts"), *[F.col(f"__p.{c}").alias(c) for c in ("x", "y", "z", "value")])
+
+
+def _wave(wave: Column, at: Callable, point: Callable) -> Column:
+    return F.transform(wave["values"], lambda v, i: point(at(wave, i), v=v))
 
 
 def path_date(path: Column | str) -> Column:

@@ -19,8 +19,12 @@ def unnest_events(df: DataFrame, keys: list[str], times: str, per_us: int = 1) -
     return df.select(*keys, F.explode(times).alias("__t")).select(*keys, instant(F.expr(f"(__t - pmod(__t, {per_us})) div {per_us}")).alias("ts"))
 
 
-def localize(ts: Column | str, offset_s: Column | str) -> Column:
-    """Naive local time of a naive UTC time and the record's offset in seconds."""
+def localize(ts: Column | str, offset_s: Column | str | None = None, zone: Column | None = None) -> Column:
+    """Naive local time of a naive UTC time: by the record's offset in seconds, or by a named zone, which may differ from
+    row to row. Where clocks are set back, an hour of local times comes twice; such rows are told apart, and ordered, by
+    their UTC time only, so keep it. A null zone or offset gives null."""
+    if zone is not None:
+        return F.convert_timezone(F.lit("UTC"), zone, col(ts))
     return F.timestamp_add("SECOND", col(offset_s), col(ts))
 
 
