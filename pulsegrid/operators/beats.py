@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import fill_linear
-from .chunks import numbered
+from .chunks import haloed, numbered
 from .signal import straightened
 
 
@@ -38,30 +38,32 @@ def window_beats(x: np.ndarray, fs: float, slowest_bpm: float = 30.0, rate: floa
     return refined(_at_all_scales(y, scales), x), refined(_at_all_scales(-y, scales), -x)
 
 
-def beats(df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, length_s: float = 8.0, overlap: float = 0.2) -> DataFrame:
+def beats(df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, length_s: float = 8.0, overlap: float = 0.2, windows: int = 512) -> DataFrame:
     """keys, idx (row number from 0), kind ("peak" or "onset") of the beats of a pulse wave without nulls.
 
     Windows of length_s start every length_s * (1 - overlap); a last one ends at the last row; a shorter recording is one
-    window. Rows go to the one or two windows that hold them, so no task holds a recording; beats found twice count once.
+    window. A task has `windows` of them, in chunks with the rows that the last ones reach; beats found twice count once.
     """
     length, step = max(2, round(length_s * fs)), max(1, round(length_s * fs * (1 - overlap)))
-    rows = numbered(df.select(*keys, *order, F.col(value).cast("double").alias("__v")), keys, order)
+    rows = numbered(df.select(*keys, *order, F.col(value).cast("double").alias("__v")), keys, order).select(*keys, "idx", "__v")
     ends = rows.groupBy(*keys).agg((F.max("idx") + 1).alias("__n"))
-    i, last = F.col("idx"), F.greatest(F.col("__n") - length, F.lit(0))
-    first = F.greatest(F.ceil((i - length + 1) / F.lit(step)), F.lit(0).cast("long"))
-    regular = F.filter(F.transform(F.sequence(first, F.greatest(F.floor(i / F.lit(step)), first)), lambda k: k * step), lambda s: (s <= i) & (s <= last))
-    tail = F.when(i >= last, F.array(last)).otherwise(F.array().cast("array<bigint>"))
-    placed = rows.join(ends, keys).withColumn("start", F.explode(F.array_distinct(F.concat(regular, tail)))).select(*keys, "start", "idx", "__v")
+    dealt = haloed(rows, keys, "idx", windows * step, 0, length + step).join(ends, keys)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")
-        found = window_beats(part["__v"].to_numpy(), fs)
-        at = np.concatenate(found)
-        out = part.iloc[at][[*keys, "idx"]]
-        return out.assign(kind=["peak"] * len(found[0]) + ["onset"] * len(found[1]))
-
-    schema = placed.select(*keys, "idx", F.lit("").alias("kind")).schema
-    return placed.groupBy(*keys, "start").applyInPandas(run, schema).distinct()
+        x, first, last = part["__v"].to_numpy(), int(part["idx"].iloc[0]), max(0, int(part["__n"].iloc[0]) - length)
+        low = int(part["chunk"].iloc[0]) * windows * step
+        starts = set(range(low, min(low + windows * step, last + 1), step))
+        if low <= last < low + windows * step:
+            starts.add(last)
+        at = {"peak": set(), "onset": set()}
+        for s in starts:
+            for kind, places in zip(at, window_beats(x[s - first : s - first + length], fs), strict=True):
+                at[kind].update((places + s).tolist())
+        out = pd.DataFrame([(i, kind) for kind, places in at.items() for i in places], columns=["idx", "kind"])
+        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "idx", "kind"]]
+
+    return dealt.groupBy(*keys, "chunk").applyInPandas(run, rows.select(*keys, "idx", F.lit("").alias("kind")).schema).distinct()
 
 
 def interval_classes(rr: np.ndarray, c1: float = 0.13, c2: float = 0.17, alpha: float = 5.2, around: int = 91, smooth: int = 11) -> list[str | None]:

@@ -39,3 +39,18 @@ def sleep_windows(df: DataFrame, keys: list[str], order: list[str], angle: str,
     night = F.to_date(F.timestamp_add("HOUR", F.lit(-12), F.col("start"))).alias("night")
     best = merged.groupBy(*keys, night).agg(F.max(F.struct(us.alias("us"), (-F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("start"))).alias("at"), "start", "end")).alias("b"))
     return best.select(*keys, "night", "b.start", "b.end")
+
+
+def valid_days(df: DataFrame, keys: list[str], ts: str, day_hours: int = 16, night_hours: int = 10, waking_share: float = 2 / 3, night: tuple[int, int] = (22, 6)) -> DataFrame:
+    """keys, days, nights, waking, valid: the number of days with samples in day_hours hours or more, of nights (from noon
+    to noon) with samples in night_hours of the hours of night, of days with samples in a share of the other hours, and
+    of days that meet all three with the night that begins on them."""
+    start, end = night
+    hours = df.select(*keys, F.to_date(ts).alias("__day"), F.to_date(F.timestamp_add("HOUR", F.lit(-12), F.col(ts))).alias("__night"), F.hour(ts).alias("__hour")).distinct()
+    dark = (F.col("__hour") >= start) | (F.col("__hour") < end)
+    n = lambda c: F.count(F.when(c, 1))
+    by_day = hours.groupBy(*keys, F.col("__day").alias("__at")).agg((F.count("*") >= day_hours).alias("__whole"), (n(~dark) / (start - end) >= waking_share).alias("__awake"))
+    by_night = hours.groupBy(*keys, F.col("__night").alias("__at")).agg((n(dark) >= night_hours).alias("__asleep"))
+    both = by_day.join(by_night, [*keys, "__at"], "full")
+    whole, awake, asleep = F.col("__whole"), F.col("__awake"), F.col("__asleep")
+    return both.groupBy(*keys).agg(n(whole).alias("days"), n(asleep).alias("nights"), n(awake).alias("waking"), n(whole & awake & asleep).alias("valid"))

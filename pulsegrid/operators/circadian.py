@@ -19,19 +19,24 @@ def quiet_windows(df: DataFrame, keys: list[str], ts: str, axes: list[str], size
     key's first or beyond its last step are left out.
     """
     parts = size_us // step_us
-    of = lambda f, a: f(col(a)).alias(f"{f.__name__}_{a}")
-    square = lambda a: F.sum(col(a) * col(a)).alias(f"sq_{a}")
-    step = df.groupBy(*keys, F.floor(micros(ts) / F.lit(step_us)).alias("__s")).agg(F.count("*").alias("__n"), *[c for a in axes for c in (of(F.sum, a), square(a), of(F.min, a), of(F.max, a))])
+    part = lambda a: F.struct(F.avg(col(a)).alias("mean"), (F.var_pop(col(a)) * F.count(col(a))).alias("square"), F.count(col(a)).alias("n")).alias(a)
+    step = df.groupBy(*keys, F.floor(micros(ts) / F.lit(step_us)).alias("__s")).agg(F.count("*").alias("__n"), *[c for a in axes for c in (part(a), F.min(col(a)).alias(f"min_{a}"), F.max(col(a)).alias(f"max_{a}"))])
     edges = Window.partitionBy(*keys)
     step = step.withColumn("__low", F.min("__s").over(edges)).withColumn("__high", F.max("__s").over(edges))
     starts = F.filter(F.sequence(F.col("__s") - (parts - 1), F.col("__s")), lambda w: (w >= F.col("__low")) & (w <= F.col("__high") - (parts - 1)))
     step = step.withColumn("__w", F.explode(starts))
-    n = F.sum("__n")
-    mean = lambda a: F.sum(f"sum_{a}") / n
-    deviation = lambda a: F.sqrt(F.greatest(F.sum(f"sq_{a}") / n - mean(a) * mean(a), F.lit(0.0)))
-    still = sum((deviation(a) < std).cast("int") for a in axes)
-    flat = sum((F.max(f"max_{a}") - F.min(f"min_{a}") < spread).cast("int") for a in axes)
-    return step.groupBy(*keys, "__w").agg(((still >= least_axes) | (flat >= least_axes)).alias("nonwear"), n.alias("n")).select(*keys, instant(F.col("__w") * F.lit(step_us)).alias("start"), "nonwear", "n")
+    whole = step.groupBy(*keys, "__w").agg(F.sum("__n").alias("n"), *[c for a in axes for c in (F.collect_list(a).alias(a), (F.max(f"max_{a}") - F.min(f"min_{a}")).alias(f"range_{a}"))])  # a part per step
+    total = lambda a, f: F.aggregate(F.transform(a, lambda p: F.coalesce(f(p), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+
+    def deviation(a: str) -> Column:
+        """About the window's own mean, so that no digits are lost near 1 g."""
+        n = F.nullif(total(a, lambda p: p["n"].cast("double")), F.lit(0.0))
+        mean = total(a, lambda p: p["n"] * p["mean"]) / n
+        return F.sqrt(total(a, lambda p: p["square"] + p["n"] * (p["mean"] - mean) * (p["mean"] - mean)) / n)
+
+    still = sum(F.coalesce((deviation(a) < std).cast("int"), F.lit(0)) for a in axes)
+    flat = sum(F.coalesce((F.col(f"range_{a}") < spread).cast("int"), F.lit(0)) for a in axes)
+    return whole.select(*keys, instant(F.col("__w") * F.lit(step_us)).alias("start"), ((still >= least_axes) | (flat >= least_axes)).alias("nonwear"), "n")
 
 
 def template_correlation(df: DataFrame, keys: list[str], order: list[str], value: str, template: list[float], size: int = 100_000) -> DataFrame:

@@ -122,9 +122,9 @@ def mask(samples: DataFrame, intervals: DataFrame, keys: list[str], address: lis
 def bouts(df: DataFrame, keys: list[str], order: list[str], index: str, max_break: int, min_steps: int) -> DataFrame:
     """Step rows with bout: islands whose index steps are at most max_break, numbered from 1; 0 for bouts of fewer than
     min_steps."""
-    w = window(keys, order)
-    new = F.coalesce((F.col(index) - F.lag(index).over(w) > max_break).cast("long"), F.lit(0).cast("long"))
-    seen = df.withColumn("__id", new).withColumn("__id", F.sum("__id").over(w))
-    seen = seen.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "__id")))
-    good = seen.withColumn("__good", F.when(F.col("__n") >= min_steps, F.col("__id")))
-    return good.withColumn("bout", F.when(F.col("__good").isNull(), F.lit(0)).otherwise(F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("__good").asc_nulls_last()))).cast("long")).drop("__id", "__n", "__good")
+    seen = previous(df, keys, order, F.col(index), "__before")
+    new = F.coalesce((F.col(index) - F.col("__before") > max_break).cast("long"), F.lit(0).cast("long"))
+    seen = running(seen, keys, order, {"__id": new}).drop("__before")
+    long = seen.groupBy(*keys, "__id").count().where(F.col("count") >= min_steps)
+    numbers = long.withColumn("bout", F.row_number().over(Window.partitionBy(*keys).orderBy("__id")).cast("long")).drop("count")  # a row a bout
+    return seen.join(numbers, [*keys, "__id"], "left").withColumn("bout", F.coalesce("bout", F.lit(0).cast("long"))).drop("__id")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, intervals
+from ..functions.columns import MINUTE, enmo
+from ..operators import bouts, chunks, circadian, intervals
 from ..registry import query
-from .base import ORDER, USER, events
+from .base import AXES_SQL, ORDER, USER, axes, events
 from .series import r6
 
 
@@ -17,9 +18,18 @@ def _level(v):
 _LEVEL = "case when value < 10 then 'inactive' when value < 40 then 'light' when value < 100 then 'moderate' else 'vigorous' end"
 
 
-@query(f"select user_id, cast(ts as date) as day, {_LEVEL} as level, count(*) as minutes from events group by 1, 2, 3")
+#: Cut-points in mg between inactive, light, moderate and vigorous minutes, at the wrist.
+CUTS = (40, 100, 400)
+
+
+@query(f"""select user_id, cast(minute as date) as day, case when mg < {CUTS[0]} then 'inactive' when mg < {CUTS[1]} then 'light' when mg < {CUTS[2]} then 'moderate' else 'vigorous' end as level, count(*) as minutes
+ from (select user_id, date_trunc('minute', ts) as minute, 1000 * avg(greatest(sqrt(x * x + y * y + z * z) - 1, 0)) as mg from ({AXES_SQL}) group by 1, 2) group by 1, 2, 3""")
 def intensity_minutes(spark, sf):
-    return events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day"), _level(F.col("value")).alias("level")).agg(F.count("*").alias("minutes"))
+    """Minutes a day by their mean acceleration above 1 g."""
+    minutes = circadian.epochs(axes(spark, sf), USER, "ts", enmo("x", "y", "z") * 1000, MINUTE)
+    mg = F.col("x")
+    level = F.when(mg < CUTS[0], "inactive").when(mg < CUTS[1], "light").when(mg < CUTS[2], "moderate").otherwise("vigorous")
+    return minutes.groupBy("user_id", F.to_date("start").alias("day"), level.alias("level")).agg(F.count("*").alias("minutes"))
 
 
 @query("select user_id, cast(least(floor(value / 50), 8) as bigint) as level, count(*) as n from events group by 1, 2")
@@ -32,10 +42,16 @@ def level_quantiles(spark, sf):
     return events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(r6(F.percentile("value", 1380 / 1440)).alias("m60"), r6(F.percentile("value", 1410 / 1440)).alias("m30"))
 
 
-@query("select user_id, count(*) as days from (select user_id, cast(ts as date) as day from events group by 1, 2 having count(distinct hour(ts)) >= 2) group by 1")
+@query("""
+with hours as (select distinct user_id, cast(ts as date) as day, cast(ts - interval 12 hour as date) as night, hour(ts) as hour from events),
+days as (select user_id, day as at, count(*) >= 2 as whole, count(*) filter (hour >= 6 and hour < 22) / 16.0 >= 0.1 as awake from hours group by 1, 2),
+nights as (select user_id, night as at, count(*) filter (hour >= 22 or hour < 6) >= 1 as asleep from hours group by 1, 2)
+select coalesce(d.user_id, n.user_id) as user_id, count(*) filter (whole) as days, count(*) filter (asleep) as nights, count(*) filter (awake) as waking, count(*) filter (whole and awake and asleep) as valid
+from days d full join nights n on n.user_id = d.user_id and n.at = d.at group by 1""")
 def valid_days(spark, sf):
-    hours = events(spark, sf).select("user_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).distinct()
-    return hours.groupBy("user_id", "day").agg(F.count("*").alias("n")).where("n >= 2").groupBy("user_id").agg(F.count("*").alias("days"))
+    """Days with enough hours, with enough of the waking hours, and nights (from noon on) with enough of the hours of sleep;
+    the limits are scaled to the events, which are hours apart."""
+    return bouts.valid_days(events(spark, sf), USER, "ts", day_hours=2, night_hours=1, waking_share=0.1)
 
 
 @query(f"select level, next, round(count(*) / sum(count(*)) over (partition by level), 6) as p from (select {_LEVEL} as level, lead({_LEVEL}) over (partition by user_id order by ts, event_id) as next from events) where next is not null group by 1, 2")

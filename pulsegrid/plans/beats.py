@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
-from ..operators import beats, intervals, peaks, pulse, signal, states, steps, still
+from ..operators import beats, chunks, peaks, pulse, signal, states, steps, still
 from ..registry import query
 from .base import AXES_SQL, ORDER, USER, axes, events, table
 from .series import r6
@@ -99,8 +99,8 @@ sides as (
   from jumps)
 select event_id, round(coalesce(v, b.v + (a.v - b.v) * (p - b.p) / nullif(a.p - b.p, 0), b.v), 6) as ibi from sides""")
 def ibi_correct(spark, sf):
-    jump = F.abs(F.col("value") - F.lag("value").over(intervals.window(USER, ORDER))) > 20
-    marked = events(spark, sf).withColumn("jump", F.coalesce(jump, F.lit(False)))
+    x = chunks.previous(events(spark, sf), USER, ORDER, F.col("value"), "before")
+    marked = x.withColumn("jump", F.coalesce(F.abs(F.col("value") - F.col("before")) > 20, F.lit(False)))
     return beats.corrected(marked, USER, ORDER, "value", F.col("jump")).select("event_id", r6("value").alias("ibi"))
 
 

@@ -116,9 +116,14 @@ def _cosine(spark, sf) -> DataFrame:
     return events(spark, sf).withColumn("w", w).groupBy("user_id").agg((2 * F.avg(F.col("value") * F.cos("w"))).alias("a"), (2 * F.avg(F.col("value") * F.sin("w"))).alias("b"))
 
 
-@query(f"select user_id, round(sqrt(a * a + b * b), 6) as amplitude, round(atan2(b, a), 6) as phase from ({_COS})")
+@query(f"""select e.event_id, round(sqrt(a * a + b * b), 6) as amplitude, round(atan2(b, a), 6) as phase, round(a * cos(w) + b * sin(w), 6) as fitted
+ from (select user_id, event_id, 2 * pi() * (epoch_us(ts) % 86400000000) / 86400000000.0 as w from events) e join ({_COS}) c on c.user_id = e.user_id""")
 def cosine_fit(spark, sf):
-    return _cosine(spark, sf).select("user_id", r6(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))).alias("amplitude"), r6(F.atan2("b", "a")).alias("phase"))
+    """Amplitude and phase of each user's day, and the fitted value of each event."""
+    w = F.lit(2 * C.PI) * (C.micros("ts") % DAY) / F.lit(float(DAY))
+    x = chunks.spread(events(spark, sf).select("user_id", "event_id", w.alias("w")), _cosine(spark, sf), USER, "event_id")
+    a, b = F.col("a"), F.col("b")
+    return x.select("event_id", r6(F.sqrt(a * a + b * b)).alias("amplitude"), r6(F.atan2("b", "a")).alias("phase"), r6(a * F.cos("w") + b * F.sin("w")).alias("fitted"))
 
 
 @query(f"select e.user_id, round(corr(value, a * cos(w) + b * sin(w)) * 2 * sqrt(any_value(a) * any_value(a) + any_value(b) * any_value(b)), 6) as rhythm from (select user_id, value, 2 * pi() * (epoch_us(ts) % 86400000000) / 86400000000.0 as w from events) e join ({_COS}) c on c.user_id = e.user_id group by 1")
@@ -136,14 +141,20 @@ def recording_duration(spark, sf):
 
 @query("select user_id, bool_and(ok) as monotonic from (select user_id, coalesce(ts >= lag(ts) over (partition by user_id order by event_id), true) as ok from events) group by 1")
 def monotonic_check(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return events(spark, sf).withColumn("ok", F.coalesce(F.col("ts") >= F.lag("ts").over(w), F.lit(True))).groupBy("user_id").agg(F.bool_and("ok").alias("monotonic"))
+    """In order of arrival: within ranges of arrival numbers, and from one range's last row to the next one's first."""
+    rows = events(spark, sf).withColumn("part", F.floor(F.col("event_id") / 1_000_000))
+    own = Window.partitionBy("user_id", "part").orderBy("event_id")
+    inside = rows.withColumn("ok", F.coalesce(F.col("ts") >= F.lag("ts").over(own), F.lit(True)))
+    parts = inside.groupBy("user_id", "part").agg(F.bool_and("ok").alias("ok"), F.min_by("ts", "event_id").alias("first"), F.max_by("ts", "event_id").alias("last"))
+    over = Window.partitionBy("user_id").orderBy("part")  # a row a part
+    joined = F.coalesce(F.col("first") >= F.lag("last").over(over), F.lit(True))
+    return parts.withColumn("ok", F.col("ok") & joined).groupBy("user_id").agg(F.bool_and("ok").alias("monotonic"))
 
 
 @query("select user_id, round((max(n) - 1) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) as hz from (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events) where n <= 5000 group by 1")
 def infer_rate(spark, sf):
-    x = events(spark, sf).withColumn("n", F.row_number().over(intervals.window(USER, ORDER))).where("n <= 5000")
-    return x.groupBy("user_id").agg(F.round((F.max("n") - 1) / (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)), 9).alias("hz"))
+    x = chunks.numbered(events(spark, sf).select("user_id", *ORDER), USER, ORDER).where("idx < 5000")
+    return x.groupBy("user_id").agg(F.round(F.max("idx") / (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)), 9).alias("hz"))
 
 
 @query("select user_id, date_trunc('hour', ts) as start, count(*) as n from events group by 1, 2")
