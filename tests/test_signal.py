@@ -54,3 +54,37 @@ def test_the_stream_of_beliefs_equals_the_batch(spark):
 
     rows = lambda n: {(r["label"], r["vec_id"]): r["belief"] for r in registry.queries()[n](spark, SF).collect()}
     assert rows("stream_belief") == rows("belief_filter")
+
+
+def _slow_filter(x, degree, low, high):
+    """Forward and backward by a sum over all frequencies, on the recording mirrored in its end points."""
+    n = min(len(x) - 1, int(np.ceil(5 / min(f for f in (low, high) if f))))
+    y = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]])
+    k = np.arange(len(y))
+    f = np.minimum(k, len(y) - k) / len(y)
+    below = lambda f, edge: 1 / (1 + (f / edge) ** (2 * degree))
+    if low and high:
+        ratio = (f * f - low * high) / ((high - low) * np.where(f > 0, f, 1e-300))
+        gain = 1 / (1 + ratio ** (2 * degree))
+    else:
+        gain = below(f, high)
+    turn = np.exp(2j * np.pi * np.outer(k, k) / len(y))
+    return (turn @ (gain * (turn.conj() @ y)) / len(y)).real[n : n + len(x)]
+
+
+def test_oriented_axes_and_clean_waves(spark):
+    from pulsegrid import registry
+    from pulsegrid.plans.base import axes
+
+    rows = axes(spark, SF).orderBy("user_id", "ts", "event_id").toPandas()
+    z = {r["event_id"]: r["z"] for r in registry.queries()["orient_axis"](spark, SF).collect()}
+    ppg = {r["event_id"]: r["ppg"] for r in registry.queries()["ppg_clean"](spark, SF).collect()}
+    turned = 0
+    for _, own in rows.groupby("user_id"):
+        x = own["z"].to_numpy() - 0.3
+        base = _slow_filter(x, 1, None, 0.1)
+        sure = np.abs(base + 0.25) > 1e-9
+        assert np.allclose(np.where(base < -0.25, -x, x)[sure], [z[e] for e in own["event_id"][sure]], atol=1e-6)
+        turned += (base < -0.25).sum()
+        assert np.allclose(-_slow_filter(own["value"].to_numpy(), 4, 0.05, 0.3), [ppg[e] for e in own["event_id"]], atol=2e-6)
+    assert 0 < turned < len(rows)
