@@ -354,9 +354,16 @@ def first_rows(spark, sf):
 
 @query("select user_id, event_id, value from (select *, row_number() over (partition by user_id order by value desc, event_id) as n, count(*) over (partition by user_id) as c from events) where n <= c // 4")
 def top_fraction(spark, sf):
-    w = Window.partitionBy("user_id")
-    x = events(spark, sf).withColumn("n", F.row_number().over(w.orderBy(F.desc("value"), "event_id"))).withColumn("c", F.count("*").over(w))
-    return x.where("n <= c div 4").select("user_id", "event_id", "value")
+    """Rows above the value of the last place all belong; of those with that value, the first ids."""
+    from ..operators import chunks, quantiles
+
+    e = events(spark, sf).select("user_id", "event_id", "value").where("value is not null")
+    last = quantiles.at_ranks(e, USER, "value", [lambda n: F.when(n >= 4, n - F.floor(n / 4))]).select("user_id", F.floor(F.col("n") / 4).alias("k"), F.col("v0").alias("least")).where("k > 0")
+    x = chunks.spread(e, last, USER, "event_id").where("value >= least")
+    room = x.groupBy("user_id").agg((F.first("k") - F.count(F.when(F.col("value") > F.col("least"), 1))).alias("room"))
+    level = x.where("value = least").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    level = level.join(room, "user_id").where("n <= room")
+    return x.where("value > least").select("user_id", "event_id", "value").union(level.select("user_id", "event_id", "value"))
 
 
 @query("select user_id, arg_max(event_id, (value, -event_id)) as high, arg_min(event_id, (value, event_id)) as low from events group by 1")
