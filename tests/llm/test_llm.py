@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -254,8 +255,31 @@ def test_warc_reader_passes_damage():
 
     good = [warc.record(i, "u", b"p" * 50, "00" * 20, 50) for i in range(3)]
     data = b"junk\x1f\x8b\x08junk" + good[0] + good[1][:-30] + b"\x1f\x8b" + good[2]
-    got = [f["x-page-id"] for f in warc.records(io.BytesIO(data), len(data), 0, len(data))]
-    assert got == ["0", "2"]
+    got = [f.get("x-page-id", "damaged") for f in warc.records(io.BytesIO(data), len(data), 0, len(data))]
+    assert got == ["0", "damaged", "2"]
+
+
+def test_a_cut_archive_is_reported(spark, tmp_path):
+    good = [warc.record(i, "u", b"p" * 50, hashlib.sha1(b"p" * 50).hexdigest(), 50) for i in range(3)]
+    files = {"whole": b"".join(good), "cut": b"".join(good)[:-10], "short": b"".join(good[:2])}
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    whole = len(files["whole"])
+    table = lambda *names: spark.createDataFrame([(f"file://{tmp_path}/{n}.warc.gz", len(files[n])) for n in names], "file string, size long")
+    got = sorted((r["record_type"], r["page_id"]) for r in warc.read_warc(table("cut")).collect() if r["page_id"] is not None)
+    assert got == [("response", 0), ("response", 1)]
+    assert [r["record_type"] for r in warc.read_warc(table("cut")).where("page_id is null").collect()] == ["damaged"]
+    assert warc.read_warc(table("whole"), strict=True).count() == 3
+    for name, size in (("cut", len(files["cut"])), ("short", whole)):
+        with pytest.raises(Exception, match="damaged|bytes, not"):
+            warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/{name}.warc.gz", size)], "file string, size long"), strict=True).collect()
+
+
+def test_foreign_headers():
+    head = b"WARC/1.0\r\nContent-Length: many\r\nX-Page-Id: a7\r\n\r\nabc"
+    assert warc.parse(head) is None and warc.parse(head.replace(b"many", b"99")) is None
+    assert warc.parse(head.replace(b"many", b"3"))["payload"] == b"abc"
+    assert warc._frame([("a7", None, "response", 3, "x", "-4", b"abc")])["page_id"].isna().all() and warc._frame([("-7", None, "r", 3, "x", "8", b"")])["page_id"][0] == -7
 
 
 def test_language(spark):
