@@ -24,11 +24,6 @@ def instant(us: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", col(us), F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
-def known(c: Column | str) -> Column:
-    """NaN as null: null is the only missing value."""
-    return F.when(~F.isnan(col(c)), col(c))
-
-
 def vector_magnitude(x, y, z) -> Column:
     """Length of an acceleration."""
     return F.sqrt(col(x) * col(x) + col(y) * col(y) + col(z) * col(z))
@@ -71,10 +66,6 @@ def soft_label(bpm, low: float = 30, high: float = 210, bins: int = 64, sigma: f
     return F.transform(both, lambda s: F.transform(s["b"], lambda x: F.try_divide(x, s["t"])))[0]
 
 
-def laplace_cdf(x: Column, mu: float, b: float) -> Column:
-    return F.when(x < mu, 0.5 * F.exp((x - mu) / b)).otherwise(1 - 0.5 * F.exp(-(x - mu) / b))
-
-
 def expected_bpm(belief, low: float = 30, high: float = 210) -> Column:
     """Mean heart rate of a belief over bins."""
     belief, n = col(belief), F.size(col(belief))
@@ -87,10 +78,4 @@ def entropy(belief) -> Column:
     return F.aggregate(F.transform(col(belief), lambda p: F.when(p > 0, -p * F.log(p)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
 
 
-def timestamp_in_name(name, pattern: str = r"(\d{4})(\d{2})(\d{2})") -> Column:
-    """The date in a file name; the latest possible one if there is none, so that it sorts last."""
-    found = F.concat_ws("-", *[F.regexp_extract(col(name), pattern, k) for k in (1, 2, 3)])
-    return F.coalesce(F.try_to_timestamp(found, F.lit("yyyy-MM-dd")).cast("date"), F.lit("9999-12-31").cast("date"))
-
-
 PI = math.pi

@@ -130,7 +130,8 @@ def _rows(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataF
 
 
 def _first_pass(
-    df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, template: list[float], spread: list[float], likeness: float, push_s: float, swing_s: float, heel_s: float, strike: float, down_s: float, size: int
+    df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, template: list[float], spread: list[float],
+    likeness: float, push_s: float, swing_s: float, heel_s: float, strike: float, down_s: float, size: int,
 ) -> DataFrame:
     detector, swing, heel = _detector(df, keys, fs, push_s, swing_s, heel_s, down_s, size)
     like = template_correlation(df.select(*keys, *order, value), keys, order, value, template, size).fillna(0.0, ["r"])
@@ -142,8 +143,10 @@ def _first_pass(
 
 
 def steps(
-    df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, template: list[float], spread: list[float], likeness: float = 0.85, push_s: float = 0.4, swing_s: float = 0.2, heel_s: float = 0.5, strike: float = -5.0, down_s: float = 0.05, size: int = 100_000
-) -> DataFrame:
+    df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, template: list[float], spread: list[float],
+    likeness: float = 0.85, push_s: float = 0.4, swing_s: float = 0.2, heel_s: float = 0.5, strike: float = -5.0,
+    down_s: float = 0.05, size: int = 100_000,
+) -> DataFrame:
     """keys, idx (row number from 0 of the push-off), state, mid_swing, heel_strike, end (rows; null where not reached),
     value at the heel strike, for every push-off: rows whose next ones correlate with `template` by `likeness` at least,
     the likeliest within a fifth of a second.
@@ -174,8 +177,10 @@ def learnt(found: DataFrame, keys: list[str], fs: float, push: int, least: int =
 
 
 def adaptive_steps(
-    df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, template: list[float], spread: list[float], likeness: float = 0.85, push_s: float = 0.4, swing_s: float = 0.2, heel_s: float = 0.5, strike: float = -5.0, down_s: float = 0.05, size: int = 100_000, least: int = 20
-) -> DataFrame:
+    df: DataFrame, keys: list[str], order: list[str], value: str, fs: float, template: list[float], spread: list[float],
+    likeness: float = 0.85, push_s: float = 0.4, swing_s: float = 0.2, heel_s: float = 0.5, strike: float = -5.0,
+    down_s: float = 0.05, size: int = 100_000, least: int = 20,
+) -> DataFrame:
     """As `steps`, in two passes: recordings in which the first finds `least` steps or more are gone through again with
     what is learnt from these; others keep the first pass. `n_pass` tells which pass a row is of.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import MINUTE, enmo
-from ..operators import bouts, chunks, circadian, intervals
+from ..operators import bouts, chunks, circadian
 from ..registry import query
 from .base import AXES_SQL, ORDER, USER, axes, events
 from .series import r6
