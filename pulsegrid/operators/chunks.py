@@ -91,6 +91,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "idx"
     return out.withColumn(name, F.col(name) - 1)
 
 
+def numbered_by(df: DataFrame, keys: list[str], index: str, name: str = "idx", size: int = 1 << 20) -> DataFrame:
+    """df with each row's number by a whole-number column without ties, from 0: within ranges of `size` of it, and one row
+    a range for what lies before."""
+    x = df.withColumn("__range", F.floor(F.col(index) / F.lit(size)))
+    over = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy(*keys, "__range").count().select(*keys, "__range", F.coalesce(F.sum("count").over(over), F.lit(0)).alias("__before"))
+    inside = x.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(index)) - 1)
+    return inside.join(before, [*keys, "__range"]).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__range", "__before")
+
+
 def haloed(df: DataFrame, keys: list[str], index: str, size: int, before: int, after: int, chunk: str = "chunk", mine: str = "own") -> DataFrame:
     """Numbered rows dealt to chunks of `size`, each with the `before` rows ahead of it and the `after` rows behind it:
     df with chunk, and own for the rows that the chunk itself holds.

@@ -86,7 +86,11 @@ def beats_adaptive(spark, sf):
 
 @query()
 def ibi_artifacts(spark, sf):
-    return beats.interval_artifacts(events(spark, sf).select("user_id", "ts", "event_id", "value"), USER, ORDER, "value").select("event_id", "value", "artifact")
+    """Each quiet period by itself: a gap of two days begins another."""
+    x = chunks.previous(events(spark, sf).select("user_id", "ts", "event_id", "value"), USER, ORDER, F.col("ts"), "before")
+    gap = F.coalesce(F.timestamp_diff("HOUR", F.col("before"), F.col("ts")) >= 48, F.lit(False))
+    x = chunks.running(x, USER, ORDER, {"period": gap.cast("long")})
+    return beats.interval_artifacts(x, [*USER, "period"], ORDER, "value").select("event_id", "value", "artifact")
 
 
 @query("""

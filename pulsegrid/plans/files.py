@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import HOUR, micros
 from ..registry import query
-from ..sources import files
+from ..sources import files, records
 from ..sources.shared import new_folder
-from .base import events, table
+from .base import AXES_SQL, axes, events, table
 from .series import r6
 
 
-@query("select event_id, user_id, value, event_type, cast(ts as date) as day from events where event_type = 'click'")
+@query(f"""select user_id, cast(ts as date) as day, ts, list_extract(['acc', 'ppg', 'temp', 'eda', 'sys_peaks'], (event_id % 5 + 1)::int) as stream,
+ case event_id % 5 when 0 then x end as x, case event_id % 5 when 0 then y end as y, case event_id % 5 when 0 then z end as z,
+ case event_id % 5 when 1 then value end as ppg, case event_id % 5 when 2 then value end as temp, case event_id % 5 when 3 then value end as eda from ({AXES_SQL})""")
 def scan_parquet_streams(spark, sf):
-    path = new_folder(spark)
-    events(spark, sf).withColumn("day", F.to_date("ts")).repartition("event_type", "day").write.partitionBy("event_type", "day").parquet(path)
-    read = spark.read.schema("event_id bigint, user_id bigint, value double, event_type string, day date").parquet(path)
-    return read.where("event_type = 'click'").select("event_id", "user_id", "value", "event_type", "day")
+    """Five streams of several columns, landed by day and read as one table."""
+    root, e = new_folder(spark), axes(spark, sf).withColumns({c: F.col("value") for c in ("ppg", "temp", "eda")})
+    for k, (name, schema) in enumerate(files.STREAMS.items()):
+        columns = [c.split()[0] for c in schema.split(", ")]
+        records.write_by_day(e.where(F.col("event_id") % 5 == k).select("user_id", *columns), f"{root}/{name}")
+    return files.scan_streams(spark, root, keys="user_id bigint")
 
 
 def _wave_sql(stream: str, step: int, least: int) -> str:

@@ -118,8 +118,10 @@ def hr_time_index(spark, sf):
 
 @query("select label as session, vec_id, cast(n - 7 as bigint) as step from (select label, vec_id, row_number() over (partition by label order by vec_id) as n from embeddings) where n > 6")
 def label_offset(spark, sf):
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long")
-    return table(spark, sf, "embeddings").select(F.col("label").alias("session"), "vec_id", n.alias("n")).where("n > 6").select("session", "vec_id", (F.col("n") - 7).alias("step"))
+    from ..operators import chunks
+
+    v = table(spark, sf, "embeddings").select(F.col("label").alias("session"), "vec_id")
+    return chunks.numbered_by(v, ["session"], "vec_id", "n").where("n >= 6").select("session", "vec_id", (F.col("n") - 6).alias("step"))
 
 
 @query(f"select user_id, gap_start, ts as gap_end, epoch_us(ts) - epoch_us(gap_start) as gap_us from (select user_id, ts, lag(ts) {W} as gap_start from events) where epoch_us(ts) - epoch_us(gap_start) > {6 * HOUR}")

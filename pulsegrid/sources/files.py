@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,15 @@ RECORD = (
 #: A record's waves of one value.
 WAVES = ("bvp", "eda", "temperature", "steps")
 
+#: Streams of a participant, a folder each with a folder per day.
+STREAMS = {
+    "acc": "ts timestamp_ntz, x double, y double, z double",
+    "ppg": "ts timestamp_ntz, ppg double",
+    "temp": "ts timestamp_ntz, temp double",
+    "eda": "ts timestamp_ntz, eda double",
+    "sys_peaks": "ts timestamp_ntz",
+}
+
 #: Microseconds from 1970-01-01 to 2000-01-01, where the band's counter starts.
 BAND_EPOCH_US = 946_684_800 * SECOND
 
@@ -34,6 +44,14 @@ def csv(spark: SparkSession, path: str, schema: str, header: bool = True, sep: s
     return spark.read.schema(schema).option("sep", sep).option("header", header).option("enforceSchema", True).csv(path)
 
 
+def scan_streams(spark: SparkSession, root: str, names: list[str] | None = None, keys: str = "") -> DataFrame:
+    """stream, day, the keys (a schema), ts and the values of the named streams below a root, in one table: what a stream
+    doesn't have is null. Filters on stream, day and columns reach the folders and files."""
+    own = f"{keys}, " if keys else ""
+    read = [spark.read.schema(f"{own}{STREAMS[n]}, day date").parquet(f"{root}/{n}").withColumn("stream", F.lit(n)) for n in names or STREAMS]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+
+
 def band_time(ns: Column | str) -> Column:
     """The band's local time: whole ns since 2000-01-01, and an hour."""
     return instant(F.call_function("div", col(ns) - F.pmod(col(ns), F.lit(1000)), F.lit(1000)) + F.lit(BAND_EPOCH_US + HOUR))
