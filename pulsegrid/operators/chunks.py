@@ -6,8 +6,12 @@ Here windows go over (participant, chunk of time); what passes from chunk to chu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -148,3 +152,63 @@ def spread(df: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFra
     parts = small.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     dealt = df.withColumn("__deal", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
     return dealt.join(parts, [*keys, "__deal"], "left").drop("__deal")
+
+
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+
+
+def _starts(rows: pa.Table, by: list[str]) -> np.ndarray:
+    """The numbers of rows that differ from the row before in one of the columns; the first one counts."""
+    new = np.arange(len(rows)) == 0
+    for column in (rows.column(k) for k in by):
+        a, b = column.slice(1), column.slice(0, len(rows) - 1)
+        new[1:] |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy()
+    return np.flatnonzero(new)
+
+
+def _column(parts: list, kind: pa.DataType) -> pa.Array:
+    if all(isinstance(p, np.ndarray) and p.dtype != object for p in parts):
+        return pa.array(np.concatenate(parts), type=kind, from_pandas=True)
+    return pa.array(list(chain.from_iterable(parts)), type=kind, from_pandas=True)
+
+
+def each_group(df: DataFrame, by: list[str], order: list[str], make: Callable[[dict[str, np.ndarray]], tuple | None], keep: list[str], new: dict[str, str]) -> DataFrame:
+    """by, `keep` and the columns `new` (name: type), of what `make` gives for each group of rows equal in `by`.
+
+    make gets the group's columns as arrays in the order (nulls of numbers as NaN). It gives rows of the group, whose `by`
+    and `keep` go on, and the new columns for them (NaN is null); or None for nothing. A row may be given any number of
+    times. Groups lie side by side in sorted batches, so recordings of some rows each cost little more than their rows;
+    a task holds a batch or a group at once.
+    """
+    names = [*by, *keep, *new]
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts = _starts(rows, by).tolist()
+        columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
+        places, values = [], {c: [] for c in new}
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            given = make({c: v[a:b] for c, v in columns.items()})
+            if given is not None and len(given[0]):
+                places.append(np.asarray(given[0]) + a)
+                for c in new:
+                    values[c].append(given[1][c])
+        if places:
+            old = rows.select([*by, *keep]).take(pa.array(np.concatenate(places))).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*old.columns, *[_column(values[c], _ARROW[kind]) for c, kind in new.items()]], names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # of a group that may go on
+        for batch in (b for b in batches if b.num_rows):
+            seen = pa.Table.from_batches([*[h.slice(h.num_rows - 1) for h in held[-1:]], batch])
+            cut = int(_starts(seen, by)[-1])
+            whole = cut > 0
+            cut -= len(seen) - batch.num_rows
+            if whole:
+                yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+                held = []
+            held.append(batch.slice(max(cut, 0)))
+        if held:
+            yield from found(pa.Table.from_batches(held).combine_chunks())
+
+    schema = df.select(*by, *keep, *[F.lit(None).cast(kind).alias(c) for c, kind in new.items()]).schema
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import grouped_from, haloed, numbered
+from .chunks import each_group, grouped_from, haloed, numbered
 
 
 def peaks(
@@ -44,21 +43,16 @@ def thinned(found: DataFrame, keys: list[str], value: str, distance: int, size:
     halo = 2 * distance
     dealt = haloed(found.select(*keys, "idx", F.col(value).cast("double").alias("__v")), keys, "idx", max(size, 2 * halo), halo, halo)
 
-    def tops_of_all(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        at = part["idx"].to_numpy()
-        top = highest_near(part["__v"].to_numpy(), at, distance)
+    def tops_of_all(g: dict) -> tuple:
+        at = g["idx"]
+        top = highest_near(g["__v"], at, distance)
         near = np.searchsorted(at[top], at + distance, "left") > np.searchsorted(at[top], at - distance, "right")
-        return part.assign(__top=top).loc[part["own"].to_numpy() & (top | ~near), [*keys, "chunk", "idx", "__v", "__top"]]
+        stay = np.flatnonzero(g["own"] & (top | ~near))
+        return stay, {"__top": top[stay]}
 
-    marked = dealt.groupBy(*keys, "chunk").applyInPandas(tops_of_all, dealt.select(*keys, "chunk", "idx", "__v", F.lit(True).alias("__top")).schema)
-
-    def thin(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        return part.iloc[_kept(part["__v"].to_numpy(), part["idx"].to_numpy(), distance)][[*keys, "idx"]]
-
-    stretches = grouped_from(marked, keys, "chunk", "idx", "__top", "__stretch")
-    return stretches.groupBy(*keys, "__stretch").applyInPandas(thin, stretches.select(*keys, "idx").schema)
+    marked = each_group(dealt, [*keys, "chunk"], ["idx"], tops_of_all, ["idx", "__v"], {"__top": "boolean"})
+    stretches = grouped_from(marked, keys, "chunk", "idx", "__top", "__stretch").select(*keys, "__stretch", "idx", "__v")
+    return each_group(stretches, [*keys, "__stretch"], ["idx"], lambda g: (_kept(g["__v"], g["idx"], distance), {}), ["idx"], {}).select(*keys, "idx")
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -118,20 +112,20 @@ def _prominences(rows: DataFrame, found: DataFrame, keys: list[str], value: str)
     """
     samples = rows.select(*keys, "chunk", "idx", F.col(value).cast("double").alias("__v")).where("__v is not null")
     tops = found.select(*keys, "idx", F.lit(True).alias("__top"))
-    marked = samples.join(tops, [*keys, "idx"], "left")
+    marked = samples.join(tops, [*keys, "idx"], "left").withColumn("__top", F.coalesce("__top", F.lit(False)))
 
-    def inside(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        x, at = part["__v"].to_numpy(), np.flatnonzero(part["__top"].notna().to_numpy())
-        out = part.iloc[at][[*keys, "chunk", "idx", "__v"]]
+    def inside(g: dict) -> tuple | None:
+        x, at, out = g["__v"], np.flatnonzero(g["__top"]), {}
+        if not len(at):
+            return None
         for side, step in (("left", 1), ("right", -1)):
             turns, lows, free = _falls(x[::step])
             where = np.searchsorted(turns, at if step == 1 else len(x) - 1 - at)
-            out[f"__{side}"], out[f"__{side}_free"] = lows[where] if len(at) else np.empty(0), free[where] if len(at) else np.empty(0, bool)
-        return out
+            out |= {f"__{side}": lows[where], f"__{side}_free": free[where]}
+        return at, out
 
-    shape = [F.lit(0.0).alias("__left"), F.lit(True).alias("__left_free"), F.lit(0.0).alias("__right"), F.lit(True).alias("__right_free")]
-    local = marked.groupBy(*keys, "chunk").applyInPandas(inside, samples.select(*keys, "chunk", "idx", "__v", *shape).schema)
+    shape = {"__left": "double", "__left_free": "boolean", "__right": "double", "__right_free": "boolean"}
+    local = each_group(marked, [*keys, "chunk"], ["idx"], inside, ["idx", "__v"], shape)
     ends = samples.groupBy(*keys, "chunk").agg(F.max("__v").alias("hi"), F.min("__v").alias("lo"))
     chunks = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "hi", "lo"))).alias("__chunks"))
     asking = local.where("__left_free or __right_free").select(*keys, "chunk", "idx", "__v", F.explode(F.array(*[F.when(F.col(f"__{s}_free"), F.lit(s)) for s in ("left", "right")])).alias("__side")).where("__side is not null")
@@ -144,17 +138,20 @@ def _prominences(rows: DataFrame, found: DataFrame, keys: list[str], value: str)
     asking = asking.withColumn("__low", F.array_min(F.transform(between, lambda c: c["lo"]))).drop("__chunks", "chunk")
     asked = asking.where("__to is not null").withColumnRenamed("__to", "chunk")
 
-    def outside(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        x, lows = part.sort_values("idx")["__v"].to_numpy(), []
-        up_to = {"right": (np.maximum.accumulate(x), np.minimum.accumulate(x)), "left": (np.maximum.accumulate(x[::-1]), np.minimum.accumulate(x[::-1]))}
-        for side, v in zip(asked["__side"], asked["__v"], strict=True):
+    def outside(g: dict) -> tuple:
+        ask, x, lows = np.flatnonzero(g["__asks"]), g["__v"][g["__asks"] == 0], []
+        up_to = {1: (np.maximum.accumulate(x), np.minimum.accumulate(x)), -1: (np.maximum.accumulate(x[::-1]), np.minimum.accumulate(x[::-1]))}
+        for side, v in zip(g["__asks"][ask].tolist(), g["__v"][ask].tolist(), strict=True):
             highest, lowest = up_to[side]
             k = int(np.searchsorted(highest, v, "right"))  # the first higher value
             lows.append(lowest[k - 1] if k else np.nan)
-        return asked[[*keys, "idx", "__side"]].assign(__low=pd.Series(lows, index=asked.index, dtype=float))
+        return ask, {"__low": np.array(lows, float)}
 
-    answers = asked.groupBy(*keys, "chunk").cogroup(samples.groupBy(*keys, "chunk")).applyInPandas(outside, asked.select(*keys, "idx", "__side", "__low").schema)
-    lows = asking.select(*keys, "idx", "__side", "__low").union(answers.where("not isnan(__low)")).groupBy(*keys, "idx").agg(*[F.min(F.when(F.col("__side") == s, F.col("__low"))).alias(f"__{s}_low") for s in ("left", "right")])
+    # of samples, those of chunks that are asked
+    near = samples.join(asked.select(*keys, "chunk").distinct(), [*keys, "chunk"], "left_semi").withColumns({"__side": F.lit(""), "__asks": F.lit(0)})
+    both = near.unionByName(asked.select(*keys, "chunk", "idx", "__v", "__side", F.when(F.col("__side") == "right", 1).otherwise(-1).alias("__asks")))
+    answers = each_group(both, [*keys, "chunk"], ["idx"], outside, ["idx", "__side"], {"__low": "double"}).select(*keys, "idx", "__side", "__low")
+    lows = asking.select(*keys, "idx", "__side", "__low").union(answers.where("__low is not null")).groupBy(*keys, "idx").agg(*[F.min(F.when(F.col("__side") == s, F.col("__low"))).alias(f"__{s}_low") for s in ("left", "right")])
     whole = local.join(lows, [*keys, "idx"], "left")
     base = F.greatest(F.least("__left", "__left_low"), F.least("__right", "__right_low"))
     return whole.select(*keys, "idx", (F.col("__v") - base).alias("prominence"))

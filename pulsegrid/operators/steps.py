@@ -6,13 +6,11 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..sources.shared import written
-from .chunks import grouped_from, haloed, numbered
+from .chunks import each_group, grouped_from, haloed, numbered
 from .circadian import template_correlation
 from .peaks import peaks, prominence, spaced, thinned, tops, width
 from .wear import template as template_of
@@ -74,50 +72,41 @@ class _Detector:
 
     def dealt(self, rows: DataFrame, found: DataFrame) -> DataFrame:
         """rows (keys, idx, __v) with the push-offs marked, in chunks that reach as far as a step on both sides."""
-        marked = rows.join(found.select(*self.keys, "idx", F.lit(True).alias("__push")), [*self.keys, "idx"], "left")
+        marked = rows.join(found.select(*self.keys, "idx", F.lit(True).alias("__push")), [*self.keys, "idx"], "left").withColumn("__push", F.coalesce("__push", F.lit(False)))
         return haloed(marked, self.keys, "idx", max(self.size, 2 * self.reach), self.reach, self.reach)
 
-    def shape(self, rows: DataFrame) -> StructType:
-        null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-        more = [null("string", "state"), null("long", "mid_swing"), null("long", "heel_strike"), null("double", "value"), null("double", "fall"), null("array<double>", "snippet"), null("boolean", "opens")]
-        return rows.select(*self.keys, F.lit(0).cast("long").alias("chunk"), "idx", *more).schema
-
-    def follow(self, part: pd.DataFrame, p: Parameters) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        x, idx, own, out, busy = part["__v"].to_numpy(), part["idx"].to_numpy(), part["own"].to_numpy(), [], -1
-        for at in np.flatnonzero(part["__push"].notna().to_numpy()).tolist():
+    def follow(self, g: dict, p: Parameters) -> tuple:
+        x, idx, own, out, busy = g["__v"], g["idx"], g["own"], [], -1
+        for at in np.flatnonzero(g["__push"]).tolist():
             state, mid, hit, fall = _features(x, at, self.fs, p, self.push)
             hit = None if hit is None else min(hit, len(x) - 1)
             if own[at]:
                 row = [None if k is None else int(idx[k]) for k in (mid, hit)]
-                out.append((int(idx[at]), state, *row, None if hit is None else float(x[hit]), fall, x[at : at + self.push], at >= busy))
+                out.append((at, state, *row, None if hit is None else float(x[hit]), fall, x[at : at + self.push], at >= busy))
             busy = busy if hit is None else max(busy, hit + self.down)
-        out = pd.DataFrame(out, columns=["idx", "state", "mid_swing", "heel_strike", "value", "fall", "snippet", "opens"])
-        out = out.astype({"mid_swing": "Int64", "heel_strike": "Int64", "snippet": object})
-        ids = {k: part[k].iloc[0] for k in [*self.keys, "chunk"]}
-        return out.assign(**ids)[[*self.keys, "chunk", "idx", "state", "mid_swing", "heel_strike", "value", "fall", "snippet", "opens"]]
+        places, *columns = zip(*out, strict=True) if out else [[]] * 8
+        return places, dict(zip(self.found, columns, strict=True))
+
+    found = {"state": "string", "mid_swing": "long", "heel_strike": "long", "value": "double", "fall": "double", "snippet": "array<double>", "opens": "boolean"}
 
     def in_order(self, candidates: DataFrame) -> DataFrame:
         """The candidates without those that begin within a step. One that begins behind all that a step before could
         take parts a recording into stretches, which are gone through each by itself."""
 
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("idx").reset_index(drop=True)
-            states, ends, free = [], [], -1
-            for at, state, hit in zip(part["idx"], part["state"], part["heel_strike"], strict=True):
-                inside = at < free
-                states.append(FAILURES[4] if inside else state)
-                ends.append(int(hit) + self.down if states[-1] == SUCCESS else None)
+        def run(g: dict) -> tuple:
+            gone, ends, free = [], [], -1
+            for at, done, hit in zip(g["idx"].tolist(), (g["state"] == SUCCESS).tolist(), g["heel_strike"].tolist(), strict=True):
+                gone.append(at < free)
+                ends.append(int(hit) + self.down if done and not gone[-1] else None)
                 free = free if ends[-1] is None else ends[-1]
-            gone = np.array(states) == FAILURES[4]
-            part = part.assign(state=pd.Series(states, dtype=object), end=pd.array(ends, "Int64"))
-            part.loc[gone, ["mid_swing", "heel_strike", "value", "fall"]] = None
-            return part[names]
+            return range(len(gone)), {"__gone": gone, "end": ends}
 
         names = [*self.keys, "idx", "state", "mid_swing", "heel_strike", "end", "value", "fall", "snippet"]
         stretches = grouped_from(candidates, self.keys, "chunk", "idx", "opens", "__stretch")
-        schema = stretches.withColumn("end", F.col("idx")).select(*names).schema
-        return stretches.groupBy(*self.keys, "__stretch").applyInPandas(run, schema)
+        rest = ["idx", "state", "mid_swing", "heel_strike", "value", "fall", "snippet"]
+        done = each_group(stretches, [*self.keys, "__stretch"], ["idx"], run, rest, {"__gone": "boolean", "end": "long"})
+        left = {c: F.when(~F.col("__gone"), F.col(c)) for c in ("mid_swing", "heel_strike", "value", "fall")}
+        return done.withColumns({"state": F.when(F.col("__gone"), F.lit(FAILURES[4])).otherwise(F.col("state"))} | left).select(*names)
 
 
 def _detector(df: DataFrame, keys: list[str], fs: float, push_s: float, swing_s: float, heel_s: float, down_s: float, size: int) -> tuple[_Detector, int, int]:
@@ -138,7 +127,7 @@ def _first_pass(
     found = peaks(like, keys, order, "r", likeness, max(1, int(np.ceil(0.2 * fs))), size)
     p = Parameters(np.array(template), np.array(spread), swing, heel, strike)
     dealt = detector.dealt(_rows(df, keys, order, value), found)
-    candidates = dealt.groupBy(*keys, "chunk").applyInPandas(lambda part: detector.follow(part, p), detector.shape(dealt))
+    candidates = each_group(dealt, [*keys, "chunk"], ["idx"], lambda g: detector.follow(g, p), ["idx"], detector.found)
     return detector.in_order(candidates)
 
 
@@ -196,33 +185,39 @@ def adaptive_steps(
     rows = written(_rows(df, keys, order, value))
     columns = ["template", "spread", "swing_s", "heel_s", "strike"]
 
-    def of(row: pd.DataFrame) -> Parameters:
-        r = row.iloc[0]
-        slope = strike if pd.isna(r["strike"]) else float(r["strike"])
-        return Parameters(np.asarray(r["template"]), np.asarray(r["spread"]), max(1, min(most_swing, int(r["swing_s"] * fs))), max(1, min(most_heel, int(r["heel_s"] * fs))), slope)
+    # as rows of two numbers each, as a column of arrays would be null on most rows and is slow to hand over then
+    pairs = F.arrays_zip(F.concat("template", F.array("swing_s", "heel_s", "strike")).alias("__v"), F.concat("spread", F.array(*[F.lit(0.0)] * 3)).alias("__w"))
+    flat = own.select(*keys, F.size("template").alias("__n"), F.posexplode(pairs)).select(*keys, (F.col("pos") - F.col("__n") - 3).cast("long").alias("idx"), "col.__v", "col.__w", F.lit(False).alias("own"))
+
+    def of(shape: np.ndarray, spread: np.ndarray) -> Parameters:
+        swing_s, heel_s, slope = shape[-3:]
+        return Parameters(shape[:-3], spread[:-3], max(1, min(most_swing, int(swing_s * fs))), max(1, min(most_heel, int(heel_s * fs))), strike if np.isnan(slope) else float(slope))
+
+    def with_own(dealt: DataFrame, run: Callable, new: dict[str, str]) -> DataFrame:
+        """Chunks get what is learnt as rows ahead of theirs; those that have none give nothing."""
+        ahead = dealt.select(*keys, "chunk").distinct().join(flat, keys)
+        both = dealt.unionByName(ahead, allowMissingColumns=True)
+
+        def of_chunk(g: dict) -> tuple | None:
+            n = int(np.searchsorted(g["idx"], 0))
+            if not n:
+                return None
+            places, columns = run({c: v[n:] for c, v in g.items()}, of(g["__v"][:n], g["__w"][:n]))
+            return np.asarray(places, np.int64) + n, columns
 
-    def with_own(dealt: DataFrame, run: Callable, schema: StructType) -> DataFrame:
-        chunks = dealt.select(*keys, F.col("chunk").alias("__of")).distinct().join(own, keys)
-        return dealt.groupBy(*keys, "chunk").cogroup(chunks.select(*[F.col(k).alias(f"__{k}") for k in keys], "__of", *columns).groupBy(*[f"__{k}" for k in keys], "__of")).applyInPandas(run, schema)
+        return each_group(both, [*keys, "chunk"], ["idx"], of_chunk, ["idx"], new)
 
-    def alike(part: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
-        if not len(row) or not len(part):
-            return pd.DataFrame(columns=[*keys, "idx", "r"], dtype=object)
-        part = part.sort_values("idx")
-        r = correlations(part["__v"].to_numpy(), of(row).template)
+    def alike(g: dict, p: Parameters) -> tuple:
+        r = correlations(g["__v"], p.template)
         top = np.zeros(len(r), bool)
         top[1:-1] = (r[1:-1] > r[:-2]) & (r[1:-1] > r[2:]) & (r[1:-1] >= likeness)
-        found = top & part["own"].to_numpy()
-        out = pd.DataFrame({"idx": part["idx"].to_numpy()[found], "r": r[found]})
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "idx", "r"]]
+        found = np.flatnonzero(top & g["own"])
+        return found, {"r": r[found]}
 
     dealt = haloed(rows, keys, "idx", max(size, 2 * detector.push), 1, detector.push + 1)
-    found = with_own(dealt, alike, dealt.select(*keys, "idx", F.lit(0.0).alias("r")).schema)
+    found = with_own(dealt, alike, {"r": "double"}).select(*keys, "idx", "r")
     found = written(thinned(written(found), keys, "r", max(1, int(np.ceil(0.2 * fs))), size))
-    again = second.dealt(rows, found)
-    shape = second.shape(again)
-    none = pd.DataFrame(columns=shape.names, dtype=object)
-    candidates = with_own(again, lambda part, row: second.follow(part, of(row)) if len(row) and len(part) else none, shape)
+    candidates = with_own(second.dealt(rows, found), lambda g, p: second.follow(g | {"__push": g["__push"].astype(bool)}, p), second.found)
     kept = first.join(own.select(*keys), keys, "left_anti").withColumn("n_pass", F.lit(1))
     return kept.unionByName(second.in_order(candidates).withColumn("n_pass", F.lit(2))).drop("fall", "snippet")
 
