@@ -43,8 +43,9 @@ def tumbling(df: DataFrame, keys: list[str], ts: str, size_us: int, aggregates:
 def time_mean(df: DataFrame, keys: list[str], ts: str, size_us: int, values: list[str], chunk_us: int = DAY) -> DataFrame:
     """df with `values` replaced by their means over (t - size, t]; NaN where that holds a value that isn't finite.
 
-    Time chunks hold the rows up to `size` before them as well. A mean is the difference of two running sums of centred
-    values, so its cost doesn't grow with the rows in `size`.
+    Time chunks hold the rows up to `size` before them as well. A mean is the difference of two running sums, so its cost
+    doesn't grow with the rows in `size`. Values are cut in two, at 2^-26 of a chunk's largest: sums of the upper parts
+    have no rounding, those of the lower ones next to none, so what has left the window leaves no trace in a mean.
     """
     chunk = F.lit(max(chunk_us, 2 * size_us))
     us = F.col("__us")
@@ -52,17 +53,20 @@ def time_mean(df: DataFrame, keys: list[str], ts: str, size_us: int, values: lis
     x = df.withColumn("__us", micros(ts)).withColumn("__part", F.explode(F.sequence(own, F.floor((us + (size_us - 1)) / chunk)))).withColumn("__own", F.col("__part") == own)
     part = Window.partitionBy(*keys, "__part")
     up, old = [part.orderBy("__us").rangeBetween(Window.unboundedPreceding, end) for end in (0, -size_us)]
-    finite = {v: F.when(F.abs(F.col(v)) < float("inf"), F.col(v)) for v in values}
-    x = x.withColumns({f"__c_{v}": F.avg(c).over(part) for v, c in finite.items()})
-    x = x.withColumns({f"__d_{v}": c - F.col(f"__c_{v}") for v, c in finite.items()})
+    finite = {v: F.when(F.abs(F.col(v)) < float("inf"), F.col(v).cast("double")) for v in values}
+    # adding and taking off 1.5 * 2^27 times a power of two rounds to 2^-25 of it
+    large = lambda c: F.coalesce(1.5 * F.pow(F.lit(2.0), 27 + F.ceil(F.log2(F.nullif(F.max(F.abs(c)).over(part), F.lit(0.0))))), F.lit(0.0))
+    x = x.withColumns({f"__c_{v}": large(c) for v, c in finite.items()})
+    x = x.withColumns({f"__d_{v}": (c + F.col(f"__c_{v}")) - F.col(f"__c_{v}") for v, c in finite.items()})
+    x = x.withColumns({f"__e_{v}": c - F.col(f"__d_{v}") for v, c in finite.items()})
 
     def mean(v: str) -> Column:
-        total = F.sum(f"__d_{v}").over(up) - F.coalesce(F.sum(f"__d_{v}").over(old), F.lit(0.0))
+        within = lambda c: F.sum(c).over(up) - F.coalesce(F.sum(c).over(old), F.lit(0.0))
         n, some = [F.count(c).over(up) - F.count(c).over(old) for c in (f"__d_{v}", v)]
-        return F.when(some > n, F.lit(float("nan"))).when(n > 0, F.col(f"__c_{v}") + total / n)
+        return F.when(some > n, F.lit(float("nan"))).when(n > 0, (within(f"__d_{v}") + within(f"__e_{v}")) / n)
 
     x = x.withColumns({f"__m_{v}": mean(v) for v in values}).where("__own").withColumns({v: F.col(f"__m_{v}") for v in values})
-    return x.drop("__us", "__part", "__own", *[f"__{k}_{v}" for k in "cdm" for v in values])
+    return x.drop("__us", "__part", "__own", *[f"__{k}_{v}" for k in "cdem" for v in values])
 
 
 def std(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:

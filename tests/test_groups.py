@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import chunks, peaks
+from pulsegrid.operators import chunks, peaks, rolling
 
 
 @pytest.mark.parametrize("batch", [1, 7, 10_000])
@@ -38,3 +38,16 @@ def test_short_recordings_cost_their_rows(spark):
     began = time.time()
     got = peaks.peaks(rows, ["u"], ["ts"], "v", None, 2, prominence=0.5)
     assert got.count() == 2 * n and time.time() - began < 20
+
+
+def test_time_means_forget_what_has_left(spark):
+    """A window of one row has that row's very value, whatever lay before it in the chunk."""
+    v = np.random.default_rng(11).uniform(0, 5, 200)
+    v[::9] = 0.0
+    rows = [(1, int(i), float(a)) for i, a in enumerate(v)]
+    at = F.timestamp_add("HOUR", F.col("i"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    df = spark.createDataFrame(rows, "u int, i long, v double").withColumn("ts", at)
+    got = {r["i"]: r["v"] for r in rolling.time_mean(df, ["u"], "ts", 3_600_000_000, ["v"]).collect()}
+    assert [got[i] for i in range(200)] == v.tolist()
+    two = {r["i"]: r["v"] for r in rolling.time_mean(df, ["u"], "ts", 7_200_000_000, ["v"]).collect()}
+    assert [two[i] for i in range(1, 200)] == ((v[1:] + v[:-1]) / 2).tolist()
