@@ -211,4 +211,6 @@ def each_group(df: DataFrame, by: list[str], order: list[str], make: Callable[[d
             yield from found(pa.Table.from_batches(held).combine_chunks())
 
     schema = df.select(*by, *keep, *[F.lit(None).cast(kind).alias(c) for c, kind in new.items()]).schema
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    # by a hash of `by`: Spark drops a repartition by columns that a join before has, and then may read that join's rows
+    # in other parts
+    return df.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
