@@ -12,13 +12,12 @@ a recording into stretches that are gone through each by itself.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import grouped_from, haloed, numbered
+from .chunks import each_group, grouped_from, haloed, numbered
 from .peaks import prominences, spaced, tops
-from .signal import butterworth, padded
+from .signal import gain, padded
 from .states import Rates, spectrum
 
 LENGTH_S, STEP_S, PAD_S = 10.0, 8.0, 3.0
@@ -32,8 +31,7 @@ def band(x: np.ndarray, fs: float, low: float, high: float) -> np.ndarray:
     """x after a band-pass of degree 4 forward and backward, its ends mirrored."""
     n = min(len(x) - 1, int(2 * fs))
     y = padded(x, n)
-    gain = np.abs(butterworth(np.fft.rfftfreq(len(y), 1 / fs), 4, low, min(high, 0.45 * fs))) ** 2
-    return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[n : n + len(x)]
+    return np.fft.irfft(np.fft.rfft(y) * gain(len(y), fs, 4, low, min(high, 0.45 * fs)), len(y))[n : n + len(x)]
 
 
 def risen(x: np.ndarray, distance: float, percent: float) -> np.ndarray:
@@ -78,10 +76,9 @@ def _rest(bpm: np.ndarray) -> np.ndarray:
 class _Windows:
     """The windows of one chunk of a recording, and of the one before it."""
 
-    def __init__(self, part: pd.DataFrame, fs: float, windows: int):
-        part = part.sort_values("idx")
-        self.x, self.first, self.fs = part["__v"].to_numpy(float), int(part["idx"].iloc[0]), fs
-        self.n, self.chunk = int(part["__n"].iloc[0]), int(part["chunk"].iloc[0])
+    def __init__(self, g: dict, fs: float, windows: int):
+        self.x, self.first, self.fs = g["__v"].astype(float), int(g["idx"][0]), fs
+        self.n, self.chunk = int(g["__n"][0]), int(g["chunk"][0])
         self.length, self.step, self.pad = (round(s * fs) for s in (LENGTH_S, STEP_S, PAD_S))
         self.last = max(0, -(-(self.n - self.length) // self.step))
         self.own = range(self.chunk * windows, min((self.chunk + 1) * windows, self.last + 1))
@@ -119,21 +116,23 @@ def adaptive_beats(df: DataFrame, keys: list[str], order: list[str], value: str,
     ends = rows.groupBy(*keys).agg((F.max("idx") + 1).alias("__n"))
     dealt = haloed(rows, keys, "idx", windows * step, step + pad, length - step + pad).join(ends, keys)
 
-    def make(part: pd.DataFrame) -> pd.DataFrame:
-        w = _Windows(part, fs, windows)
-        out = part[[*keys, "chunk"]].iloc[: min(1, len(w.own))]
-        return out.assign(map=pd.Series([rates.map(w.spectra())] * len(out), index=out.index, dtype=object))
-
-    def carry(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("chunk")
-        return part[[*keys, "chunk"]].assign(__start=Rates.starts(part))
-
-    maps = dealt.groupBy(*keys, "chunk").applyInPandas(make, dealt.select(*keys, "chunk", F.lit(None).cast("array<int>").alias("map")).schema)
-    starts = maps.groupBy(*keys).applyInPandas(carry, maps.select(*keys, "chunk", F.lit(0).alias("__start")).schema)
-
-    def find(part: pd.DataFrame) -> pd.DataFrame:
-        w, state = _Windows(part, fs, windows), int(part["__start"].iloc[0])
-        found = []
+    def make(g: dict) -> tuple | None:
+        w = _Windows(g, fs, windows)
+        if not len(w.own):
+            return None
+        if w.own.stop > w.last:
+            return [0], {"map": [[]]}  # nothing comes behind
+        if w.chunk == 0:  # no rate comes before
+            found = [k for k in rates.follow(w.spectra(), 0) if k is not None]
+            return [0], {"map": [[rates.state(found[-1]) if found else 0] * rates.states]}
+        return [0], {"map": [rates.map(w.spectra())]}
+
+    maps = each_group(dealt, [*keys, "chunk"], ["idx"], make, [], {"map": "array<int>"})
+    starts = each_group(maps, keys, ["chunk"], lambda g: (range(len(g["map"])), {"__start": Rates.starts(g)}), ["chunk"], {"__start": "int"})
+
+    def find(g: dict) -> tuple:
+        w, state = _Windows(g, fs, windows), int(g["__start"][0])
+        found = {"beat": [], "trough": []}
         # the window before the first only shows what lies before its beats
         for k in range(max(0, w.own.start - 1), w.own.stop):
             x, wide, inner = w.wide(k)
@@ -143,27 +142,28 @@ def adaptive_beats(df: DataFrame, keys: list[str], order: list[str], value: str,
                 low, high = w.bounds(k)
                 for kind, at in zip(("beat", "trough"), window_pulse(x, wide, inner, fs, rates.bpm(state)), strict=True):
                     at = at + w.start(k)
-                    found += [(int(i), kind, rates.bpm(state), k in w.own) for i in at[(at >= low) & (at < high)]]
-        found = pd.DataFrame(found, columns=["idx", "kind", "bpm", "own"]).sort_values("idx")
-        beats = found[found["kind"] == "beat"]
-        trough, at = found.loc[found["kind"] == "trough", "idx"].to_numpy(np.int64), beats["idx"].to_numpy(np.int64)
-        bpm = beats["bpm"].to_numpy(float)
+                    at = at[(at >= low) & (at < high)]
+                    found[kind].append((at, np.full(len(at), rates.bpm(state)), np.full(len(at), k in w.own)))
+        (at, bpm, own), (trough, *_) = ([np.concatenate(c) for c in zip(*found[kind], strict=True)] if found[kind] else [np.zeros(0, np.int64)] * 3 for kind in found)
+        by = np.argsort(at, kind="stable")
+        at, bpm, own, trough = at[by], bpm[by], own[by].astype(bool), np.sort(trough)
         below = np.searchsorted(trough, at - np.minimum(RISE_S, 15 / bpm) * fs) - 1
         onset = trough[np.maximum(below, 0)] if len(trough) else np.full(len(at), -1)
-        has = (below >= 0) & (onset >= at - SEEK_S * fs)
+        has = (below >= 0) & (onset >= at - SEEK_S * fs) & own
         before = np.append(-1e18, at[:-1])[: len(at)]
-        out = beats.assign(onset=onset, opens=onset - before > _rest(bpm) * fs, chunk=w.chunk)[has & beats["own"].to_numpy(bool)]
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "chunk", "idx", "onset", "bpm", "opens"]]
+        opens = onset - before > _rest(bpm) * fs
+        return np.zeros(has.sum(), np.int64), {"idx": at[has], "onset": onset[has], "bpm": bpm[has], "opens": opens[has]}
 
-    shape = [F.lit(0).cast("long").alias("onset"), F.lit(0).alias("bpm"), F.lit(True).alias("opens")]
-    beats = dealt.join(starts, [*keys, "chunk"]).groupBy(*keys, "chunk").applyInPandas(find, rows.select(*keys, F.lit(0).cast("long").alias("chunk"), "idx", *shape).schema)
+    shape = {"idx": "long", "onset": "long", "bpm": "int", "opens": "boolean"}
+    beats = each_group(dealt.join(starts, [*keys, "chunk"]), [*keys, "chunk"], ["idx"], find, [], shape)
 
-    def rest(part: pd.DataFrame) -> pd.DataFrame:
-        part, kept, last = part.sort_values("idx"), [], -np.inf
-        for i, onset, least in zip(part["idx"], part["onset"], _rest(part["bpm"]) * fs, strict=True):
-            kept.append(onset - last > least)
-            last = i if kept[-1] else last
-        return part.loc[kept, [*keys, "idx", "onset", "bpm"]]
+    def rest(g: dict) -> tuple:
+        kept, last = [], -np.inf
+        for k, (i, onset, least) in enumerate(zip(g["idx"].tolist(), g["onset"].tolist(), (_rest(g["bpm"]) * fs).tolist(), strict=True)):
+            if onset - last > least:
+                kept.append(k)
+                last = i
+        return kept, {}
 
     stretches = grouped_from(beats, keys, "chunk", "idx", "opens", "__stretch")
-    return stretches.groupBy(*keys, "__stretch").applyInPandas(rest, stretches.select(*keys, "idx", "onset", "bpm").schema)
+    return each_group(stretches, [*keys, "__stretch"], ["idx"], rest, ["idx", "onset", "bpm"], {}).drop("__stretch")

@@ -101,7 +101,7 @@ class Rates:
         out, state = [], 0
         for m in chunks["map"]:
             out.append(state)
-            state = int(m[state])
+            state = int(m[state]) if len(m) else 0  # a last chunk needs none
         return out
 
 
