@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import haloed, numbered
+from .chunks import each_group, haloed, numbered
+
+
+#: Kinds of runs of rows: all of a chunk, those that may begin a stretch, and those that may end one.
+ROW, BEGIN, END = 0, 1, 2
 
 
 def _sums(x: np.ndarray, n: int) -> np.ndarray:
@@ -54,15 +58,16 @@ def detached(
     short, ahead = max(2, round(short_s * fs)), max(1, round(long_s * fs))
     rows = haloed(numbered(df.select(*keys, *order, *axes, temperature), keys, order), keys, "idx", size, short + 1, ahead + short)
 
-    def criteria(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        n, idx, own = len(part), part["idx"].to_numpy(), part["own"].to_numpy()
+    def criteria(g: dict) -> tuple | None:
+        n, idx, own = len(g["idx"]), g["idx"], g["own"]
+        if not own.any():
+            return None
         still_next, still_last = np.zeros(n, int), np.zeros(n, int)
         for a in axes if n >= short else []:
-            quiet = _deviation(part[a].to_numpy(float), short) < std
+            quiet = _deviation(g[a].astype(float), short) < std
             still_next[: n - short + 1] += quiet
             still_last[short - 1 :] += quiet
-        degrees = part[temperature].to_numpy(float)
+        degrees = g[temperature].astype(float)
         if n < ahead:
             begins = ends = np.zeros(n, bool)
         else:
@@ -75,23 +80,18 @@ def detached(
             cold = ((warmest < high) & (trend < fall)) | (warmest < low)
             begins = (still_next >= least_axes) & (share_next >= 0.9 - 1e-12) & cold
             ends = (still_last == 0) & (share_last <= 0.5 + 1e-12) & ((trend > rise) | (coldest > low))
-        found = []
-        for kind, flags in (("begin", begins & own), ("end", ends & own)):
-            a, b = _runs(flags)
-            found.append(pd.DataFrame({"kind": kind, "first": idx[a], "last": idx[b]}))
-        if own.any():
-            found.append(pd.DataFrame({"kind": ["row"], "first": [idx[own][0]], "last": [idx[own][-1]]}))
-        out = pd.concat(found)
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "kind", "first", "last"]]
-
-    def bouts(part: pd.DataFrame) -> pd.DataFrame:
-        kinds = {k: p.sort_values("first") for k, p in part.groupby("kind")}
-        last_row = int(kinds["row"]["last"].max())
-        none = part.iloc[:0]
-        stops = kinds.get("end", none)
-        firsts, lasts = stops["first"].to_numpy(), stops["last"].to_numpy()
+        whole = np.flatnonzero(own)[[0, -1]]
+        found = [(ROW, whole[:1], whole[1:]), (BEGIN, *_runs(begins & own)), (END, *_runs(ends & own))]
+        kinds = np.repeat([k for k, _, _ in found], [len(first) for _, first, _ in found])
+        first, last = (idx[np.concatenate(c)] for c in list(zip(*found, strict=True))[1:])
+        return np.zeros(len(kinds), np.int64), {"kind": kinds, "first": first, "last": last}
+
+    def bouts(g: dict) -> tuple:
+        first, last = ({k: g[c][g["kind"] == k] for k in (ROW, BEGIN, END)} for c in ("first", "last"))
+        last_row = int(last[ROW].max())
+        firsts, lasts = first[END], last[END]
         free, found = 0, []
-        for a, b in kinds.get("begin", none)[["first", "last"]].itertuples(index=False):
+        for a, b in zip(first[BEGIN].tolist(), last[BEGIN].tolist(), strict=True):
             while (start := max(a, free)) <= b:
                 k = int(np.searchsorted(lasts, start + ahead, "right"))
                 stop = int(max(firsts[k], start + ahead + 1)) if k < len(lasts) else last_row
@@ -99,13 +99,10 @@ def detached(
                 free = stop
                 if k == len(lasts):
                     free = last_row + 1
-        out = pd.DataFrame(found, columns=["start", "stop"], dtype="int64")
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "start", "stop"]]
+        return [0] * len(found), {"start": [a for a, _ in found], "stop": [b for _, b in found]}
 
-    kinds = rows.select(*keys, F.lit("").alias("kind"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last")).schema
-    runs = rows.groupBy(*keys, "chunk").applyInPandas(criteria, kinds)
-    shape = rows.select(*keys, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop")).schema
-    return runs.groupBy(*keys).applyInPandas(bouts, shape)
+    runs = each_group(rows, [*keys, "chunk"], ["idx"], criteria, [], {"kind": "int", "first": "long", "last": "long"}).drop("chunk")
+    return each_group(runs, keys, ["first"], bouts, [], {"start": "long", "stop": "long"})
 
 
 def sphere_fit(x: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
