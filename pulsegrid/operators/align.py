@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,23 +90,26 @@ def lagged_correlation(df: DataFrame, keys: list[str], index: str, x: str, y: st
     """
     size = max(size, 4 * lags)
     rows = chunks.haloed(df.select(*keys, F.col(index).alias("__i"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")), keys, "__i", size, lags, lags, "__part", "__own")
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "lag int, n long, mx double, my double, xx double, yy double, xy double"])
-
-    def moments(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        start = int(key[-1]) * size
-        at, own = rows["__i"].to_numpy() - start + lags, rows["__own"].to_numpy(bool)
-        xs, ys = np.full(size + 2 * lags, np.nan), np.full(size, np.nan)
-        xs[at], ys[at[own] - lags] = rows["__x"].to_numpy(float), rows["__y"].to_numpy(float)[own]
-        n, sx, sy, sxx, syy, sxy, cx, cy, dust = masked_products(xs, ys, lags)
+
+    def moments(g: dict) -> tuple | None:
+        i, own = g["__i"], np.flatnonzero(g["__own"])
+        if not len(own):
+            return None
+        # lags that some pair of rows has, so that short recordings cost as much as their rows
+        low, high = int(i[own[0]]), int(i[own[-1]])
+        reach = min(lags, max(high - int(i[0]), int(i[-1]) - low))
+        xs, ys = np.full(high - low + 1 + 2 * reach, np.nan), np.full(high - low + 1, np.nan)
+        near = (i >= low - reach) & (i <= high + reach)
+        xs[i[near] - low + reach], ys[i[own] - low] = g["__x"][near], g["__y"][own]
+        n, sx, sy, sxx, syy, sxy, cx, cy, dust = masked_products(xs, ys, reach)
         some = n > 0
         n, sx, sy = n[some], sx[some], sy[some]
         # sums about the chunk's own means of each lag's pairs
         square = lambda total, s: np.where(total[some] - s * s / n > dust, total[some] - s * s / n, 0.0)
         about = {"mx": cx + sx / n, "my": cy + sy / n, "xx": square(sxx, sx), "yy": square(syy, sy), "xy": sxy[some] - sx * sy / n}
-        return pd.DataFrame({k: [v] * len(n) for k, v in zip(keys, key, strict=False)} | {"lag": np.arange(-lags, lags + 1)[some], "n": n} | about)
+        return np.zeros(len(n), np.int64), {"lag": np.arange(-reach, reach + 1)[some], "n": n} | about
 
-    parts = rows.groupBy(*keys, "__part").applyInPandas(moments, schema)
+    parts = chunks.each_group(rows, [*keys, "__part"], ["__i"], moments, [], {"lag": "int", "n": "long"} | dict.fromkeys(("mx", "my", "xx", "yy", "xy"), "double"))
     n, total = F.sum("n"), lambda c: F.sum(F.col("n") * c)
     mx, my = F.col("mx"), F.col("my")
     sums = parts.groupBy(*keys, "lag").agg(
