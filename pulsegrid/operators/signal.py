@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import haloed, numbered
+from .chunks import each_group, haloed, numbered
 
 
 def butterworth(f: np.ndarray, order: int, low: float | None, high: float | None) -> np.ndarray:
@@ -30,6 +31,12 @@ def butterworth(f: np.ndarray, order: int, low: float | None, high: float | None
     return np.nan_to_num(out)
 
 
+@lru_cache(maxsize=256)
+def gain(n: int, fs: float, degree: int, low: float | None, high: float | None) -> np.ndarray:
+    """The squared response of a Butterworth filter for the transform of n values, which many recordings share."""
+    return np.abs(butterworth(np.fft.rfftfreq(n, 1 / fs), degree, low, high)) ** 2
+
+
 def padded(x: np.ndarray, n: int) -> np.ndarray:
     """x with n more values at both ends, mirrored in its end points."""
     return np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]) if n else x
@@ -45,19 +52,16 @@ def zero_phase(df: DataFrame, keys: list[str], order: list[str], value: str, fs:
     rows = haloed(numbered(df, keys, order), keys, "idx", size, reach, reach)
     names = [*df.columns, "idx"]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        if not part["own"].any():
-            return part[names].iloc[:0].assign(filtered=np.empty(0))
-        x = part[value].to_numpy(float)
+    def run(g: dict) -> tuple | None:
+        own = np.flatnonzero(g["own"])
+        if not len(own):
+            return None
+        x = g[value].astype(float)
         n = min(len(x) - 1, reach)
         y = padded(x, n)
-        gain = np.abs(butterworth(np.fft.rfftfreq(len(y), 1 / fs), degree, low, high)) ** 2
-        part = part.assign(filtered=np.fft.irfft(np.fft.rfft(y) * gain, len(y))[n : n + len(x)])
-        return part[part["own"]][[*names, "filtered"]]
+        return own, {"filtered": np.fft.irfft(np.fft.rfft(y) * gain(len(y), fs, degree, low, high), len(y))[n : n + len(x)][own]}
 
-    schema = rows.select(*names, F.lit(0.0).alias("filtered")).schema
-    return rows.groupBy(*keys, "chunk").applyInPandas(run, schema)
+    return each_group(rows, [*keys, "chunk"], ["idx"], run, [c for c in names if c not in keys], {"filtered": "double"}).select(*names, "filtered")
 
 
 def straightened(x: np.ndarray) -> np.ndarray:
