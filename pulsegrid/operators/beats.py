@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import fill_linear
-from .chunks import haloed, numbered
+from .chunks import each_group, haloed, numbered
 from .signal import straightened
 
 
@@ -49,10 +49,9 @@ def beats(df: DataFrame, keys: list[str], order: list[str], value: str, fs: floa
     ends = rows.groupBy(*keys).agg((F.max("idx") + 1).alias("__n"))
     dealt = haloed(rows, keys, "idx", windows * step, 0, length + step).join(ends, keys)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        x, first, last = part["__v"].to_numpy(), int(part["idx"].iloc[0]), max(0, int(part["__n"].iloc[0]) - length)
-        low = int(part["chunk"].iloc[0]) * windows * step
+    def run(g: dict) -> tuple:
+        x, first, last = g["__v"], int(g["idx"][0]), max(0, int(g["__n"][0]) - length)
+        low = int(g["chunk"][0]) * windows * step
         starts = set(range(low, min(low + windows * step, last + 1), step))
         if low <= last < low + windows * step:
             starts.add(last)
@@ -60,10 +59,10 @@ def beats(df: DataFrame, keys: list[str], order: list[str], value: str, fs: floa
         for s in starts:
             for kind, places in zip(at, window_beats(x[s - first : s - first + length], fs), strict=True):
                 at[kind].update((places + s).tolist())
-        out = pd.DataFrame([(i, kind) for kind, places in at.items() for i in places], columns=["idx", "kind"])
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "idx", "kind"]]
+        out = [(i, kind) for kind, places in at.items() for i in places]
+        return [0] * len(out), {"idx": [i for i, _ in out], "kind": [kind for _, kind in out]}
 
-    return dealt.groupBy(*keys, "chunk").applyInPandas(run, rows.select(*keys, "idx", F.lit("").alias("kind")).schema).distinct()
+    return each_group(dealt, [*keys, "chunk"], ["idx"], run, [], {"idx": "long", "kind": "string"}).drop("chunk").distinct()
 
 
 def interval_classes(rr: np.ndarray, c1: float = 0.13, c2: float = 0.17, alpha: float = 5.2, around: int = 91, smooth: int = 11) -> list[str | None]:
@@ -119,14 +118,13 @@ def interval_artifacts(df: DataFrame, keys: list[str], order: list[str], interva
     which has about a row per second. Rows with a null interval have none and are passed over."""
     names = df.columns
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        known = part[interval].notna().to_numpy()
-        out = np.full(len(part), None, object)
-        out[known] = interval_classes(part.loc[known, interval].to_numpy(float))
-        return part[names].assign(artifact=out)
+    def run(g: dict) -> tuple:
+        known = ~np.isnan(g["__v"])
+        out = np.full(len(known), None, object)
+        out[known] = interval_classes(g["__v"][known])
+        return range(len(known)), {"artifact": out}
 
-    return df.groupBy(*keys).applyInPandas(run, df.select("*", F.lit(None).cast("string").alias("artifact")).schema)
+    return each_group(df.withColumn("__v", F.col(interval).cast("double")), keys, order, run, [c for c in names if c not in keys], {"artifact": "string"}).select(*names, "artifact")
 
 
 def corrected(df: DataFrame, keys: list[str], order: list[str], interval: str, artifact: Column) -> DataFrame:
