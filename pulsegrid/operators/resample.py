@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import instant, micros
 from .align import interpolate
-from .chunks import haloed, numbered
+from .chunks import each_group, haloed, numbered
 from .signal import butterworth, padded
 
 
@@ -26,6 +26,12 @@ def digital(f: np.ndarray, fs: float, degree: int, low: float | None, high: floa
     return butterworth(warp(np.minimum(f, fs / 2 * (1 - 1e-12))), degree, warp(low), warp(high))
 
 
+@lru_cache(maxsize=256)
+def _response(n: int, fs: float, degree: int, low: float, high: float) -> np.ndarray:
+    """The response for the transform of n values, which many recordings share."""
+    return digital(np.fft.rfftfreq(n, 1 / fs), fs, degree, low, high)
+
+
 def chebyshev(f: np.ndarray, fs: float, degree: int, ripple_db: float, edge: float) -> np.ndarray:
     """The squared response of a digital low-pass of Chebyshev's first kind. Of even degree, it lets through the lowest
     frequencies with the ripple's loss."""
@@ -37,7 +43,7 @@ def chebyshev(f: np.ndarray, fs: float, degree: int, ripple_db: float, edge: flo
 def forward(x: np.ndarray, fs: float, degree: int, low: float, high: float) -> np.ndarray:
     """Signals (along the last axis) after a band-pass forward, from rest."""
     n = x.shape[-1] + memory(fs, low)
-    return np.fft.irfft(np.fft.rfft(x, n) * digital(np.fft.rfftfreq(n, 1 / fs), fs, degree, low, high), n)[..., : x.shape[-1]]
+    return np.fft.irfft(np.fft.rfft(x, n) * _response(n, fs, degree, low, high), n)[..., : x.shape[-1]]
 
 
 def memory(fs: float, low: float) -> int:
@@ -63,32 +69,29 @@ def antialiased(
     ratio = fs / goal
     stride = round(ratio) if ratio > 1 and abs(ratio - round(ratio)) < 1e-9 else None
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx").reset_index(drop=True)
-        own, us = np.flatnonzero(part["own"]), part["__us"].to_numpy()
+    def run(g: dict) -> tuple | None:
+        own, us, t_first = np.flatnonzero(g["own"]), g["__us"], int(g["__t0"][0])
         if not len(own):
-            return pd.DataFrame(columns=names, dtype=object)
-        x = part[values].to_numpy(float).T
+            return None
+        x = np.stack([g[v] for v in values])
         if ratio > 1:
             n = min(x.shape[1] - 1, reach)
             y = np.stack([padded(v, n) for v in x])
             gain = chebyshev(np.fft.rfftfreq(y.shape[1], 1 / fs), fs, degree, ripple_db, 0.4 * goal)
             x = np.fft.irfft(np.fft.rfft(y) * gain, y.shape[1])[:, n : n + x.shape[1]]
         if stride:
-            at = own[part["idx"].to_numpy()[own] % stride == 0]
-            index, times, x = part["idx"].to_numpy()[at] // stride, us[at], x[:, at]
+            at = own[g["idx"][own] % stride == 0]
+            index, times, x = g["idx"][at] // stride, us[at], x[:, at]
         else:
-            t, t0 = (us - us[0]) / 1e6, (us[0] - part["__t0"].iloc[0]) / 1e6
+            t, t0 = (us - us[0]) / 1e6, (us[0] - t_first) / 1e6
             last = t[min(own[-1] + 1, len(t) - 1)]  # a recording's last row begins no line
             index = np.arange(int(np.ceil((t0 + t[own[0]]) * goal - 1e-6)), int(np.ceil((t0 + last) * goal - 1e-6)))
             seconds = index / goal - t0
             x = np.stack([np.interp(seconds, t, v) for v in x])
-            times = part["__t0"].iloc[0] + np.round(index * 1e6 / goal).astype(np.int64)
-        out = pd.DataFrame({"idx": index, "__us": times} | dict(zip(values, x, strict=True)))
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[names]
+            times = t_first + np.round(index * 1e6 / goal).astype(np.int64)
+        return np.zeros(len(index), np.int64), {"idx": index, "__us": times} | dict(zip(values, x, strict=True))
 
-    names = [*keys, "idx", "__us", *values]
-    found = dealt.groupBy(*keys, "chunk").applyInPandas(run, rows.select(*names).schema)
+    found = each_group(dealt, [*keys, "chunk"], ["idx"], run, [], {"idx": "long", "__us": "long"} | dict.fromkeys(values, "double"))
     return found.select(*keys, "idx", instant("__us").alias(order[0]), *values)
 
 
@@ -107,14 +110,21 @@ def fir(up: int, down: int) -> np.ndarray:
     return up * h / h.sum()
 
 
-def polyphase(x: np.ndarray, first: int, index: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Values number `index` (ascending) of a signal resampled by up / down, of which x are the values from `first` on.
-    Each comes from the bank's filter of its phase; what lies outside of x is 0."""
+@lru_cache(maxsize=8)
+def _bank(up: int, down: int) -> np.ndarray:
+    """The filter of each phase, over the values that it reaches."""
     h = fir(up, down)
     half, reach = len(h) // 2, len(h) // 2 // up + 1
     j = np.arange(-reach, reach + 1)
     tap = half + np.arange(up)[:, None] + j[None] * up
-    bank = np.where((tap >= 0) & (tap < len(h)), h[np.clip(tap, 0, len(h) - 1)], 0.0)[:, ::-1]
+    return np.where((tap >= 0) & (tap < len(h)), h[np.clip(tap, 0, len(h) - 1)], 0.0)[:, ::-1]
+
+
+def polyphase(x: np.ndarray, first: int, index: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Values number `index` (ascending) of a signal resampled by up / down, of which x are the values from `first` on.
+    Each comes from the bank's filter of its phase; what lies outside of x is 0."""
+    bank = _bank(up, down)
+    reach = bank.shape[1] // 2
     windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, reach), 2 * reach + 1)
     at = index * down
     return np.einsum("ij,ij->i", windows[at // up - first], bank[at % up])
@@ -138,18 +148,16 @@ def time_features(
     rows = numbered(df.select(*keys, *order, *[F.col(c).cast("double").alias(c) for c in channels]), keys, order).select(*keys, "idx", *channels)
     dealt = haloed(_straight(rows, keys, channels), keys, "idx", max(size, 4 * memory(fs, low)), memory(fs, low) + reach, reach)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        own, idx = part["own"].to_numpy(), part["idx"].to_numpy()
+    def run(g: dict) -> tuple | None:
+        own, idx = g["own"], g["idx"]
         if not own.any():
-            return pd.DataFrame(columns=[*keys, "idx", "z"], dtype=object)
-        x = forward(part[channels].to_numpy(float).T, fs, degree, low, high).mean(0)
+            return None
+        x = forward(np.stack([g[c] for c in channels]), fs, degree, low, high).mean(0)
         a, b = int(idx[own][0]), int(idx[own][-1])
         index = np.arange(-(-a * up // down), -(-(b + 1) * up // down))
-        out = pd.DataFrame({"idx": index, "z": polyphase(x, int(idx[0]), index, up, down)})
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "idx", "z"]]
+        return np.zeros(len(index), np.int64), {"idx": index, "z": polyphase(x, int(idx[0]), index, up, down)}
 
-    found = dealt.groupBy(*keys, "chunk").applyInPandas(run, rows.select(*keys, "idx", F.lit(0.0).alias("z")).schema)
+    found = each_group(dealt, [*keys, "chunk"], ["idx"], run, [], {"idx": "long", "z": "double"}).drop("chunk")
     usual = found.groupBy(*keys).agg(F.avg("z").alias("__mean"), F.stddev_pop("z").alias("__std"))
     return found.join(usual, keys).select(*keys, "idx", ((F.col("z") - F.col("__mean")) / (F.col("__std") + 1e-10)).alias("z"))
 
@@ -192,15 +200,14 @@ def window_spectra(
     dealt = haloed(rows, keys, "idx", per_chunk * stride, 0, length)
     finish: Callable = lambda x: frame_spectra(x, fs, rate, points, low, high, mean_first)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        x, first = part[channels].to_numpy(float).T, int(part["chunk"].iloc[0]) * per_chunk
-        whole = min(per_chunk, max(0, (x.shape[1] - length) // stride + 1)) if part["own"].any() else 0
-        frames = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::stride].swapaxes(0, 1)[:whole] if whole else None
+    def run(g: dict) -> tuple | None:
+        x, first = np.stack([g[c] for c in channels]), int(g["chunk"][0]) * per_chunk
+        whole = min(per_chunk, max(0, (x.shape[1] - length) // stride + 1)) if g["own"].any() else 0
+        if not whole:
+            return None
+        frames = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::stride].swapaxes(0, 1)[:whole]
         # some thousand frames at a time
         found = [s for k in range(0, whole, 2048) for s in finish(frames[k : k + 2048])]
-        out = pd.DataFrame({"step": np.arange(first, first + whole), "spectrum": pd.Series(found, dtype=object)})
-        return out.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "step", "spectrum"]]
+        return np.zeros(whole, np.int64), {"step": np.arange(first, first + whole), "spectrum": found}
 
-    shape = rows.select(*keys, F.col("idx").alias("step"), F.lit(None).cast("array<double>").alias("spectrum"))
-    return dealt.groupBy(*keys, "chunk").applyInPandas(run, shape.schema)
+    return each_group(dealt, [*keys, "chunk"], ["idx"], run, [], {"step": "long", "spectrum": "array<double>"}).drop("chunk")
