@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .chunks import each_group, grouped_from, haloed, numbered
 
 
@@ -22,7 +23,10 @@ def peaks(
     stretches that are thinned each by itself, highest first. Stretches are put together by the chunk in which they begin. A signal whose maxima go on
     rising is one stretch: 17 bytes a maximum, sorted once.
     """
-    near = haloed(numbered(df, keys, order), keys, "idx", size, 1, 1)
+    rows = numbered(df, keys, order)
+    # with prominence, rows and what is found are used several times: writing them costs less than making them again
+    rows = rows if prominence is None else written(rows)
+    near = haloed(rows, keys, "idx", size, 1, 1)
     own = Window.partitionBy(*keys, "chunk").orderBy("idx")
     v = F.col(value)
     found = near.withColumns({"__above": v > F.lag(value).over(own), "__below": v > F.lead(value).over(own)}).where("own and __above and __below")
@@ -30,9 +34,11 @@ def peaks(
         found = found.where(v >= height)
     found = found.drop("chunk", "own", "__above", "__below")
     if distance > 1:
+        found = found if prominence is None else written(found)
         found = found.join(thinned(found, keys, value, distance, size), [*keys, "idx"], "left_semi").select(*found.columns)
     if prominence is None:
         return found
+    found = written(found)
     risen = _prominences(near.where("own"), found, keys, value).where(F.col("prominence") >= prominence)
     return found.join(risen, [*keys, "idx"]).select(*found.columns, "prominence")
 
@@ -125,7 +131,7 @@ def _prominences(rows: DataFrame, found: DataFrame, keys: list[str], value: str)
         return at, out
 
     shape = {"__left": "double", "__left_free": "boolean", "__right": "double", "__right_free": "boolean"}
-    local = each_group(marked, [*keys, "chunk"], ["idx"], inside, ["idx", "__v"], shape)
+    local = written(each_group(marked, [*keys, "chunk"], ["idx"], inside, ["idx", "__v"], shape))
     ends = samples.groupBy(*keys, "chunk").agg(F.max("__v").alias("hi"), F.min("__v").alias("lo"))
     chunks = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "hi", "lo"))).alias("__chunks"))
     asking = local.where("__left_free or __right_free").select(*keys, "chunk", "idx", "__v", F.explode(F.array(*[F.when(F.col(f"__{s}_free"), F.lit(s)) for s in ("left", "right")])).alias("__side")).where("__side is not null")

@@ -38,7 +38,7 @@ bases as (
 select event_id, user_id, idx, value, round(value - greatest(low_before, low_after), 6) as prominence
 from bases where value - greatest(low_before, low_after) >= 15""")
 def peak_pick(spark, sf):
-    found = peaks.peaks(events(spark, sf), USER, ORDER, "value", 20.0, 4, prominence=15.0)
+    found = peaks.peaks(events(spark, sf).drop("event_type"), USER, ORDER, "value", 20.0, 4, prominence=15.0)
     return found.select("event_id", "user_id", "idx", "value", r6("prominence").alias("prominence"))
 
 

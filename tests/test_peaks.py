@@ -67,3 +67,9 @@ def test_a_dense_key_takes_proportional_time(spark):
 
     seconds(1000)
     assert seconds(160_000) < 6 * max(seconds(40_000), 2)  # a quadratic form takes 16 times as long
+
+
+def test_what_is_used_several_times_is_made_once(recordings):
+    """The plan of the last step had every Python step of those before once for each use."""
+    found = peaks.peaks(recordings, ["u"], ["ts"], "v", 1.0, 9, 50, 1.0)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1
