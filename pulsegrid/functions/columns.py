@@ -1,9 +1,11 @@
-"""Column functions on samples, all inside whole-stage code generation."""
+"""Column functions on samples; soft labels in Arrow batches, the others Spark's own expressions."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,13 +59,22 @@ def bin_bpm(i, low: float = 30, high: float = 210, bins: int = 64) -> Column:
     return F.lit(low) + F.lit(high - low) * col(i) / F.lit(bins)
 
 
-def soft_label(bpm, low: float = 30, high: float = 210, bins: int = 64, sigma: float = 1.5) -> Column:
-    """A Gaussian bump over the bins around a heart rate (sigma in bins), with sum 1."""
-    at = (col(bpm) - low) / (high - low) * bins
-    bump = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.exp(-0.5 * F.pow((i - at) / sigma, F.lit(2.0))))
-    # structs in one-element arrays, so that bump and total are computed once a row
-    both = F.transform(F.array(bump), lambda b: F.struct(b.alias("b"), F.aggregate(b, F.lit(0.0), lambda a, x: a + x).alias("t")))
-    return F.transform(both, lambda s: F.transform(s["b"], lambda x: F.try_divide(x, s["t"])))[0]
+def soft_label(bpm, low: float = 30, high: float = 210, bins: int = 64, sigma: float = 1.5, digits: int | None = None) -> Column:
+    """A Gaussian bump over the bins around a heart rate (sigma in bins), with sum 1, rounded to `digits` if given. In Arrow
+    batches: Spark's functions on arrays aren't compiled, and its round writes every value out in decimal digits."""
+
+    @F.arrow_udf("array<double>")
+    def label(rates: pa.Array) -> pa.Array:
+        at = (rates.to_numpy(zero_copy_only=False) - low) / (high - low) * bins
+        with np.errstate(all="ignore"):
+            bump = np.exp(-0.5 * ((np.arange(bins) - at[:, None]) / sigma) ** 2)
+            total = bump.sum(axis=1)
+            share = bump / total[:, None]
+        share = share if digits is None else np.round(share, digits)
+        none = np.repeat((total == 0) | rates.is_null().to_numpy(zero_copy_only=False), bins)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bins, pa.int32()), pa.array(share.ravel(), mask=none))
+
+    return label(col(bpm).cast("double"))
 
 
 def expected_bpm(belief, low: float = 30, high: float = 210) -> Column:

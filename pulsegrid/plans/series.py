@@ -106,8 +106,7 @@ def hr_bin_value(spark, sf):
 @query("""select event_id, list_transform(bump, lambda x: round(x / list_sum(bump), 6)) as label from (
  select event_id, list_transform(range(0, 64), lambda i: exp(-0.5 * pow((i - pos) / 1.5, 2))) as bump from (select event_id, (60 + value % 100 - 30) / 180 * 64 as pos from events))""")
 def soft_label(spark, sf):
-    label = C.soft_label(F.lit(60) + F.col("value") % 100)
-    return events(spark, sf).select("event_id", F.transform(label, lambda x: F.round(x, 6)).alias("label"))
+    return events(spark, sf).select("event_id", C.soft_label(F.lit(60) + F.col("value") % 100, digits=6).alias("label"))
 
 
 @query("select label as session, vec_id as step, (vec_id * 2 + 1) * 64 as sample, (vec_id * 2 + 1 + 7 * 2) * 64 as shifted from embeddings")
